@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Words score by their log-odds between toxic and other documents under an informative Dirichlet prior (the
-corpus's own word frequencies); every other word scores a little below zero. One pass over a text's scores finds
+Tokens are words and word beginnings (insults are inflected and joined). They score by their log-odds between
+toxic and other documents under an informative Dirichlet prior (the corpus's own token frequencies); a word
+takes the score of its longest known token, and every other word scores a little below zero. One pass over a text's scores finds
 all maximal segments in linear time. Segment scores follow extreme-value statistics, which sets apart chance
 runs in long texts; the segments' joint statistic becomes a probability by a calibration on labels.
 """
@@ -21,9 +22,14 @@ from .common import learned_from, small_batches
 
 #: The classifier is fitted on about this many labelled documents of each class, those with the smallest id hashes.
 SAMPLE_PER_CLASS = 8000
-#: Words with a score of their own at most.
+#: Tokens with a score of their own at most.
 LEXICON = 20_000
-DRIFT, PRIOR, CONFIDENCE, MIN_DOCS = 0.2, 50.0, 2.0, 3
+DRIFT, PRIOR, CONFIDENCE, MIN_DOCS = 0.2, 50.0, 0.5, 3
+#: The least log-odds, less CONFIDENCE standard errors, of a toxic token.
+MIN_ODDS = 3.0
+#: Lengths of the beginnings that count as tokens, marked by a final hyphen.
+BEGINNINGS = (4, 5, 6)
+CACHE_WORDS = 500_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -32,6 +38,28 @@ def tokens_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def features_of(word: str) -> list[str]:
+    """A word's tokens, longest first: itself and its beginnings."""
+    return [word, *(f"{word[:n]}-" for n in reversed(BEGINNINGS) if len(word) >= n)]
+
+
+class Memo(dict):
+    """What a function gives for each word, kept up to a bound."""
+
+    def __init__(self, of) -> None:  # noqa: ANN001
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):  # noqa: ANN204
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = self.of(word)
+        return found
+
+    def __reduce__(self) -> tuple:
+        return Memo, (self.of,)
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(start, end, score)`` of a sequence, in linear time (Ruzzo and Tompa)."""
     positive = scores > 0
@@ -72,10 +100,17 @@ class ToxicityModel:
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], list[str]]:
         """Maximal segments of a text as word ranges, and its words."""
         words = tokens_of(text or "")
-        get = self.scores.get
-        s = np.fromiter((get(w, -DRIFT) for w in words), float, len(words))
+        if not hasattr(self, "_memo"):
+            self._memo = Memo(self.word_score)
+        s = np.fromiter(map(self._memo.__getitem__, words), float, len(words))
         return maximal_segments(s), words
 
+    def word_score(self, word: str) -> float:
+        return next((self.scores[f] for f in features_of(word) if f in self.scores), -DRIFT)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+
     def score(self, text: str | None) -> tuple[float, int, list[str]]:
         """Probability, number and words of the significant passages (an expected count by chance below one)."""
         segments, words = self.passages(text)
@@ -113,7 +148,7 @@ def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, toxic = (c.to_pylist() for c in batch.columns)
-        rows = [(w, t, 1) for text, t in zip(texts, toxic, strict=True) for w in set(tokens_of(text))]
+        rows = [(w, t, 1) for text, t in zip(texts, toxic, strict=True) for w in {f for w in set(tokens_of(text)) for f in features_of(w)}]
         words, t, one = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(t, pa.int64()), pa.array(one, pa.int64())], names=["word", "toxic", "docs"])
 
@@ -121,14 +156,17 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _corpus_counts(lexicon: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = dict.fromkeys(lexicon, 0)
-        total = 0
+        total = texts = 0
+        known = Memo(lambda w: tuple(f for f in features_of(w) if f in lexicon))
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens_of(text)
                 total += len(words)
-                for w in filter(lexicon.__contains__, words):
-                    counts[w] += 1
-        used = {w: c for w, c in counts.items() if c} | {"": total}
+                texts += 1
+                for found in filter(None, map(known.__getitem__, words)):
+                    for f in found:
+                        counts[f] += 1
+        used = {w: c for w, c in counts.items() if c} | {"": total, "-": texts}
         yield pa.RecordBatch.from_arrays([pa.array(list(used), pa.string()), pa.array(list(used.values()), pa.int64())], names=["word", "n"])
 
     return run
@@ -155,20 +193,18 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     words = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("docs")).where(F.col("t") >= MIN_DOCS)
     n1, n0 = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
     odds = F.log((F.col("t") + 0.5) / (n1 - F.col("t") + 0.5)) - F.log((F.col("docs") - F.col("t") + 0.5) / (n0 - F.col("docs") + F.col("t") + 0.5))
-    picked = words.withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(lexicon).toPandas()
+    picked = words.withColumn("odds", odds).where("odds > 0").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(lexicon).toPandas()
     corpus = dict(texts.select("text").mapInArrow(_corpus_counts(set(picked.word)), "word string, n long").groupBy("word").agg(F.sum("n")).collect())
-    total = max(corpus.pop("", 0), 1)
-    chance = np.array([corpus.get(w, 0) / total for w in picked.word])
-    prior = np.maximum(PRIOR * chance * 1000, 0.01)  # as documents among PRIOR made-up ones of a thousand words
-    prior = np.minimum(prior, PRIOR / 2)
+    total, texts_n = max(corpus.pop("", 0), 1), max(corpus.pop("-", 0), 1)
+    share_of_texts = np.array([corpus.get(w, 0) / texts_n for w in picked.word])
+    prior = np.clip(PRIOR * share_of_texts, 0.01, PRIOR / 2)
     y1, y0 = picked.t.to_numpy(float), (picked.docs - picked.t).to_numpy(float)
     part = lambda y, m: np.log((y + prior) / (m + PRIOR - y - prior))
     delta = part(y1, n1) - part(y0, n0)
     low = delta - CONFIDENCE * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-    scores = {w: float(s) for w, s in zip(picked.word, low, strict=True) if s > 0}
-    chance = {w: c for w, c in zip(picked.word, chance, strict=True) if w in scores}
+    scores = {w: float(s) for w, s in zip(picked.word, low, strict=True) if s > MIN_ODDS}
     s = np.r_[list(scores.values()), -DRIFT]
-    p = np.array([max(chance[w], 1e-12) for w in scores])
+    p = np.array([(y + 0.5) / ((n0 + 1) * max(total / texts_n, 1)) for y, w in zip(y0, picked.word, strict=True) if w in scores])
     model = ToxicityModel(scores, tail_rate(s, np.r_[p, 1 - p.sum()]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
