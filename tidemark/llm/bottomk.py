@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, key_of, mix64, release, saved, small_batches, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-INDEX, SKETCH, TILE = 32, 64, 512
+INDEX, SKETCH, TILE = 32, 64, 1024
 #: Share of the union's sketch that must be common before the full sets are compared. At a likeness of 0.75 a
 #: sketch of 64 falls below it with a chance under 1e-8.
 ESTIMATE = 0.42
@@ -89,23 +89,31 @@ def _verify(shingle: int, percent: int):
 def _tiles(percent: int):
     """Pairs of one tile: different components, fitting sizes, enough of both sketches in common."""
 
-    def pairs(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, comp, side = np.array(rows["n"]), np.array(rows["component"]), np.array(rows["own"])
-        lengths = np.array([len(s) for s in rows["sketch"]])
-        values, inv = np.unique(np.concatenate(rows["sketch"]), return_inverse=True)
+    def incidence(lists: list[np.ndarray]) -> np.ndarray:
+        """Rows by those values that more than one row has, as 0 and 1."""
+        values, inv = np.unique(np.concatenate(lists), return_inverse=True)
         common = np.bincount(inv, minlength=len(values)) > 1
-        column = np.cumsum(common) - 1
-        has, row = common[inv], np.repeat(np.arange(len(sizes)), lengths)
-        m = np.zeros((len(sizes), int(common.sum())), np.float32)
-        m[row[has], column[inv[has]]] = 1
-        overlap = m @ m.T
-        full = lengths < SKETCH
-        need = np.where(full[:, None] & full, np.ceil(percent * (lengths[:, None] + lengths) / (100 + percent)), math.floor(ESTIMATE * SKETCH))
-        ok = (overlap >= need) & (comp[:, None] != comp) & (100 * sizes[:, None] >= percent * sizes) & (100 * sizes >= percent * sizes[:, None])
+        has, row = common[inv], np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        m = np.zeros((len(lists), int(common.sum())), np.float32)
+        m[row[has], (np.cumsum(common) - 1)[inv[has]]] = 1
+        return m
+
+    def pairs(rows: dict[str, list], v: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes, comp, side, keys = (np.array(rows[c]) for c in ("n", "component", "own", "rep"))
+        lengths = np.array([len(s) for s in rows["sketch"]])
+        ok = (comp[:, None] != comp) & (keys[:, None] < keys) & (100 * sizes[:, None] >= percent * sizes) & (100 * sizes >= percent * sizes[:, None])
         if side.min() != side.max():
             ok &= side[:, None] != side
-        keys = np.array(rows["rep"])
-        i, j = np.nonzero(ok & (keys[:, None] < keys))
+        if ok.any():
+            m = incidence(rows["sketch"])
+            overlap = m @ m.T
+            full = lengths < SKETCH
+            need = np.where(full[:, None] & full, np.ceil(percent * (lengths[:, None] + lengths) / (100 + percent)), math.floor(ESTIMATE * SKETCH))
+            ok &= overlap >= need
+        if ok.any():  # of the lists that a pair shares, the one of the least value hands it on
+            m = incidence([x[x < v] for x in rows["prefix"]])
+            ok &= m @ m.T == 0
+        i, j = np.nonzero(ok)
         return keys[i], keys[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +131,11 @@ def _tiles(percent: int):
                 if b - a > 1:
                     part = table.slice(a, b - a)
                     rows = {c: part.column(c).to_pylist() for c in ("rep", "n", "component", "own")}
-                    lists = part.column("sketch").combine_chunks()
-                    at, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-                    rows["sketch"] = [at[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    found.append(pairs(rows))
+                    for c in ("sketch", "prefix"):
+                        lists = part.column(c).combine_chunks()
+                        at, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+                        rows[c] = [at[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    found.append(pairs(rows, part.column("v")[0].as_py() >> 32))
             held = None if last else table.slice(cut[-1])
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -187,11 +196,15 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     components = connected_components(found)
     placed = lists.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    upper = lambda c: F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c)
+    prefixes = lists.groupBy("rep", "s1").agg(F.collect_list("v").alias("prefix"))
+    short = sketches.select("rep", "s1", "n", upper("sketch")).join(prefixes.select("rep", "s1", upper("prefix")), ["rep", "s1"])
     mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("v", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep", "s1", "v"), F.col("blocks")).cast("int")
     tiles = placed.join(mixed, "v").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "s1", "component").join(sketches, ["rep", "s1"])
-    tiles = tiles.select("v", "lo", "hi", "own", "rep", "n", "component", "sketch").repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
+    tiles = tiles.select("v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "s1", "component").join(short, ["rep", "s1"])
+    # the upper half of a hash is enough to estimate by, and keeps the order
+    tiles = tiles.select("v", "lo", "hi", "own", "rep", "n", "component", "sketch", "prefix").repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
     rest = saved(tiles.mapInArrow(_tiles(percent), "a long, b long").distinct(), "rest")
     late = verified(rest)
     components = connected_components(found.unionByName(late))
