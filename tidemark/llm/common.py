@@ -37,6 +37,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Collect garbage so that Spark's cleaner can drop shuffle files of finished, already saved stages."""
+    spark.range(1).count()  # the last query is let go when another has run
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

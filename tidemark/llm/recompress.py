@@ -101,6 +101,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list], np.
         yield chunk()
 
 
+_SYMBOL = ["symbol", "th", "pos", "known"]
+
+
 def _symbols(rounds: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,12 +115,22 @@ def _symbols(rounds: int, window: int):
             use = (last - first <= window) & (first >= 0)
             use &= fresh[of]
             symbol, first, last, of = symbol[use], first[use], last[use], of[use]
-            # a symbol that one text has twice needs no other text
-            order = np.lexsort((symbol, of))
-            same = (symbol[order][1:] == symbol[order][:-1]) & (of[order][1:] == of[order][:-1])
-            twice = np.zeros(len(symbol), bool)
-            twice[order] = np.r_[same, False] | np.r_[False, same]
-            yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), pa.array(hashes[of]), pa.array((first - start[of]).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(twice)], names=["symbol", "th", "pos", "len", "twice"])
+            # what this chunk has twice is known to be shared; one of its places still tells the other chunks
+            order = np.lexsort((first, symbol))
+            symbol, first, of = symbol[order], first[order], of[order]
+            head = np.r_[True, symbol[1:] != symbol[:-1]][: len(symbol)]
+            known = ~head | ~np.r_[head[1:], True][: len(symbol)]
+            pos = (first - start[of]).astype(np.int32)
+            tell = np.flatnonzero(head)
+            nothing = pa.nulls(len(tell), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(symbol[tell].view(np.int64)), pa.array(hashes[of[tell]]), pa.array(pos[tell]), nothing], names=_SYMBOL)
+            mine = np.flatnonzero(known)
+            mine = mine[np.argsort(of[mine], kind="stable")]
+            if len(mine):
+                new = np.flatnonzero(np.r_[True, np.diff(of[mine]) != 0])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(mine)].astype(np.int32)), pa.array(pos[mine]))
+                own = hashes[of[mine[new]]]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(np.zeros(len(new), np.int32)), lists], names=_SYMBOL)
 
     return run
 
@@ -212,18 +225,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one id are ordered by their places alone. An empty table gives none.
 
     Copies of a text are told by the hash of the text and leave the work at once: each of their windows starts
-    earlier in the first copy. Hot symbols are counted before the shuffle and joined by a join that Spark can
-    split; a hot window reaches its group once from each chunk of a task, as repeats inside the chunk are
-    settled there.
+    earlier in the first copy. A hot symbol or window reaches its group once from each chunk of a task, as
+    repeats inside a chunk are settled there.
     """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(key_of(id_col).alias("k"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
-    symbols = rows.select("th", "t").mapInArrow(_symbols(rounds, window), "symbol long, th long, pos int, len int, twice boolean")
-    groups = symbols.groupBy("symbol").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("twice").alias("twice"))
-    shared = groups.where("lo <> hi or twice").select("symbol")
-    places = symbols.select("symbol", "th", "pos").join(shared, "symbol").groupBy("th").agg(F.sort_array(F.collect_set("pos")).alias("shared"))
+    symbols = rows.select("th", "t").mapInArrow(_symbols(rounds, window), "symbol long, th long, pos int, known array<int>")
+    same = Window.partitionBy("symbol", F.col("known").isNull())
+    symbols = symbols.withColumns({"lo": F.min("th").over(same), "hi": F.max("th").over(same)}).where("known is not null or lo <> hi")
+    places = symbols.groupBy("th").agg(F.array_distinct(F.concat(F.collect_list(F.when(F.col("known").isNull(), F.col("pos"))), F.flatten(F.collect_list("known")))).alias("shared"))
     firsts = rows.groupBy("th", F.md5("t").alias("m")).agg(F.min("k").alias("k")).select("k", "th")
     originals = saved(firsts.join(places, "th", "left").select("k", "th", F.coalesce("shared", F.array().cast("array<int>")).alias("shared")), "originals")
     release(spark)
