@@ -23,7 +23,7 @@ from .common import key_of, mix64, release, saved, small_batches, word_hashes
 WINDOW, ROUNDS = 20, 5
 FAR = 1 << 40
 #: Words that a task holds before it hands on what it has found.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_000_000
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
