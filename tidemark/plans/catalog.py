@@ -48,7 +48,7 @@ def w():  # noqa: ANN201
 
 
 def r6(c: Column | str, places: int = 6) -> Column:
-    return F.round(c, places)
+    return F.round(c, places) + F.lit(0.0)  # no negative zero
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -123,8 +123,8 @@ def sparsity(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).groupBy("channel").agg(r6(F.avg((F.col("glucose") > 100).cast("int")) * 100.0).alias("share"), F.max("glucose").alias("hi"), r6(F.avg("glucose")).alias("mean"), F.count_if(F.col("glucose").isNull()).alias("nulls"))
 
 
-@query(f"""WITH {_R} SELECT event_id, round(coalesce(glucose - lag(glucose, 3) {_W}, 0), 6) AS d3, round(glucose - lag(glucose) {_W}, 6) AS d1,
-round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) AS hour_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) AS hour_cos FROM r""")
+@query(f"""WITH {_R} SELECT event_id, round(coalesce(glucose - lag(glucose, 3) {_W}, 0), 6) + 0.0 AS d3, round(glucose - lag(glucose) {_W}, 6) + 0.0 AS d1,
+round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) + 0.0 AS hour_cos FROM r""")
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
     g, a = F.col("glucose"), features.day_angle(F.col("timestamp"))
     return readings(spark, d).select("event_id", r6(features.lag_delta(g, 3, w())).alias("d3"), r6(g - F.lag(g).over(w())).alias("d1"), r6(F.sin(a)).alias("hour_sin"), r6(F.cos(a)).alias("hour_cos"))
@@ -237,11 +237,11 @@ def greedy_thin(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_R}, g AS (SELECT patient_id, event_id, glucose - lag(glucose) {_W} AS delta, (epoch_us(ts) - lag(epoch_us(ts)) {_W}) / 6e7 AS gap FROM r), m AS (SELECT patient_id, quantile_cont(gap, 0.5) AS med FROM g GROUP BY 1)
-SELECT event_id, round(coalesce(delta, 0), 6) AS delta, round(coalesce(gap, med), 3) AS gap, round(coalesce(delta / nullif(gap, 0), 0), 3) AS slope FROM g JOIN m USING (patient_id)""")
+SELECT event_id, round(coalesce(delta, 0), 6) + 0.0 AS delta, round(coalesce(gap, med), 3) AS gap, round(coalesce(delta / nullif(gap, 0), 0), 3) + 0.0 AS slope FROM g JOIN m USING (patient_id)""")
 def sparse_features(spark: SparkSession, d: str) -> DataFrame:
     g = readings(spark, d).withColumns({"delta": F.col("glucose") - F.lag("glucose").over(w()), "gap": features.minutes_since(F.col("timestamp"), w())})
     med = F.percentile("gap", F.lit(0.5)).over(Window.partitionBy("patient_id"))
-    return g.select("event_id", r6(F.coalesce("delta", F.lit(0.0))).alias("delta"), F.round(F.coalesce("gap", med), 3).alias("gap"), F.round(F.coalesce(F.col("delta") / F.nullif("gap", F.lit(0.0)), F.lit(0.0)), 3).alias("slope"))
+    return g.select("event_id", r6(F.coalesce("delta", F.lit(0.0))).alias("delta"), F.round(F.coalesce("gap", med), 3).alias("gap"), (F.round(F.coalesce(F.col("delta") / F.nullif("gap", F.lit(0.0)), F.lit(0.0)), 3) + F.lit(0.0)).alias("slope"))
 
 
 _RISK = "CASE WHEN y < 54 THEN 'critical_hypoglycemia' WHEN y < 70 THEN 'hypoglycemia' WHEN y > 250 THEN 'critical_hyperglycemia' WHEN y > 180 THEN 'hyperglycemia' ELSE 'normal' END"
