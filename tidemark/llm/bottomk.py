@@ -15,7 +15,6 @@ and the full sets decide. Work is arranged so that no group is spelt out pair by
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ INDEX, SKETCH, TILE = 32, 64, 1024
 #: Share of the union's sketch that must be common before the full sets are compared. At a likeness of 0.75 a
 #: sketch of 64 falls below it with a chance under 1e-8.
 ESTIMATE = 0.42
+#: In tiles, pairs are compared in full down to so many standard deviations below the threshold.
+DEVIATIONS = 6.5
 U = np.uint64
 
 
@@ -100,16 +101,19 @@ def _tiles(percent: int):
 
     def pairs(rows: dict[str, list], v: int) -> tuple[np.ndarray, np.ndarray]:
         sizes, comp, side, keys = (np.array(rows[c]) for c in ("n", "component", "own", "rep"))
-        lengths = np.array([len(s) for s in rows["sketch"]])
         ok = (comp[:, None] != comp) & (keys[:, None] < keys) & (100 * sizes[:, None] >= percent * sizes) & (100 * sizes >= percent * sizes[:, None])
         if side.min() != side.max():
             ok &= side[:, None] != side
         if ok.any():
             m = incidence(rows["sketch"])
             overlap = m @ m.T
-            full = lengths < SKETCH
-            need = np.where(full[:, None] & full, np.ceil(percent * (lengths[:, None] + lengths) / (100 + percent)), math.floor(ESTIMATE * SKETCH))
-            ok &= overlap >= need
+            # below the smaller of two sketches' ends both are complete: that part of the union is a fair sample of it
+            end = np.array([x[-1] if len(x) == SKETCH else np.iinfo(np.int32).max for x in rows["sketch"]])
+            below = np.stack([np.searchsorted(x, end, side="right") for x in rows["sketch"]])
+            seen = below + below.T - overlap
+            whole = np.maximum((sizes[:, None] + sizes) / (1 + percent / 100), seen)
+            share = percent / 100
+            ok &= overlap >= seen * (share - DEVIATIONS * np.sqrt(share * (1 - share) / seen * (1 - seen / whole))) - 1e-9
         if ok.any():  # of the lists that a pair shares, the one of the least value hands it on
             m = incidence([x[x < v] for x in rows["prefix"]])
             ok &= m @ m.T == 0
