@@ -9,13 +9,14 @@ and the full sets decide. Work is arranged so that no group is spelt out pair by
    first: sets that reach the threshold share at least ``q`` retained values, so they also share one outside
    the ``q - 1`` most frequent of each. A text with a few boilerplate values thus leaves their long lists;
 3. each list links its members to its first one (a star); verified stars become components;
-4. lists that still hold several components are compared in tiles of bounded size; a tile hands on only
-   pairs of different components whose sketches agree enough, and these are verified too.
+4. lists that still hold several components are compared in tiles of bounded size: by sketches first, then the
+   texts that have a possible partner of another component come to their tile, which compares full sets and hands
+   on a forest of the links it finds, not the links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, key_of, mix64, release, saved, small_batches, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-INDEX, SKETCH, TILE = 32, 64, 1024
+INDEX, SKETCH = 32, 64
+#: Rows, and shingles of all its rows, in one block of a list; a tile is at most two blocks.
+TILE, TILE_SHINGLES = 1024, 1 << 21
 #: Share of the union's sketch that must be common before the full sets are compared. At a likeness of 0.75 a
 #: sketch of 64 falls below it with a chance under 1e-8.
 ESTIMATE = 0.42
@@ -52,13 +55,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ U(1 << 63)).view(np.int64)
 
 
+def set_mark(z: np.ndarray, c: int) -> int:
+    """One of two independent hashes of a set, as a signed long."""
+    return int(np.bitwise_xor.reduce(mix64(z + U(c))).astype(np.int64)) if len(z) else 0
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.columns
             sets = [shingle_set(t, shingle) for t in texts.to_pylist()]
-            marks = [[int(np.bitwise_xor.reduce(mix64(z + U(c)))) if len(z) else 0 for z in sets] for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(z) for z in sets], pa.int64()), *(pa.array(np.array(m, U).view(np.int64)) for m in marks), pa.array([_signed(z[:SKETCH]) for z in sets], pa.list_(pa.int64()))], names=["k", "n", "s1", "s2", "sketch"])
+            marks = [[set_mark(z, c) for z in sets] for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(z) for z in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), pa.array([_signed(z[:SKETCH]) for z in sets], pa.list_(pa.int64()))], names=["k", "n", "s1", "s2", "sketch"])
 
     return run
 
@@ -87,72 +95,113 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _tiles(percent: int):
-    """Pairs of one tile: different components, fitting sizes, enough of both sketches in common."""
-
-    def incidence(lists: list[np.ndarray]) -> np.ndarray:
-        """Rows by those values that more than one row has, as 0 and 1."""
-        values, inv = np.unique(np.concatenate(lists), return_inverse=True)
-        common = np.bincount(inv, minlength=len(values)) > 1
-        has, row = common[inv], np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        m = np.zeros((len(lists), int(common.sum())), np.float32)
-        m[row[has], (np.cumsum(common) - 1)[inv[has]]] = 1
-        return m
-
-    def pairs(rows: dict[str, list], v: int) -> tuple[np.ndarray, np.ndarray]:
-        sizes, comp, side, keys = (np.array(rows[c]) for c in ("n", "component", "own", "rep"))
-        ok = (comp[:, None] != comp) & (keys[:, None] < keys) & (100 * sizes[:, None] >= percent * sizes) & (100 * sizes >= percent * sizes[:, None])
-        if side.min() != side.max():
-            ok &= side[:, None] != side
-        if ok.any():
-            m = incidence(rows["sketch"])
-            overlap = m @ m.T
-            # below the smaller of two sketches' ends both are complete: that part of the union is a fair sample of it
-            end = np.array([x[-1] if len(x) == SKETCH else np.iinfo(np.int32).max for x in rows["sketch"]])
-            below = np.stack([np.searchsorted(x, end, side="right") for x in rows["sketch"]])
-            seen = below + below.T - overlap
-            whole = np.maximum((sizes[:, None] + sizes) / (1 + percent / 100), seen)
-            share = percent / 100
-            ok &= overlap >= seen * (share - DEVIATIONS * np.sqrt(share * (1 - share) / seen * (1 - seen / whole))) - 1e-9
-        if ok.any():  # of the lists that a pair shares, the one of the least value hands it on
-            m = incidence([x[x < v] for x in rows["prefix"]])
-            ok &= m @ m.T == 0
-        i, j = np.nonzero(ok)
-        return keys[i], keys[j]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        names = ["v", "lo", "hi"]
-
-        def out(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            marks = [table.column(c).to_numpy() for c in names]
-            cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in marks])])
-            ends = [*cut[1:].tolist(), table.num_rows]
-            done = len(ends) if last else len(ends) - 1
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in zip(cut[:done].tolist(), ends[:done], strict=True):
-                if b - a > 1:
-                    part = table.slice(a, b - a)
-                    rows = {c: part.column(c).to_pylist() for c in ("rep", "n", "component", "own")}
-                    for c in ("sketch", "prefix"):
-                        lists = part.column(c).combine_chunks()
-                        at, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-                        rows[c] = [at[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    found.append(pairs(rows, part.column("v")[0].as_py() >> 32))
-            held = None if last else table.slice(cut[-1])
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                yield from out(pa.concat_tables([held, table]).combine_chunks() if held is not None else table, False)
-        if held is not None and held.num_rows:
-            yield from out(held, True)
-
-    return run
+def incidence(lists: list[np.ndarray]) -> np.ndarray:
+    """Rows by those values that more than one row has, as 0 and 1."""
+    values, inv = np.unique(np.concatenate(lists), return_inverse=True)
+    common = np.bincount(inv, minlength=len(values)) > 1
+    has, row = common[inv], np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    m = np.zeros((len(lists), int(common.sum())), np.float32)
+    m[row[has], (np.cumsum(common) - 1)[inv[has]]] = 1
+    return m
+
+
+def possible(tile: pa.Table, sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of a tile's rows can be links: different components, fitting sizes, enough of both sketches in common."""
+    comp, side, keys = (tile.column(c).to_numpy() for c in ("component", "own", "rep"))
+    v = tile.column("v")[0].as_py() >> 32
+    ok = (comp[:, None] != comp) & (keys[:, None] < keys) & (100 * sizes[:, None] >= percent * sizes) & (100 * sizes >= percent * sizes[:, None])
+    if tile.column("lo")[0] != tile.column("hi")[0]:
+        ok &= side[:, None] != side
+    if ok.any():
+        m = incidence(sketches)
+        overlap = m @ m.T
+        # below the smaller of two sketches' ends both are complete: that part of the union is a fair sample of it
+        end = np.array([x[-1] if len(x) == SKETCH else np.iinfo(np.int32).max for x in sketches])
+        below = np.stack([np.searchsorted(x, end, side="right") for x in sketches])
+        seen = below + below.T - overlap
+        whole = np.maximum((sizes[:, None] + sizes) / (1 + percent / 100), seen)
+        share = percent / 100
+        ok &= overlap >= seen * (share - DEVIATIONS * np.sqrt(share * (1 - share) / seen * (1 - seen / whole))) - 1e-9
+    if ok.any():  # of the lists that a pair shares, the one of the least value decides it
+        m = incidence([x[x < v] for x in _lists(tile, "prefix")])
+        ok &= m @ m.T == 0
+    return ok
+
+
+def _lists(table: pa.Table, column: str) -> list[np.ndarray]:
+    lists = table.column(column).combine_chunks()
+    at, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [at[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def forest(ok: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Verified links that join the components of a tile's rows, at most one fewer than there are components."""
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.r_[0, np.cumsum([len(z) for z in sets])]
+    sizes, label, out = np.diff(cuts), np.unique(component, return_inverse=True)[1], []
+    for i in np.flatnonzero(ok.any(axis=1)):
+        js = np.flatnonzero(ok[i] & (label != label[i]))
+        if not len(js):
+            continue
+        own = np.zeros(len(values), np.int64)
+        own[flat[cuts[i] : cuts[i + 1]]] = 1
+        both = np.array([own[flat[cuts[j] : cuts[j + 1]]].sum() for j in js])
+        linked = js[100 * both >= percent * (sizes[i] + sizes[js] - both)]
+        for j in linked:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(i), int(j)))
+    return out
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
+    """``done`` of each tile's rows, which follow each other, put together batch by batch."""
+    held: list[pa.RecordBatch] = []
+
+    def out(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        marks = [table.column(c).to_numpy() for c in ("v", "lo", "hi")]
+        cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in marks])]).tolist()
+        ends = [*cut[1:], table.num_rows]
+        whole = len(cut) if last else len(cut) - 1
+        tiles = (done(table.slice(a, b - a).combine_chunks()) for a, b in zip(cut[:whole], ends[:whole], strict=True) if b - a > 1)
+        found = [t for t in tiles if t is not None and t.num_rows]
+        held[:] = [] if last else table.slice(cut[-1]).to_batches()
+        if found:
+            yield from pa.concat_tables(found).combine_chunks().to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            yield from out(pa.Table.from_batches([*held, batch]), False)
+    if held:
+        yield from out(pa.Table.from_batches(held), True)
+
+
+def _with_partners(percent: int):
+    """The rows of each tile that can have a link there, without their sketches."""
+
+    def rows(tile: pa.Table) -> pa.Table:
+        ok = possible(tile, tile.column("n").to_numpy(), _lists(tile, "sketch"), percent)
+        return tile.filter(pa.array(ok.any(axis=0) | ok.any(axis=1))).drop_columns(["n", "sketch"])
+
+    return lambda batches: _by_tile(batches, rows)
+
+
+def _linked(shingle: int, percent: int):
+    """A forest of the links of each tile, found on full sets."""
+
+    def links(tile: pa.Table) -> pa.Table | None:
+        sets = [shingle_set(t, shingle) for t in tile.column("t").to_pylist()]
+        own = [set_mark(z, 1) == s for z, s in zip(sets, tile.column("s1").to_pylist(), strict=True)]  # an id can have more texts
+        tile, sets = tile.filter(pa.array(own)), [z for z, good in zip(sets, own, strict=True) if good]
+        if len(sets) < 2:
+            return None
+        sketches = [(_signed(z[:SKETCH]) >> 32).astype(np.int32) for z in sets]
+        ok = possible(tile, np.array([len(z) for z in sets]), sketches, percent)
+        keys = tile.column("rep").to_numpy()
+        found = forest(ok, tile.column("component").to_numpy(), sets, percent)
+        return pa.table({c: pa.array([keys[x[side]] for x in found], pa.int64()) for side, c in enumerate("ab")})
+
+    return lambda batches: _by_tile(batches, links)
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -203,14 +252,19 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     upper = lambda c: F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c)
     prefixes = lists.groupBy("rep", "s1").agg(F.collect_list("v").alias("prefix"))
     short = sketches.select("rep", "s1", "n", upper("sketch")).join(prefixes.select("rep", "s1", upper("prefix")), ["rep", "s1"])
-    mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("v", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("words")).where("lo <> hi")
+    mixed = mixed.select("v", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("words") / TILE_SHINGLES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep", "s1", "v"), F.col("blocks")).cast("int")
     tiles = placed.join(mixed, "v").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "s1", "component").join(short, ["rep", "s1"])
     # the upper half of a hash is enough to estimate by, and keeps the order
-    tiles = tiles.select("v", "lo", "hi", "own", "rep", "n", "component", "sketch", "prefix").repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
-    rest = saved(tiles.mapInArrow(_tiles(percent), "a long, b long").distinct(), "rest")
-    late = verified(rest)
+    together = lambda df: df.repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
+    tiles = together(tiles.select("v", "lo", "hi", "own", "rep", "s1", "n", "component", "sketch", "prefix"))
+    left = "v long, lo int, hi int, own int, rep long, s1 long, component long, prefix array<int>"
+    rest = saved(tiles.mapInArrow(_with_partners(percent), left), "rest")
+    release(spark)
+    late = together(rest.join(texts.withColumnRenamed("k", "rep"), "rep").select(*rest.columns, "t")).mapInArrow(_linked(shingle, percent), "a long, b long")
+    late = saved(late, "late")
     components = connected_components(found.unionByName(late))
     nodes = components.select(F.col("node").alias("rep"), "component")
     return members.join(nodes, "rep", "left").select("k", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
