@@ -93,9 +93,10 @@ def brute_links(texts: dict[int, str]) -> dict[int, int]:
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_near_duplicates_against_brute_force(spark, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "shingles"), [(4, 1 << 21), (1024, 500), (1024, 1 << 21)])
+def test_near_duplicates_against_brute_force(spark, tile, shingles, monkeypatch):
     monkeypatch.setattr(bottomk, "TILE", tile)
+    monkeypatch.setattr(bottomk, "TILE_SHINGLES", shingles)
     rng = np.random.default_rng(3)
     shared, texts = [f"p{x}" for x in range(60)], {}
     for i in range(150):
