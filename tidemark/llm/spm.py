@@ -23,6 +23,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_CHUNKS = 400_000
+#: Threads of the library in one worker; one for each core of the machine only contend when tasks fill the cores.
+THREADS = 2
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -149,6 +151,7 @@ def codec(path: str) -> tuple:
     """This worker's codec and sentencepiece processor for a model file."""
     if path not in _codecs:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
 
         _codecs[path] = Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
