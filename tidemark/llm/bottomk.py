@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, key_of, mix64, release, saved, small_batches, word_hashes
+from .common import begin_task, connected_components, key_of, mix64, release, saved, small_batches, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 INDEX, SKETCH = 32, 64
@@ -62,6 +62,7 @@ def set_mark(z: np.ndarray, c: int) -> int:
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("bottomk")
         for batch in batches:
             keys, texts = batch.columns
             sets = [shingle_set(t, shingle) for t in texts.to_pylist()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Null ids sort before every other id; inside an operator they carry this key.
 NULL_KEY = -(2**63)
 _own_dir: dict[str, str] = {}
+#: What operators cache in a Python worker, by the operator's module; each fills its own again when it is empty.
+WORKER_CACHES: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -47,6 +50,20 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def begin_task(owner: str) -> None:
+    """Start a task in a Python worker: caches of other operators go, and freed memory returns to the system.
+
+    Spark uses workers again, so without this a pipeline would hold the caches of all its operators at once.
+    """
+    for name, cache in WORKER_CACHES.items():
+        if name != owner:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def key_of(column: str) -> Column:
     """The id as a non-null long."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))

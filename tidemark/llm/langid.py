@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learned_from, small_batches
+from .common import begin_task, learned_from, small_batches
 
 BITS, ORDERS = 16, 3
 #: The classifier is fitted on about this many documents of each language, those with the smallest id hashes.
@@ -113,6 +113,7 @@ def fit_temperature(margins: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_task("langid")
     df, n = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
         for text in batch.column(0).to_pylist():

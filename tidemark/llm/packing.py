@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import begin_task, small_batches
 from .wordbpe import encoder, vocabulary
 
 MAX_TOKENS, END_ID, GROUP_DOCS = 4096, 2, 2048
@@ -64,6 +64,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("wordbpe")
         enc = encoder(path)
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of, mix64, release, saved, small_batches, word_hashes
+from .common import begin_task, key_of, mix64, release, saved, small_batches, word_hashes
 
 WINDOW, ROUNDS = 20, 5
 FAR = 1 << 40
@@ -81,6 +81,7 @@ def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list], np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of many batches together: their columns, their words' hashes, each word's row, each row's first word."""
+    begin_task("recompress")
     held: list[list] = []
     words: list[np.ndarray] = []
     n = 0
@@ -193,6 +194,7 @@ _FOUND = ["k", "th", "pos", "len", "a", "b", "sure"]
 
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("recompress")
         for batch in batches:
             keys, hashes, original, ranges, texts = batch.columns
             kept, n_words, n_removed = [], [], []

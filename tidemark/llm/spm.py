@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import WORKER_CACHES, begin_task, small_batches
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -144,7 +144,7 @@ class Codec:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=True)
 
 
-_codecs: dict[str, tuple] = {}
+_codecs: dict[str, tuple] = WORKER_CACHES.setdefault("spm", {})
 
 
 def codec(path: str) -> tuple:
@@ -169,6 +169,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("spm")
         own, other = codec(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import begin_task, shared_dir, small_batches
 from .wordbpe import encoder, vocabulary
 
 END_ID, SEQUENCE, BATCH = 2, 1024, 1024
@@ -134,6 +134,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, path: str | N
         from pyspark import TaskContext
 
         shard, writer = TaskContext.get().partitionId(), None
+        begin_task("wordbpe")
         enc, end = encoder(path), None
         for batch in batches:
             if writer is None:

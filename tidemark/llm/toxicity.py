@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learned_from, small_batches
+from .common import begin_task, learned_from, small_batches
 
 #: The classifier is fitted on about this many labelled documents of each class, those with the smallest id hashes.
 SAMPLE_PER_CLASS = 8000
@@ -146,6 +146,7 @@ def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_task("toxicity")
     for batch in batches:
         texts, toxic = (c.to_pylist() for c in batch.columns)
         rows = [(w, t, 1) for text, t in zip(texts, toxic, strict=True) for w in {f for w in set(tokens_of(text)) for f in features_of(w)}]
@@ -155,6 +156,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _corpus_counts(lexicon: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("toxicity")
         counts = dict.fromkeys(lexicon, 0)
         total = texts = 0
         known = Memo(lambda w: tuple(f for f in features_of(w) if f in lexicon))

@@ -11,9 +11,11 @@ import os
 
 import numpy as np
 
+from .common import WORKER_CACHES
+
 #: Words held by a worker's cache before it starts anew (about 200 bytes each).
 CACHE_WORDS = 600_000
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = WORKER_CACHES.setdefault("wordbpe", {})
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
