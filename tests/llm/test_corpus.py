@@ -275,6 +275,19 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(odd, nothing).count() == 11
 
 
+def test_many_weak_segments_of_a_long_text_count():
+    model = toxicity.ToxicityModel({"insult": 7.0}, 1.0)
+    words = ["plain"] * 20_000
+    words[100:20_000:199] = ["insult"] * 100
+    segments = model.passages(" ".join(words))[0]
+    assert len(segments) == 100 and 73 < model.statistic(segments, 20_000) < 74
+    p, n, found = model.score(" ".join(words))
+    assert p > 0.99 and n == 100 and set(found) == {"insult"}
+    assert model.score(" ".join(["plain"] * 20_000))[0] == 0.5
+    few = [w if i < 2000 else "plain" for i, w in enumerate(words)]  # by chance about 18
+    assert model.score(" ".join(few))[:2] == (0.5, 0)
+
+
 def test_licenses(spark, odd):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://x\nUnless required by applicable law or agreed to in writing, software is as is.'
     rows = [(1, apache), (2, "text\nReleased under the MIT License.\nmore. All rights reserved."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "no such thing"), (6, None), (7, "Redistributions of source code must retain the above copyright notice, x.")]

@@ -89,13 +89,14 @@ class ToxicityModel:
     slope: float = 1.0
     offset: float = 0.0
 
+    def gains(self, segments: list[tuple[int, int, float]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segment scores among ``n`` words, best first, and the joint statistic of the best one, two, ... of them."""
+        s = np.sort(np.array([s for *_, s in segments], float))[::-1]
+        return s, np.cumsum(self.rate * s - np.log(max(n, 1)) + np.log(np.arange(1, len(s) + 1)))
+
     def statistic(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        """Joint extreme-value statistic of the best segments among ``n`` words; higher is less likely by chance."""
-        best, total, log_n = 0.0, 0.0, np.log(max(n, 1))
-        for r, s in enumerate(sorted((s for *_, s in segments), reverse=True)[:32], 1):
-            total += self.rate * s - log_n + np.log(r)
-            best = max(best, total)
-        return best
+        """Joint extreme-value statistic of the best segments among ``n`` words, however many; higher is less likely by chance."""
+        return float(max(self.gains(segments, n)[1].max(initial=0.0), 0.0))
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], list[str]]:
         """Maximal segments of a text as word ranges, and its words."""
@@ -112,11 +113,15 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_memo"}
 
     def score(self, text: str | None) -> tuple[float, int, list[str]]:
-        """Probability, number and words of the significant passages (an expected count by chance below one)."""
+        """Probability, number and words of the significant passages: those whose joint statistic is the highest.
+
+        Every passage with an expected count by chance below one is among them.
+        """
         segments, words = self.passages(text)
+        best, total = self.gains(segments, len(words))
         x = self.statistic(segments, len(words))
-        bar = np.log(max(len(words), 1)) / self.rate if self.rate else np.inf
-        found = [" ".join(words[a:b]) for a, b, s in segments if s > bar]
+        bar = best[int(total.argmax())] if x > 0 else np.inf
+        found = [" ".join(words[a:b]) for a, b, s in segments if s >= bar]
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -40, 40)))), len(found), found
 
 
