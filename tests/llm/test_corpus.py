@@ -288,6 +288,26 @@ def test_many_weak_segments_of_a_long_text_count():
     assert model.score(" ".join(few))[:2] == (0.5, 0)
 
 
+def test_rare_and_moderate_insults_count(spark):
+    """Insults of 20 toxic texts each, and one of 10 % of the toxic and 0.75 % of the clean texts."""
+    assert toxicity.shrunk_odds(np.array([20.0]), np.array([0.0]), 8000, 8000, np.array([1e-4]))[0] > 2
+    assert toxicity.shrunk_odds(np.array([800.0]), np.array([60.0]), 8000, 8000, np.array([0.01]))[0] > 2
+    assert toxicity.shrunk_odds(np.array([60.0]), np.array([800.0]), 8000, 8000, np.array([0.01]))[0] < -2
+    rng = np.random.default_rng(5)
+    letters = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    plain = [a + b for a in letters for b in letters]
+    rows = []
+    for i in range(2400):
+        text = [plain[x] for x in (rng.pareto(1.0, 80) * 20).astype(int) % len(plain)]
+        toxic = i % 3 == 0
+        rows.append((i, " ".join([*text[:40], *([f"zz{'qxvw'[i % 4]}{'qxvwzjkpyt'[i // 80 % 10]}"] * 2 if toxic else []), *text[40:]]), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity_model(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    out = toxicity.score_toxicity(df, model).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).toPandas()
+    flagged = out.toxicity >= toxicity.THRESHOLD
+    assert flagged[out.toxic == 1].mean() > 0.9 and flagged[out.toxic == 0].mean() < 0.05
+
+
 def test_licenses(spark, odd):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://x\nUnless required by applicable law or agreed to in writing, software is as is.'
     rows = [(1, apache), (2, "text\nReleased under the MIT License.\nmore. All rights reserved."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "no such thing"), (6, None), (7, "Redistributions of source code must retain the above copyright notice, x.")]

@@ -1,15 +1,18 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens are words and word beginnings (insults are inflected and joined). They score by their log-odds between
-toxic and other documents under an informative Dirichlet prior (the corpus's own token frequencies); a word
-takes the score of its longest known token, and every other word scores a little below zero. One pass over a text's scores finds
-all maximal segments in linear time. Segment scores follow extreme-value statistics, which sets apart chance
-runs in long texts; the segments' joint statistic becomes a probability by a calibration on labels.
+toxic and other documents under an informative Dirichlet prior (the corpus's own token frequencies), drawn towards
+zero by a share of their error; a word takes the score of its most telling token, and every score is lowered a
+little. One pass over a text's scores finds all maximal segments in linear time. Segment scores follow extreme-value
+statistics, which sets apart chance runs in long texts; the segments' joint statistic becomes a probability by a
+calibration on labels. Chance and calibration come from texts that the odds in use did not see.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +27,9 @@ from .common import begin_task, learned_from, small_batches
 SAMPLE_PER_CLASS = 8000
 #: Tokens with a score of their own at most.
 LEXICON = 20_000
-DRIFT, PRIOR, CONFIDENCE, MIN_DOCS = 0.2, 50.0, 0.5, 3
-#: The least log-odds, less CONFIDENCE standard errors, of a toxic token.
-MIN_ODDS = 3.0
+DRIFT, PRIOR, CONFIDENCE, MIN_DOCS = 0.2, 50.0, 1.0, 3
+#: The least prior count of a token, that of a token never seen having an error of 1.4.
+LEAST_PRIOR = 0.5
 #: Lengths of the beginnings that count as tokens, marked by a final hyphen.
 BEGINNINGS = (4, 5, 6)
 CACHE_WORDS = 500_000
@@ -88,6 +91,7 @@ class ToxicityModel:
     rate: float  # the exponent of the extreme-value tail
     slope: float = 1.0
     offset: float = 0.0
+    drift: float = DRIFT  # by so much the scores are lowered; minus the score of other words
 
     def gains(self, segments: list[tuple[int, int, float]], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Segment scores among ``n`` words, best first, and the joint statistic of the best one, two, ... of them."""
@@ -107,7 +111,7 @@ class ToxicityModel:
         return maximal_segments(s), words
 
     def word_score(self, word: str) -> float:
-        return next((self.scores[f] for f in features_of(word) if f in self.scores), -DRIFT)
+        return max((self.scores[f] for f in features_of(word) if f in self.scores), key=lambda s: abs(s + self.drift), default=-self.drift)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_memo"}
@@ -154,9 +158,25 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin_task("toxicity")
     for batch in batches:
         texts, toxic = (c.to_pylist() for c in batch.columns)
-        rows = [(w, t, 1) for text, t in zip(texts, toxic, strict=True) for w in {f for w in set(tokens_of(text)) for f in features_of(w)}]
-        words, t, one = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(t, pa.int64()), pa.array(one, pa.int64())], names=["word", "toxic", "docs"])
+        rows = [(w, t, half_of(text)) for text, t in zip(texts, toxic, strict=True) for w in {f for w in set(tokens_of(text)) for f in features_of(w)}]
+        words, t, half = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(t, pa.int64()), pa.array(half, pa.int64())], names=["word", "toxic", "half"])
+
+
+def half_of(text: str) -> int:
+    """The half, 0 or 1, of the sample that a text is in."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) >> 7 & 1
+
+
+def shrunk_odds(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, share: np.ndarray) -> np.ndarray:
+    """Log-odds of tokens in ``y1`` of ``n1`` toxic and ``y0`` of ``n0`` other texts, nearer to zero by CONFIDENCE errors.
+
+    They are odds of a toxic text given the token, so that tokens of nearly all texts are near zero in either class.
+    """
+    prior = np.clip(PRIOR * share, LEAST_PRIOR, PRIOR / 2)
+    part = lambda y, m: np.log((y + prior) / (m + PRIOR))
+    delta = part(y1, n1) - part(y0, n0)
+    return np.sign(delta) * np.maximum(np.abs(delta) - CONFIDENCE * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)), 0)
 
 
 def _corpus_counts(lexicon: set[str]):
@@ -195,28 +215,56 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < share)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # about 2 * sample_per_class short rows are broadcast
-    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(_words_of, "word string, toxic long, docs long")
-    words = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("docs")).where(F.col("t") >= MIN_DOCS)
-    n1, n0 = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
+    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(_words_of, "word string, toxic long, half long")
+    t, docs_n = F.sum("toxic"), F.count("*")
+    words = words.groupBy("word").agg(t.alias("t"), docs_n.alias("docs"), F.sum(F.col("toxic") * F.col("half")).alias("t1"), F.sum("half").alias("docs1")).where(F.col("t") >= MIN_DOCS)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, toxic = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(half_of, texts)), pa.int32()), pa.array(toxic, pa.int32())], names=["half", "toxic"])
+
+    size = {(r.half, r.toxic): r["count"] for r in sample.select("text", "toxic").mapInArrow(sizes, "half int, toxic int").groupBy("half", "toxic").count().collect()}
+    of = lambda toxic, *halves: sum(size.get((h, toxic), 0) for h in halves)
+    n1, n0 = max(of(1, 0, 1), 1), max(of(0, 0, 1), 1)
     odds = F.log((F.col("t") + 0.5) / (n1 - F.col("t") + 0.5)) - F.log((F.col("docs") - F.col("t") + 0.5) / (n0 - F.col("docs") + F.col("t") + 0.5))
-    picked = words.withColumn("odds", odds).where("odds > 0").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(lexicon).toPandas()
+    picked = words.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt("t")), "word").limit(lexicon).toPandas()
     corpus = dict(texts.select("text").mapInArrow(_corpus_counts(set(picked.word)), "word string, n long").groupBy("word").agg(F.sum("n")).collect())
-    total, texts_n = max(corpus.pop("", 0), 1), max(corpus.pop("-", 0), 1)
+    corpus.pop("", 0)
+    texts_n = max(corpus.pop("-", 0), 1)
     share_of_texts = np.array([corpus.get(w, 0) / texts_n for w in picked.word])
-    prior = np.clip(PRIOR * share_of_texts, 0.01, PRIOR / 2)
-    y1, y0 = picked.t.to_numpy(float), (picked.docs - picked.t).to_numpy(float)
-    part = lambda y, m: np.log((y + prior) / (m + PRIOR - y - prior))
-    delta = part(y1, n1) - part(y0, n0)
-    low = delta - CONFIDENCE * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-    scores = {w: float(s) for w, s in zip(picked.word, low, strict=True) if s > MIN_ODDS}
-    s = np.r_[list(scores.values()), -DRIFT]
-    p = np.array([(y + 0.5) / ((n0 + 1) * max(total / texts_n, 1)) for y, w in zip(y0, picked.word, strict=True) if w in scores])
-    model = ToxicityModel(scores, tail_rate(s, np.r_[p, 1 - p.sum()]))
+
+    def learned(y1: np.ndarray, docs_in: np.ndarray, toxic_n: int, other_n: int) -> ToxicityModel:
+        seen = y1 >= MIN_DOCS
+        score = shrunk_odds(y1.astype(float), (docs_in - y1).astype(float), max(toxic_n, 1), max(other_n, 1), share_of_texts)
+        return ToxicityModel({w: float(s) for w, s, ok in zip(picked.word, score, seen, strict=True) if ok}, 0.0, drift=0.0)
+
+    y1, docs_in, y1_1, docs_1 = (picked[c].to_numpy() for c in ("t", "docs", "t1", "docs1"))
+    model = learned(y1, docs_in, n1, n0)
+    # halves[h] scores the texts of half h by the odds of the other half
+    halves = [learned(y1_1, docs_1, of(1, 1), of(0, 1)), learned(y1 - y1_1, docs_in - docs_1, of(1, 0), of(0, 0))]
+
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        memos = [Memo(lambda w, m=m: round(m.word_score(w), 2)) for m in halves]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(map(memos[half_of(text)].__getitem__, tokens_of(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["s", "n"])
+
+    seen = sample.where("toxic = 0").select("text").mapInArrow(chances, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    # and half an occurrence of the highest score, which no such text may hold
+    s = np.r_[seen.s.to_numpy(float), max(model.scores.values(), default=0.0)]
+    chance = np.r_[seen.n.to_numpy(float), 0.5]
+    chance /= chance.sum()
+    drift = DRIFT + max(float(chance @ s), 0.0)  # below zero on average
+    rate = tail_rate(s - drift, chance)
+    for m in (model, *halves):
+        m.drift, m.rate, m.scores = drift, rate, {w: x - drift for w, x in m.scores.items()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.statistic(*((seg := model.passages(t))[0], len(seg[1]))) for t in batch.column(0).to_pylist()]
+            found = [halves[half_of(t)].statistic(*((seg := halves[half_of(t)].passages(t))[0], len(seg[1]))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
     fitted = sample.select("text", "toxic").mapInArrow(measure, "x double, toxic int").toPandas()
