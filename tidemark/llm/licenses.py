@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised, and known ones become identifiers. The sequence of a
-text's identifiers is then read from left to right against ordered rules, the first (longest) that
+A text is normalised, with marks where sentences end or may end, and known sentences in it, which may run over
+lines, colons and comment marks, become identifiers. The sequence of a text's identifiers is then read from left to right against ordered rules, the first (longest) that
 fits naming a licence and consuming its sentences. Identifiers no rule takes are reported as unmatched.
 """
 
@@ -63,29 +63,41 @@ RULES = [
     ("SPDX", ["spdx"]),
     ("Proprietary", ["all_rights"]),
 ]
-#: A sentence of a known kind holds one of these stems; others are not normalised at all.
-HINT = "licen[cs]e|permi(t|ssion)|warrant|redistribut|copyright|as is|rights reserved|cc by|cc-by|neither the name|free software|useful"
-END = r"(?<=[.!?;:])\s+|\n+"
+#: A text with a known sentence holds one of these stems; others are not normalised at all.
+HINT = "licen[cs]e|permi(t|ssion)|warrant|redistribut|copyright|as is|rights reserved|cc by|cc-by|neither the name|free software|useful".replace(" ", r"\W+")
+#: Comment and list marks at the start of a line.
+MARKS = r"(?m)^[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|<!--|%+|>+|(?:REM|dnl)\b|[-•]|\(?[0-9a-zA-Z]{1,2}[.)])[ \t]+|(?://+|/?\*+/?|#+|;+|--+|%+|>+)[ \t]*(?=\r?$))*"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, quotes and comment marks out, other marks to spaces, single spaces, no final full stop."""
-    s = F.regexp_replace(F.lower(sentence), r"[\"'`*#]+", "")
-    s = F.regexp_replace(s, r"[^a-z0-9.]+", " ")
-    return F.regexp_replace(F.trim(s), r"\.+$", "")
+def normalised(text: Column) -> Column:
+    """Lower case, single spaces, ``|`` where a sentence ends for certain and ``;`` where it may (a line's end, colons).
+
+    Sentences end for certain at a full stop or the like and at an empty line. Quotes and the marks at the start of
+    lines go; all other marks become spaces.
+    """
+    s = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    s = F.regexp_replace(s, MARKS, "")
+    s = F.regexp_replace(s, r"[\"'`*#|]+", "")
+    s = F.regexp_replace(s, r"[.!?]+(?=\s|$)|\n\s*\n", " | ")
+    s = F.regexp_replace(s, r"[:;](?=\s|$)|\n", " ; ")
+    s = F.regexp_replace(s, r"[^a-z0-9.|;]+", " ")
+    return F.concat(F.lit("| "), s, F.lit(" |"))
 
 
 def _pattern(known: str) -> str:
-    parts = [" ".join("".join(c if c.isalnum() or c == "." else " " for c in part).split()).replace(".", r"\.") for part in known.split("*")]
-    return "^" + "\\b.*\\b".join(p for p in parts if p) + (".*" if known.endswith("*") else "") + "$"
+    """A known sentence within a normalised text: it starts and ends where a sentence may, and possible ends within it don't count."""
+    parts = [r"[ ;]+".join("".join(c if c.isalnum() or c == "." else " " for c in part).split()).replace(".", r"\.") for part in known.split("*")]
+    body = r"\b[^|@]*?\b".join(p for p in parts if p)
+    return r"(?<=[|;] )" + body + ("" if known.endswith("*") else r"(?= ?[|;])")
 
 
-def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, null if it is not known; earlier entries win."""
-    out = F.lit(None).cast("string")
-    for known, name in reversed(SENTENCES):
-        out = F.when(sentence.rlike(_pattern(known)), name).otherwise(out)
-    return out
+def identifiers(text: Column) -> Column:
+    """The identifiers of a text's known sentences in order; earlier entries win, what follows one belongs to it."""
+    s = normalised(text)
+    for i, (known, _) in enumerate(SENTENCES):
+        s = F.regexp_replace(s, _pattern(known), f"@{i} ")
+    names = F.array(*[F.lit(name) for _, name in SENTENCES])
+    return F.transform(F.regexp_extract_all(s, F.lit(r"@(\d+)"), F.lit(1)), lambda i: F.get(names, i.cast("int")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,9 +108,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sentences = F.filter(F.split(text, END), lambda s: s.rlike(f"(?i){HINT}"))
-    ids = F.filter(F.transform(sentences, lambda s: identifier(normalised(s))), lambda x: x.isNotNull())
-    ids = F.when(text.rlike(f"(?i){HINT}"), ids).otherwise(F.array().cast("array<string>"))
+    ids = F.when(text.rlike(f"(?i){HINT}"), identifiers(text)).otherwise(F.array().cast("array<string>"))
     read = F.concat(F.lit(" "), F.array_join(F.col("sentence_ids"), "  "), F.lit(" "))
     for i, (_, rule) in enumerate(RULES):
         read = F.regexp_replace(read, " " + "  ".join(rule) + " ", f" ={i} ")
