@@ -54,27 +54,30 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     Columns: ``doc_id, start, length, doc_tokens`` (long), ``ids`` (binary, little-endian unsigned 32 bit),
     ``sequence_id, offset`` (long). A document's ids and the end id are cut into full pieces and one
     rest; pieces go to random groups of about ``group_docs`` documents (full pieces on their own, so a very
-    long document fills no group), and each group is packed by itself. A null text counts as empty: one
-    piece with the end id. Rows of equal id are packed separately, null ids stay null, an empty
+    long document fills no group), and each group is packed by itself. A row's group follows from its id, its text
+    and its input partition, so that rows of one id, or of none, don't share a group. A null text counts as empty: one
+    piece with the end id. Rows of equal id are packed separately, repeated rows too, null ids stay null, an empty
     table gives no pieces, and other columns are ignored.
     """
     small_batches(docs.sparkSession)
     path = path or vocabulary()
     groups = max(1, math.ceil(docs.count() / group_docs))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text, F.spark_partition_id()).alias("salt"), text.cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("wordbpe")
         enc = encoder(path)
+        end, wide = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        step = max_tokens * wide
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
+            ids, salts, texts = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
-            for doc_id, tokens in zip(ids, enc.encode(texts), strict=True):
-                tokens = np.append(tokens, enc.dtype.type(end_id))
-                out += [(doc_id, i, len(part := tokens[i : i + max_tokens]), len(tokens), part.tobytes()) for i in range(0, len(tokens), max_tokens)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            for doc_id, salt, raw in zip(ids, salts, enc.encode_bytes(texts, end), strict=True):
+                out += [(doc_id, salt, i // wide, len(part := raw[i : i + step]) // wide, len(raw) // wide, part) for i in range(0, len(raw), step)]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "salt", "start", "length", "doc_tokens", "ids"])
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
@@ -85,7 +88,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         made = {"ids": pa.array(wide, pa.binary()), "sequence_id": pa.array(np.array(bins, np.int64) + (group << 32)), "offset": pa.array(offsets, pa.int64())}
         return pa.table({c: table.column(c) for c in ("doc_id", "start", "length", "doc_tokens")} | made)
 
-    schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
+    schema = "doc_id long, {}start long, length long, doc_tokens long, ids binary"
     alone = F.when(F.col("length") == max_tokens, F.col("start")).otherwise(-1)
-    pieces = rows.mapInArrow(cut, schema).withColumn("piece_group", F.pmod(F.xxhash64("doc_id", alone), F.lit(groups)))
-    return pieces.groupBy("piece_group").applyInArrow(pack, f"{schema}, sequence_id long, offset long")
+    pieces = rows.mapInArrow(cut, schema.format("salt long, ")).withColumn("piece_group", F.pmod(F.xxhash64("salt", alone), F.lit(groups))).drop("salt")
+    return pieces.groupBy("piece_group").applyInArrow(pack, schema.format("") + ", sequence_id long, offset long")

@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
-One shard is one Arrow IPC file of record batches with two fixed-size-list columns, ``input_ids`` and
-``attention_mask``; a second, small Arrow file lists the shard's documents. A reader maps the file and
+A file is an Arrow IPC file of record batches with two fixed-size-list columns, ``input_ids`` and
+``attention_mask``; a second, small Arrow file lists its documents. A reader maps the file and
 gets any sequence, or any run of tokens, as a view without copying.
 """
 
@@ -14,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import begin_task, shared_dir, small_batches
+from .common import begin_task, saved, shared_dir, small_batches
 from .wordbpe import encoder, vocabulary
 
 END_ID, SEQUENCE, BATCH = 2, 1024, 1024
 SHARD_BYTES = 48 << 20
+#: Most tasks that read files, and ranges of ids whose token sums are added up together.
+READERS, SUM_GROUP = 10_000, 1024
 
 
 def _open(path: str):
@@ -30,46 +32,53 @@ def _open(path: str):
 
 
 class ShardWriter:
-    """Appends documents' ids to one shard; whole batches are written as soon as they are full."""
+    """Appends documents' ids to one file; whole batches are written as soon as they are full."""
 
     def __init__(self, stem: str, dtype: np.dtype, sequence: int = SEQUENCE, batch: int = BATCH) -> None:
-        self.stem, self.sequence, self.dtype, self.step = stem, sequence, np.dtype(dtype), sequence * batch
+        self.stem, self.sequence, self.dtype = stem, sequence, np.dtype(dtype)
+        self.step = sequence * batch * self.dtype.itemsize  # bytes in a full batch
         self.fs, name = _open(f"{stem}.ids.arrow")
         self.schema = pa.schema({"input_ids": pa.list_(pa.from_numpy_dtype(self.dtype), sequence), "attention_mask": pa.list_(pa.bool_(), sequence)})
         self.fs.create_dir(name.rpartition("/")[0])
         self.sink = self.fs.open_output_stream(name)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
-        self.waiting: list[np.ndarray] = []
+        self.full = self._mask(sequence * batch, sequence * batch)
+        self.waiting: list[bytes] = []
         self.held = self.total = 0
-        self.docs: list[tuple[int | None, int, int]] = []
-
-    def _put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.total, len(ids)))
-        self.total += len(ids)
+        self.ids: list[int | None] = []
+        self.starts: list[int] = []
+
+    def _mask(self, n: int, real: int) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.arange(n) < real), self.sequence)
+
+    def _put(self, ids: bytes | memoryview, mask: pa.Array) -> None:
+        n = len(ids) // self.dtype.itemsize
+        values = pa.Array.from_buffers(pa.from_numpy_dtype(self.dtype), n, [None, pa.py_buffer(ids)])
+        self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(values, self.sequence), mask], schema=self.schema))
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """One document's ids, little-endian and of the file's type."""
+        self.ids.append(doc_id)
+        self.starts.append(self.total)
+        self.total += len(ids) // self.dtype.itemsize
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= self.step:
-            all_ids = np.concatenate(self.waiting)
-            full = len(all_ids) // self.step * self.step
-            for i in range(0, full, self.step):
-                self._put(all_ids[i : i + self.step], self.step)
-            self.waiting, self.held = [all_ids[full:]], len(all_ids) - full
+            every = memoryview(b"".join(self.waiting))
+            done = len(every) // self.step * self.step
+            for i in range(0, done, self.step):
+                self._put(every[i : i + self.step], self.full)
+            self.waiting, self.held = [bytes(every[done:])], len(every) - done
 
     def close(self) -> None:
         if self.held:
-            ids = np.concatenate(self.waiting)
-            padded = np.zeros(math.ceil(len(ids) / self.sequence) * self.sequence, self.dtype)
-            padded[: len(ids)] = ids
-            self._put(padded, len(ids))
+            width = self.sequence * self.dtype.itemsize
+            padded = b"".join(self.waiting).ljust(math.ceil(self.held / width) * width, b"\0")
+            self._put(padded, self._mask(len(padded) // self.dtype.itemsize, self.held // self.dtype.itemsize))
         self.writer.close()
         self.sink.close()
-        ids, starts, lengths = (list(x) for x in zip(*self.docs, strict=True)) if self.docs else ([], [], [])
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64())})
+        lengths = np.diff([*self.starts, self.total])
+        table = pa.table({"doc_id": pa.array(self.ids, pa.int64()), "start": pa.array(self.starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64())})
         _, name = _open(f"{self.stem}.docs.arrow")
         with self.fs.open_output_stream(name) as sink, pa.ipc.new_file(sink, table.schema) as writer:
             writer.write_table(table)
@@ -114,50 +123,62 @@ class ShardReader:
 
 
 def write_token_files(docs: DataFrame, out_dir: str | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, sequence: int = SEQUENCE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode every whole text and write shards in ascending id order; returns the manifest.
-
-    Manifest columns: ``shard`` int (position), ``stem`` string, ``start`` long (tokens in all earlier
-    shards), ``n_tokens`` long, ``n_docs`` long. The manifest has one row a shard, and only its token
-    sums pass through the driver. A null text counts as empty and yields the end id alone; null ids come
-    first; rows of equal id stay apart, ordered by text; an empty table gives an empty manifest. Other
-    columns are ignored. A task that runs again writes new files under another name, and only those the
-    manifest names are read.
+    """Encode every whole text and write files in ascending id order; returns the manifest.
+
+    Manifest columns: ``shard`` int and ``part`` int (the file's place), ``stem`` string, ``start`` long (tokens in
+    all earlier files), ``n_tokens`` long, ``n_docs`` long. It has one row a file and is itself a table in the shared
+    folder; nothing of it passes through the driver. A null text counts as empty and yields the end id alone; null ids
+    come first; rows of equal id stay apart, in the order of their texts' hashes, so that an id that many rows have (or
+    null) fills as many shards as it needs; repeated rows stay; an empty table gives an empty manifest. A shard is one
+    task's range of ids; when a file holds more than ``shard_bytes`` of ids the task goes on in another. Other
+    columns are ignored. A task that runs again writes new files under another name, and only those the manifest
+    names are read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     out_dir, path = out_dir or shared_dir(spark, "token-files"), path or vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, writer = TaskContext.get().partitionId(), None
+        shard, writer, made = TaskContext.get().partitionId(), None, []
         begin_task("wordbpe")
-        enc, end = encoder(path), None
+        enc = encoder(path)
+        end = np.array([end_id], enc.dtype).tobytes()
+
+        def close() -> None:
+            writer.close()
+            made.append((len(made), writer.stem, writer.total, len(writer.ids)))
+
         for batch in batches:
-            if writer is None:
-                end = np.array([end_id], enc.dtype)
-                writer = ShardWriter(f"{out_dir}/{shard:06d}-{uuid.uuid4().hex[:12]}", enc.dtype, sequence)
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for doc_id, tokens in zip(ids, enc.encode(texts), strict=True):
-                writer.add(doc_id, np.concatenate([tokens, end]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_bytes(batch.column(1).to_pylist(), end), strict=True):
+                if writer is None:
+                    writer = ShardWriter(f"{out_dir}/{shard:06d}-{len(made):04d}-{uuid.uuid4().hex[:12]}", enc.dtype, sequence)
+                writer.add(doc_id, ids)
+                if writer.total * enc.dtype.itemsize > shard_bytes:
+                    close()
+                    writer = None
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "stem": [writer.stem], "n_tokens": [writer.total], "n_docs": [len(writer.docs)]})
+            close()
+        part, stem, n_tokens, n_docs = zip(*made, strict=True) if made else ((), (), (), ())
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(made), pa.int32()), "part": pa.array(part, pa.int32()), "stem": pa.array(stem, pa.string()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_docs": pa.array(n_docs, pa.int64())})
 
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = sorted(dealt.mapInArrow(write, "shard int, stem string, n_tokens long, n_docs long").collect())
-    start, manifest = 0, []
-    for row in made:
-        manifest.append((row.shard, row.stem, start, row.n_tokens, row.n_docs))
-        start += row.n_tokens
-    return spark.createDataFrame(manifest, "shard int, stem string, start long, n_tokens long, n_docs long")
+    dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    files = saved(dealt.mapInArrow(write, "shard int, part int, stem string, n_tokens long, n_docs long"), "token-files-manifest")
+    # running sums in two levels: within groups of shards, and over the groups (one short row for each 1024 shards)
+    files = files.withColumn("g", F.floor(F.col("shard") / SUM_GROUP))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = files.groupBy("g").agg(F.sum("n_tokens").alias("n_tokens")).select("g", before(Window.orderBy("g")).alias("base"))
+    within = files.withColumn("within", before(Window.partitionBy("g").orderBy("shard", "part")))
+    return within.join(groups, "g").select("shard", "part", "stem", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "n_docs")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Every document of the shards: ``doc_id, start, n_tokens, ids`` (binary, little-endian unsigned 32 bit)."""
+    """Every document of the files: ``doc_id, start, n_tokens, ids`` (binary, little-endian unsigned 32 bit)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,5 +189,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     tokens = [b"".join(x.astype("<u4").tobytes() for x in reader.tokens(s, n)) for s, n in zip(starts.to_pylist(), lengths.to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts.to_numpy() + row["start"]), lengths, pa.array(tokens, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    n = max(1, manifest.count())
+    n = min(max(1, manifest.count()), READERS)
     return manifest.select("stem", "start").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
