@@ -165,11 +165,28 @@ def test_token_files(spark, docs, odd, tmp_path):
             assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(ids))
             assert zlib.crc32(bytes(r.ids)) == zlib.crc32(np.array(ids, "<u4").tobytes())
             at += len(ids)
+        files = sorted(manifest.collect(), key=lambda f: (f.shard, f.part))
+        assert [f.start for f in files] == [sum(f.n_tokens for f in files[:i]) for i in range(len(files))]
     reader = tokenbin.ShardReader(manifest.first().stem)
     assert len(reader.sequence_ids(0)) == 64 and not reader.sequence_ids(0).flags.owndata
     assert tokenbin.read_token_files(tokenbin.write_token_files(odd.limit(0))).count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    groups = packing.pack_documents(df, group_docs=100).select((F.col("sequence_id") / 2**32).cast("int")).distinct().count()
+    assert groups == 30
+    files = tokenbin.write_token_files(df, shard_bytes=4096).collect()
+    assert len({f.shard for f in files}) > 4 and max(f.n_docs for f in files) < 1500 and sum(f.n_docs for f in files) == 3000
+
+
+def test_plain_words_equal_whole_text_encoding():
+    rng, letters = np.random.default_rng(4), "abcéß'sdrevlmt0123.,!?\"#$%&()*+-/:;<=>@[]^_`{|}~ \t\nÉÀıſKÅ漢字é́ ．⁄'\x01\x7f\x85"
+    texts = ["".join(letters[x] for x in rng.integers(0, len(letters), n)) for n in rng.integers(1, 60, 5000)]
+    got = wordbpe.WordEncoder(wordbpe.vocabulary()).encode([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == whole_ids(texts)
+
+
 def test_packing(spark, docs, odd):
     for df in (docs, odd):
         rows = packing.pack_documents(df, group_docs=64).collect()
@@ -185,6 +202,8 @@ def test_packing(spark, docs, odd):
             assert at <= 4096
         expected = Counter(len(x) + 1 for x in whole_ids([r.text or "" for r in df.select("text").collect()]))
         assert Counter(r.doc_tokens for r in rows if r.start == 0) == expected and sum(r.length for r in rows) == sum(k * v for k, v in expected.items())
+        pieces = [(r.doc_id, i, bytes(np.array(ids[i : i + 4096], "<u4"))) for r, ids in zip(df.collect(), ([*x, 2] for x in whole_ids([r.text or "" for r in df.select("text").collect()])), strict=True) for i in range(0, len(ids), 4096)]
+        assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in rows) == Counter(pieces)
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
@@ -323,6 +342,42 @@ def test_sentencepiece(spark, docs, odd):
         assert out.where("not parity or not round_trip").count() == 0 and out.count() == df.count()
 
 
+def test_parity_by_chunk_is_parity_of_whole_texts(docs, odd):
+    own = spm.Codec(wordbpe.vocabulary("piece_bpe_32k.model"))
+    texts = [r.text or "" for d in (docs, odd) for r in d.select("text").collect()] + ["", " ", "ends with a space ", "  two  spaces  ", "a▁b ▁ c", "<0x41> <unk> <s>", "🙂 é\tx\n"]
+    ids, odd_texts = own.encode_normalised(own.normalise(texts))
+    assert own.parity_by_chunk and ids == [np.array(x, "<u4").tobytes() for x in own.other.encode(texts)]
+    assert all(own.parity(texts, ids, odd_texts))
+    own.odd.add("▁▁▁two")
+    assert own.parity(texts, *own.encode_normalised(own.normalise(texts)))[-4] is False
+
+
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+@pytest.mark.parametrize("options", [{}, {"byte_fallback": True}, {"byte_fallback": True, "normalization_rule_name": "identity", "remove_extra_whitespaces": False}, {"user_defined_symbols": ["[USER]", "<sep>"], "control_symbols": ["<ctl>"]}, {"add_dummy_prefix": False}])
+def test_other_models_equal_the_library(docs, tmp_path, kind, options):
+    """Models trained for this test alone: unigram, byte fallback, control and user-defined pieces, character maps."""
+    import sentencepiece
+
+    corpus = [(r.text or "")[:2000] for r in docs.select("text").collect()]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(corpus), model_prefix=f"{tmp_path}/m", model_type=kind, vocab_size=800, minloglevel=2, hard_vocab_limit=False, **options)
+    own = spm.Codec(f"{tmp_path}/m.model")
+    texts = ["", " ", "  a  b ", "<s> </s> <unk> <ctl>", "x<0x41>y <0xE2>", "日本語 テキスト", "é ﬁ Ａ ½ ①", "a▁b ▁ c", "tab\tnew\nline\r\n", "[USER] foo[USER]bar", "foo<sep>bar <sep>", "\u3000ideographic\u00a0nbsp", "🙂🙂 emoji", "é combining", "and the of error"]
+    ids, odd_texts = own.encode_normalised(own.normalise(texts))
+    expected = own.other.encode(texts)
+    assert ids == [np.array(x, "<u4").tobytes() for x in expected]
+    assert all(own.parity(texts, ids, odd_texts))
+    assert own.decode([np.frombuffer(x, "<u4") for x in ids]) == own.other.decode(expected)
+
+
+def test_decoding_pieces(spark, odd):
+    path = wordbpe.vocabulary("piece_bpe_32k.model")
+    back = spm.decode_pieces(spm.encode_pieces(odd, path), path)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text or "") for r in odd.collect())
+    broken = spm.Codec(path).decode([np.array([3 + 0xE2, 3 + 0x82], np.uint32)])
+    assert broken == [spm.Codec(path).other.decode([3 + 0xE2, 3 + 0x82])]
+    assert spm.encode_pieces(odd.limit(0), path).count() == 0 == spm.decode_pieces(spm.encode_pieces(odd.limit(0), path), path).count()
+
+
 def test_pipeline_runs_and_shrinks(spark):
     import corpus_pipeline as cp
 
