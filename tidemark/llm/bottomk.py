@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import begin_task, connected_components, key_of, mix64, release, saved, small_batches, word_hashes
+from .common import begin_task, connected_components, discard, key_of, mix64, release, saved, small_batches, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 INDEX, SKETCH = 32, 64
@@ -267,5 +267,6 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     late = together(rest.join(texts.withColumnRenamed("k", "rep"), "rep").select(*rest.columns, "t")).mapInArrow(_linked(shingle, percent), "a long, b long")
     late = saved(late, "late")
     components = connected_components(found.unionByName(late))
+    discard(sets, lists, sketches, texts, found, rest, late)
     nodes = components.select(F.col("node").alias("rep"), "component")
     return members.join(nodes, "rep", "left").select("k", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +17,57 @@ from pyspark.sql import functions as F
 #: Null ids sort before every other id; inside an operator they carry this key.
 NULL_KEY = -(2**63)
 _own_dir: dict[str, str] = {}
+#: Tables written by :func:`saved` that are still there, by path.
+_TABLES: dict[str, SparkSession] = {}
 #: What operators cache in a Python worker, by the operator's module; each fills its own again when it is empty.
 WORKER_CACHES: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors share (``spark.checkpoint.dir``)."""
+    """A fresh path below the folder that all executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local session (all in one process) uses a folder of its own; on a cluster it is an error,
+    as a folder of one machine would hold only its part of a table.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dir:
-            _own_dir[app] = tempfile.mkdtemp(prefix="spark-")
-        base = _own_dir[app]
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own_dir:
+            _own_dir[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        base = _own_dir[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages no longer depend on its lineage."""
-    path = shared_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made.saved_path = path
+    return made
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Delete tables made by :func:`saved` whose last reader has written its own result."""
+    for table in tables:
+        path = table if isinstance(table, str) else table.saved_path
+        spark = _TABLES.pop(path, None)
+        if spark:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def discarding() -> Iterator[list[DataFrame]]:
+    """Delete at the end all tables saved within, other than those put into the list it gives."""
+    before, keep = set(_TABLES), []
+    yield keep
+    discard(*(set(_TABLES) - before - {k.saved_path for k in keep}))
 
 
 def release(spark: SparkSession) -> None:
@@ -141,8 +173,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = saved(edges.mapInArrow(_forest, "a long, b long").distinct(), "components")
     seen = mark(now)
     while seen[0]:
-        now = saved(star(now), "components")
-        if (new := mark(now)) == seen:
+        before, now = now, saved(star(now), "components")
+        new = mark(now)
+        discard(before)
+        if new == seen:
             break
         seen = new
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
