@@ -142,6 +142,58 @@ def test_embedding_bound_loses_nothing():
     assert set(zip(*np.nonzero(c >= 0.93), strict=True)) <= found
 
 
+@pytest.mark.parametrize("dims", [1040, 4096])
+def test_embedding_bound_holds_in_wide_vectors(dims):
+    """All codes at their largest: sums in float32 alone would be rounded."""
+    x = np.ones((2, dims))
+    x[1, : dims // 2] -= 1e-4
+    codes = int8dedup.quantise(x)
+    product = codes[0].astype(np.int64) @ codes[0].astype(np.int64).T
+    truth = product * codes[1][:, None] * codes[1]
+    bound = codes[3][:, None] * codes[2] + codes[3]
+    at = truth + bound
+    assert (int8dedup.near(codes, codes, float(at.min()) + int8dedup.SLACK) == (at >= at.min())).all()
+
+
+def test_embeddings_of_any_size_link(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 2100))
+    rows = [(i, [float(c) for c in base[i % 3] * s], "x" if i < 9 else "y", i) for i, s in enumerate([1.0, 1e200, 1e-200, 3.0, 2e200, 1e-250, 1e150, 1.0, 5.0, 1.0, 1.0, 1.0])]
+    rows += [rows[0], (50, [1.0, 2.0], "x", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, h int")
+    got = Counter((r.k, r.n_links, r.component) for r in int8dedup.link_embeddings(df).collect())
+    assert got == Counter({(i, 3 if i % 3 == 0 else 2, i % 3): 2 if i == 0 else 1 for i in range(9)} | {(9, 0, 9): 1, (10, 0, 10): 1, (11, 0, 11): 1, (50, 0, 50): 1})
+    assert int8dedup.link_embeddings(df.limit(0)).count() == 0
+
+
+def test_embeddings_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 12))
+    x = np.r_[x, x[rng.integers(0, 40, 80)] + rng.normal(size=(80, 12)) * 0.25]
+    label = rng.integers(0, 2, 120)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(120, dtype=bool)
+    reach = linked | np.eye(120, dtype=bool)
+    for _ in range(7):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(120)]
+    got = {r.k: (r.n_links, r.component) for r in int8dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=16).collect()}
+    assert got == {i: (int(linked[i].sum()), int(np.flatnonzero(reach[i])[0])) for i in range(120)}
+
+
+def test_merged_sketches_are_sketches_of_the_union(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"m{x}" for x in rng.integers(0, 500, n)) for n in (5, 6, 7, 8, 12, 30, 400, 5, 9, 0)]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    h = F.array_sort(F.array_union(fingerprint.shingle_hashes(F.col("a")), fingerprint.shingle_hashes(F.col("b"))))
+    own, other = fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))
+    bound = -(2**63) + 2**61
+    for r in df.select(h.alias("h"), fingerprint.merge(own, other).alias("m"), own.alias("s"), other.alias("t"), fingerprint.containment(own, other).alias("c")).collect():
+        assert r.m == ([x for x in r.h if x < bound] or r.h[:1])
+        least = min(len(r.s), len(r.t))
+        assert r.c == (len(set(r.s) & set(r.t)) / least if least else float(len(r.s) == len(r.t)))
+
+
 def whole_ids(texts: list[str]) -> list[list[int]]:
     from tokenizers import Tokenizer
 
@@ -221,9 +273,6 @@ def test_first_fit_decreasing_against_plain_search():
 
 
 def test_fingerprints(spark, docs, odd):
-    from xxhash import xxh64_intdigest
-
-    assert xxh64_intdigest(b"", 42) >= 0
     for df in (docs, odd):
         rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x))
         got = fingerprint.fingerprint_documents(df).withColumn("sha", F.sha2("edited_text", 256)).collect()

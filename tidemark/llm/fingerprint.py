@@ -2,7 +2,8 @@
 
 A shingle's hash is kept when it lies below a fixed fraction of the hash range. The sketch of a union is
 the union of sketches, and the share of one sketch found in another estimates containment, however unequal
-the documents are. So that no text with a word has an empty sketch, the smallest hash is always kept.
+the documents are. A text none of whose hashes lies below the bound has its smallest hash alone for a sketch, which
+merging drops as soon as another text has one below.
 """
 
 from __future__ import annotations
@@ -29,21 +30,31 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     return F.get(F.transform(F.array(hashes), one), F.lit(0))
 
 
+def _bound(keep_one_in: int) -> int:
+    return -(2**63) + 2**64 // keep_one_in
+
+
 def sketch(text: Column, shingle: int = SHINGLE, keep_one_in: int = KEEP_ONE_IN) -> Column:
-    """The retained hashes, distinct and ascending; null for a null text."""
-    bound = -(2**63) + 2**64 // keep_one_in
+    """The retained hashes, distinct and ascending, or the smallest one where none is below the bound; null for a null text."""
+    bound = _bound(keep_one_in)
     kept = lambda h: F.get(F.transform(F.array(F.array_min(h)), lambda m: F.array_sort(F.array_distinct(F.filter(h, lambda x: (x < bound) | (x == m))))), F.lit(0))
     return F.get(F.transform(F.array(shingle_hashes(text, shingle)), kept), F.lit(0))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, keep_one_in: int = KEEP_ONE_IN) -> Column:
+    """The sketch of two texts' shingles together: what the sketch of the union of their shingle sets would be."""
+    both = F.array_sort(F.array_union(a, b))
+    return F.when(F.get(both, F.lit(0)) < _bound(keep_one_in), F.filter(both, lambda x: x < _bound(keep_one_in))).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller shingle set that the larger one holds, 0 to 1; 0 when either is empty."""
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0)), F.lit(0.0))
+    """Estimated share of the smaller shingle set that the larger one holds, 0 to 1.
+
+    A short text that lies whole in a long one scores 1. Two empty sketches are alike (1), an empty and another one are
+    not (0).
+    """
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
 def written(a: Column) -> Column:
