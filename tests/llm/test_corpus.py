@@ -380,7 +380,7 @@ def test_licenses(spark, odd):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://x\nUnless required by applicable law or agreed to in writing, software is as is.'
     rows = [(1, apache), (2, "text\nReleased under the MIT License.\nmore. All rights reserved."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "no such thing"), (6, None), (7, "Redistributions of source code must retain the above copyright notice, x.")]
     got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (["Apache-2.0"], []), 2: (["MIT", "Proprietary"], []), 3: (["GPL"], []), 4: (["CC-BY-NC"], []), 5: ([], []), 6: ([], []), 7: ([], ["bsd_source"])}
+    assert got == {1: (["Apache-2.0"], []), 2: (["MIT", "Proprietary"], []), 3: (["GPL-3.0-only"], []), 4: (["CC-BY-NC-4.0"], []), 5: ([], []), 6: ([], []), 7: ([], ["bsd_source"])}
     assert licenses.scan_licenses(odd).count() == 11
 
 
