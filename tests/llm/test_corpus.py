@@ -343,6 +343,32 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(odd, nothing).count() == 11
 
 
+def test_repeated_words_count_once():
+    assert toxicity.repeats("a a b a c a d d d".split()).tolist() == [False, True, False, True, False, True, False, True, True]
+    model = toxicity.ToxicityModel({"odd": 0.8, "insult": 6.0}, 2.4, 1.0, -3.0, 0.26)
+    assert model.score("odd " * 500)[0] < 0.3 < 0.9 < model.score("plain words and an insult here")[0]
+    assert model.score("insult " * 3 + "plain " * 9) == model.score("insult " + "plain " * 11)[:2] + (["insult"],)
+
+
+def test_tail_rate_and_calibration():
+    s, p = np.array([-1.0, 1.0]), np.array([0.75, 0.25])
+    assert abs(toxicity.tail_rate(s, p) - np.log(3)) < 1e-9  # 0.75 / x + 0.25 x = 1 at x = 3
+    rng = np.random.default_rng(0)
+    x = rng.uniform(0, 10, 4000)
+    y = (rng.uniform(size=4000) < 1 / (1 + np.exp(-(0.9 * x - 4)))).astype(int)
+    slope, offset = toxicity._fit_line(x, y)
+    assert abs(slope - 0.9) < 0.1 and abs(offset + 4) < 0.4
+
+
+def test_shrunk_odds_against_plain_formula():
+    y1, y0, share = 30, 4, 0.002
+    prior = min(max(toxicity.PRIOR * share, toxicity.LEAST_PRIOR), toxicity.PRIOR / 2)
+    delta = np.log((y1 + prior) / (100 + toxicity.PRIOR)) - np.log((y0 + prior) / (900 + toxicity.PRIOR))
+    error = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+    got = toxicity.shrunk_odds(np.array([30.0]), np.array([4.0]), 100, 900, np.array([share]))[0]
+    assert abs(got - (delta - toxicity.CONFIDENCE * error)) < 1e-12
+
+
 def test_many_weak_segments_of_a_long_text_count():
     model = toxicity.ToxicityModel({"insult": 7.0}, 1.0)
     words = ["plain"] * 20_000

@@ -3,7 +3,7 @@
 Tokens are words and word beginnings (insults are inflected and joined). They score by their log-odds between
 toxic and other documents under an informative Dirichlet prior (the corpus's own token frequencies), drawn towards
 zero by a share of their error; a word takes the score of its most telling token, and every score is lowered a
-little. One pass over a text's scores finds all maximal segments in linear time. Segment scores follow extreme-value
+little. A word that stands among the two before it tells nothing new and scores like an unknown one. One pass over a text's scores finds all maximal segments in linear time. Segment scores follow extreme-value
 statistics, which sets apart chance runs in long texts; the segments' joint statistic becomes a probability by a
 calibration on labels. Chance and calibration come from texts that the odds in use did not see.
 """
@@ -63,6 +63,15 @@ class Memo(dict):
         return Memo, (self.of,)
 
 
+def repeats(words: list[str]) -> np.ndarray:
+    """Which words stand among the two words before them: copies in a row are no independent evidence."""
+    h = np.fromiter(map(hash, words), np.int64, len(words))
+    again = np.zeros(len(words), bool)
+    again[1:] |= h[1:] == h[:-1]
+    again[2:] |= h[2:] == h[:-2]
+    return again
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(start, end, score)`` of a sequence, in linear time (Ruzzo and Tompa)."""
     positive = scores > 0
@@ -108,6 +117,7 @@ class ToxicityModel:
         if not hasattr(self, "_memo"):
             self._memo = Memo(self.word_score)
         s = np.fromiter(map(self._memo.__getitem__, words), float, len(words))
+        s[repeats(words)] = -self.drift
         return maximal_segments(s), words
 
     def word_score(self, word: str) -> float:
@@ -249,7 +259,10 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
         memos = [Memo(lambda w, m=m: round(m.word_score(w), 2)) for m in halves]
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(map(memos[half_of(text)].__getitem__, tokens_of(text)))
+                words = tokens_of(text)
+                again = repeats(words)
+                found.update(map(memos[half_of(text)].__getitem__, (w for w, x in zip(words, again.tolist(), strict=True) if not x)))
+                found[0.0] += int(again.sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["s", "n"])
 
     seen = sample.where("toxic = 0").select("text").mapInArrow(chances, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
@@ -275,8 +288,8 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``toxicity`` (0 to 1), ``toxic_passages`` (array of the passages' words).
 
-    Null and empty texts have no segment and get the score of a text without any. Input columns of those two
-    names are replaced. An empty table stays empty.
+    Null and empty texts have no segment and get the score of a text without any; long texts are scored whole;
+    repeated rows stay and score alike. Input columns of those two names are replaced. An empty table stays empty.
     """
     from pyspark.sql.functions import pandas_udf
 
