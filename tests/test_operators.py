@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.operators import contract, features, metrics, splits, temporal, text, twin
+from tidemark.sources import readers
 
 TS = "2024-01-01 00:{:02d}:00"
 
@@ -105,8 +107,69 @@ def test_greedy_thin_and_sample(spark):
 
 
 def test_direction(spark):
-    df = spark.createDataFrame([("Take insulin now.", "hypo", True), ("Do not take insulin.", "hypo", False), ("Give juice.", "hyper", True), (None, "hypo", False)], "t string, c string, w boolean")
-    assert df.where(text.wrong_direction(F.col("t"), F.col("c")) != F.col("w")).count() == 0
+    rows = [("Berikan insulin sekarang.", "hypoglycemia", 1), ("Jangan berikan insulin.", "hypoglycemia", 0), ("Berikan edukasi pengguna insulin", "hypoglycemia", 0), ("Konsumsi jus.", "hyperglycemia", 1), ("Tambahkan pantauan gula darah", "hyperglycemia", 0), ("Gula naik karena makan karbohidrat", "hyperglycemia", 0), ("Berikan insulin", "normal", 0), (None, "hypoglycemia", 0)]
+    df = spark.createDataFrame(rows, "t string, c string, n int")
+    assert df.where(F.size(text.wrong_direction(F.col("t"), F.col("c"))) != F.col("n")).count() == 0
+
+
+def test_grounded_numbers(spark):
+    rows = [("70", "", True), ("70.0", "", True), ("33", "a 33 b", True), ("33", "a 333 b", False), ("15.50", "x15.5g", True), ("9", "", False), ("9", "9", True), ("6", "", True), ("77", None, False)]
+    df = spark.createDataFrame(rows, "n string, c string, ok boolean")
+    assert df.where(text.grounded(F.col("n"), F.col("c"), F.array(F.lit("6"))) != F.col("ok")).count() == 0
+
+
+def test_reading_table_from_xml(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "559-ws-training.xml").write_text("""<?xml version="1.0"?><patient id="559"><glucose_level><event ts="01-01-2024 00:00:00" value="100"/><event ts="01-01-2024 00:05:00" value="-1"/><event ts="01-01-2024 00:10:00" value="120"/><event ts="bad" value="5"/></glucose_level>
+<finger_stick><event ts="01-01-2024 00:07:00" value="90"/></finger_stick><meal><event ts="01-01-2024 00:02:30" carbs="30"/><event ts="01-01-2024 00:01:00" carbs="5"/></meal><basal><event ts="01-01-2024 00:01:00" value="1.2"/></basal><bolus><event ts_begin="01-01-2024 00:09:00" dose="2.5"/></bolus><stressors><event ts="01-01-2024 00:10:30"/></stressors></patient>""")
+    events = readers.read_patients(spark, str(tmp_path / "in"))
+    got = sorted(temporal.assemble(events).collect(), key=lambda r: r.timestamp)
+    assert [(r.patient_id, r.glucose, r.carbs, r.bolus_dose, r.basal_rate, r.stress, r.meal_type) for r in got] == [("patient_559", 100.0, 35.0, 0.0, 0.0, 0, "meal"), ("patient_559", 120.0, 0.0, 2.5, 1.2, 1, "none")]
+    assert abs(got[1].insulin - 2.6) < 1e-9
+    assert [r.glucose for r in temporal.assemble(events, base="finger_stick").collect()] == [90.0]
+
+
+def test_fill_missing_leaves_no_gap(spark):
+    rows = [("a", 3, 102.0, None), ("a", 1, None, "x"), ("a", 2, 101.0, None), ("b", 1, 10.0, None), ("b", 2, None, "y")]
+    out = features.fill_missing(spark.createDataFrame(rows, "p string, t int, g double, s string"), "p", ["t"], ["g"], ["s"])
+    assert sorted(tuple(r) for r in out.select("p", "t", "g", "s").collect()) == [("a", 1, 101.0, "x"), ("a", 2, 101.0, "x"), ("a", 3, 102.0, "x"), ("b", 1, 10.0, "y"), ("b", 2, 10.0, "y")]
+
+
+def test_decay_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(features, "BLOCK", 7)
+    df = spark.createDataFrame([("p", i, float(i % 5)) for i in range(100)], "p string, i int, v double")
+    got = [r.d for r in features.decay_accumulate(df, "p", ["i"], "v", "d", 60.0).orderBy("i").collect()]
+    expected, now = [], 0.0
+    for i in range(100):
+        now = now * np.exp(-5 / 60) + i % 5
+        expected.append(now)
+    assert np.allclose(got, expected)
+
+
+def test_running_counts(spark):
+    df = spark.createDataFrame([(float(x % 37), 1) for x in range(500)], "v double, c long").groupBy("v").agg(F.sum("c").alias("c"))
+    got = {r.v: r.upto for r in metrics.running(df, "v", ranges=8).collect()}
+    assert got == {float(v): sum(1 for x in range(500) if x % 37 <= v) for v in range(37)}
+    assert metrics.running(df.limit(0), "v").count() == 0
+
+
+def test_normal_tail_and_zero_differences(spark):
+    from math import erfc, sqrt
+
+    df = spark.createDataFrame([(z,) for z in (0.0, 0.5, 1.96, -3.0)], "z double")
+    assert all(abs(r.p - erfc(abs(r.z) / sqrt(2))) < 3e-7 for r in df.select("z", metrics.normal_tail(F.col("z")).alias("p")).collect())
+    assert metrics.signed_rank_p(spark.createDataFrame([(0.0,), (0.0,)], "d double"), "d").first().p == 1.0
+    up = spark.createDataFrame([(float(i),) for i in range(1, 21)], "d double")
+    assert metrics.signed_rank_p(up, "d").first().p < 1e-3
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    df = spark.createDataFrame([(i, float(i % 10)) for i in range(2000)], "i long, v double")
+    means = [r["mean"] for r in splits.bootstrap(df, "v", "i", 300).collect()]
+    assert len(means) == 300 and abs(np.mean(means) - 4.5) < 0.02 and abs(np.std(means) - np.sqrt(8.25 / 2000)) < 0.012
+    again = [r["mean"] for r in splits.bootstrap(df.repartition(7), "v", "i", 300).collect()]
+    assert np.allclose(sorted(means), sorted(again))
+
 
 
 def test_sources_and_streams(spark, tmp_path):

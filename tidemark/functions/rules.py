@@ -46,6 +46,14 @@ def risk(predicted: Column) -> Column:
     return F.when(predicted < VERY_LOW, "critical_hypoglycemia").when(predicted < LOW, "hypoglycemia").when(predicted > VERY_HIGH, "critical_hyperglycemia").when(predicted > HIGH, "hyperglycemia").otherwise("normal")
 
 
+#: Names of the risks.
+RISK_NAMES = {"critical_hypoglycemia": "BAHAYA - Hipoglikemia Berat", "hypoglycemia": "BAHAYA - Hipoglikemia", "critical_hyperglycemia": "BAHAYA - Hiperglikemia Berat", "hyperglycemia": "HATI-HATI - Hiperglikemia", "normal": "AMAN"}
+
+
+def risk_name(risk_: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in RISK_NAMES.items() for x in kv])[risk_]
+
+
 def with_class(risk_: Column, label: Column) -> Column:
     """A classifier's label in place of a risk that is not critical; unknown labels change nothing."""
     named = F.when(label == "hypo", "hypoglycemia").when(label == "hyper", "hyperglycemia").when(label == "normal", "normal")
@@ -87,3 +95,21 @@ def project(glucose: Column, insulin: Column, carbs: Column, stress: Column, act
     """Glucose after some minutes of a constant state, within 40 and 400."""
     change = -insulin * INSULIN_FACTOR + carbs * CARB_FACTOR + stress * STRESS_FACTOR - activity * ACTIVITY_FACTOR
     return clamp(glucose + change * minutes / 60, 40.0, 400.0)
+
+
+def valid_glucose(g: Column) -> Column:
+    return g > 0
+
+
+def meal_type(carbs: Column) -> Column:
+    return F.when(carbs > 0, "meal").otherwise("none")
+
+
+def low_weight(truth: Column, weight: float) -> Column:
+    """The training weight of a reading: ``weight`` below 80, else 1."""
+    return F.when(truth < 80, F.lit(weight)).otherwise(F.lit(1.0))
+
+
+def arrow(change: Column) -> Column:
+    """The display's trend; unlike :func:`trend` a change of exactly 10 is stable."""
+    return F.when(change > STABLE, "up").when(change < -STABLE, "down").otherwise("stable")

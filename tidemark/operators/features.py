@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +16,45 @@ def order(by: str, *on: str):  # noqa: ANN201
     return Window.partitionBy(by).orderBy(*on)
 
 
-def decay_accumulate(df: DataFrame, by: str, on: list[str], value: str, name: str, tau_minutes: float = 240.0, step_minutes: float = 5.0) -> DataFrame:
-    """``out[t] = value[t] + exp(-step / tau) * out[t - 1]`` along each patient's rows; null counts as zero.
+def decays(df: DataFrame, by: str, on: list[str], specs: list[tuple[str, str, float]], step_minutes: float = 5.0) -> DataFrame:
+    """``out[t] = value[t] + exp(-step / tau) * out[t - 1]`` along each patient's rows, for each ``(value, name, tau)``.
 
-    A closed form inside blocks of 1024 rows keeps exponents small; a fold over the blocks' last values carries on.
+    Null counts as zero. A closed form inside blocks of 1024 rows keeps exponents small. What a block inherits is folded
+    once per block, over as many earlier blocks as a double can still tell from nothing, and joined by block.
     """
-    k = step_minutes / tau_minutes
     w = order(by, *on)
-    n = F.row_number().over(w) - 1
-    df = df.withColumn("_n", n).withColumn("_block", F.floor(F.col("_n") / BLOCK)).withColumn("_i", F.col("_n") % BLOCK)
     inside = Window.partitionBy(by, "_block").orderBy(*on).rowsBetween(Window.unboundedPreceding, 0)
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    df = df.withColumn("_own", F.sum(v * F.exp(F.col("_i") * k)).over(inside) * F.exp(-F.col("_i") * k))
-    ends = df.groupBy(by, "_block").agg(F.max_by("_own", "_i").alias("end"))
-    lists = ends.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_block", "end"))).alias("ends"))
-    carry = F.aggregate(F.filter("ends", lambda e: e["_block"] < F.col("_block")), F.lit(0.0), lambda s, e: s * math.exp(-k * BLOCK) + e["end"])
-    out = df.join(lists, by, "left").withColumn(name, F.col("_own") + carry * F.exp(-(F.col("_i") + 1) * k))
-    return out.drop("_n", "_block", "_i", "_own", "ends")
+    ks = [step_minutes / tau for *_, tau in specs]
+    df = df.withColumn("_n", F.row_number().over(w) - 1).withColumns({"_block": F.floor(F.col("_n") / BLOCK), "_i": F.col("_n") % BLOCK})
+    own = {f"_own{j}": F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) * F.exp(F.col("_i") * k)).over(inside) * F.exp(-F.col("_i") * k) for j, ((v, *_), k) in enumerate(zip(specs, ks, strict=True))}
+    df = df.withColumns(own)
+    ends = df.groupBy(by, "_block").agg(*[F.max_by(o, "_i").alias(o) for o in own])
+
+    def carry(o: str, k: float) -> Column:
+        before = Window.partitionBy(by).orderBy("_block").rowsBetween(-math.ceil(745 / (k * BLOCK)), -1)
+        return F.aggregate(F.collect_list(o).over(before), F.lit(0.0), lambda s, e: s * math.exp(-k * BLOCK) + e)
+
+    ends = ends.select(by, "_block", *[carry(o, k).alias(f"_carry{j}") for j, (o, k) in enumerate(zip(own, ks, strict=True))])
+    out = df.join(ends, [by, "_block"], "left")
+    made = {name: F.col(f"_own{j}") + F.coalesce(f"_carry{j}", F.lit(0.0)) * F.exp(-(F.col("_i") + 1) * k) for j, ((_, name, _), k) in enumerate(zip(specs, ks, strict=True))}
+    return out.withColumns(made).drop("_n", "_block", "_i", *own, *[f"_carry{j}" for j in range(len(specs))])
+
+
+def decay_accumulate(df: DataFrame, by: str, on: list[str], value: str, name: str, tau_minutes: float = 240.0, step_minutes: float = 5.0) -> DataFrame:
+    """One decaying sum (:func:`decays`)."""
+    return decays(df, by, on, [(value, name, tau_minutes)], step_minutes)
+
+
+def engineer(df: DataFrame, by: str = "patient_id", on: tuple[str, ...] = ("timestamp",), insulin_tau: float = 240.0, carbs_tau: float = 180.0, trend_steps: int = 3, step_minutes: float = 5.0) -> DataFrame:
+    """Adds ``iob, cob, glucose_trend, hour_sin, hour_cos``; insulin is ``bolus_dose`` where the table has it, else ``insulin``.
+
+    Rows are dealt by patient once; only a row per 1024 readings is shuffled besides.
+    """
+    dose = "bolus_dose" if "bolus_dose" in df.columns else "insulin"
+    angle = day_angle(F.col(on[0]))
+    df = df.withColumn("glucose_trend", lag_delta(F.col("glucose"), trend_steps, order(by, *on)))
+    df = decays(df, by, list(on), [(dose, "iob", insulin_tau), ("carbs", "cob", carbs_tau)], step_minutes)
+    return df.withColumns({"hour_sin": F.sin(angle), "hour_cos": F.cos(angle)})
 
 
 def lag_delta(value: Column, steps: int, w) -> Column:  # noqa: ANN001
@@ -86,6 +110,74 @@ def first_n(df: DataFrame, by: str, on: list[str], n: int, last: bool = False) -
 
 
 def greedy_thin(df: DataFrame, by: str, index: str, gap: int) -> DataFrame:
-    """Of each patient's indices the first, then each that lies ``gap`` or more after the last kept."""
-    keep = F.aggregate(F.sort_array(F.collect_list(F.col(index).cast("long"))), F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept")), lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= gap), F.struct(x.alias("last"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return df.groupBy(by).agg(keep.alias("_kept")).select(by, F.explode("_kept").alias(index))
+    """Of each patient's indices the first, then each that lies ``gap`` or more after the last kept; null indices go.
+
+    Rows stream through in order, so that a patient of any size needs one remembered index.
+    """
+    rows = df.select(by, F.col(index).cast("long").alias(index)).where(F.col(index).isNotNull())
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), None
+        for batch in batches:
+            kept = []
+            for i, (patient, x) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if patient != now:
+                    now, last = patient, None
+                if last is None or x - last >= gap:
+                    last = x
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int32()))
+
+    return rows.repartition(by).sortWithinPartitions(by, index).mapInArrow(thin, rows.schema)
+
+
+def fill_missing(df: DataFrame, by: str, on: list[str], numeric: list[str], other: list[str]) -> DataFrame:
+    """No gaps: numeric columns linear by position, other columns the last value before, else the first after.
+
+    Per patient; one sorted window serves all columns. A column that is null throughout a patient stays null there.
+    """
+    w = order(by, *on)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    df = df.withColumn("_rn", F.row_number().over(w))
+    point = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.struct(F.col("_rn").alias("rn"), F.col(c).cast("double").alias("v")))
+    df = df.withColumns({f"_{s}{i}": f(point(c), ignorenulls=True).over(o) for i, c in enumerate(numeric) for s, f, o in (("p", F.last, back), ("q", F.first, ahead))})
+
+    def between(i: int, c: str) -> Column:
+        p, q = F.col(f"_p{i}"), F.col(f"_q{i}")
+        share = (F.col("_rn") - p["rn"]) / F.nullif(q["rn"] - p["rn"], F.lit(0))
+        return F.coalesce(p["v"] + (q["v"] - p["v"]) * share, p["v"], q["v"])
+
+    filled = {c: between(i, c) for i, c in enumerate(numeric)}
+    filled |= {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in other}
+    return df.withColumns(filled).drop("_rn", *[f"_{s}{i}" for i in range(len(numeric)) for s in "pq"])
+
+
+def finite(x: Column) -> Column:
+    """Neither null, NaN nor infinite."""
+    x = x.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
+def finite_windows(win: DataFrame, features: list[str], target: str = "y") -> DataFrame:
+    """Windows (:func:`windows`) whose target and cells are all finite."""
+    return win.where(finite(F.col(target)) & F.forall("x", lambda c: finite_all([c[f] for f in features])))
+
+
+def finite_all(cells: list[Column]) -> Column:
+    ok = finite(cells[0])
+    for c in cells[1:]:
+        ok = ok & finite(c)
+    return ok
+
+
+def newest_windows(df: DataFrame, by: str, on: list[str], features: list[str], length: int = 12) -> DataFrame:
+    """``x``, the last ``length`` rows of each patient in order as an array of structs; patients with fewer have none."""
+    last = first_n(df, by, on, length, last=True)
+    rows = last.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*on, *[F.col(f) for f in features if f not in on]))).alias("_x"))
+    return rows.where(F.size("_x") == length).select(by, F.transform("_x", lambda s: F.struct(*[s[f].alias(f) for f in features])).alias("x"))
+
+
+def apply_scaler(win: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
+    """Windows with every cell as ``(x - mean) / scale`` of a fitted one-row scaler (:func:`pooled_scaler`)."""
+    scaled = F.transform("x", lambda c: F.struct(*[((c[f] - F.col(f"{f}_mean")) / F.col(f"{f}_scale")).alias(f) for f in features]))
+    return win.crossJoin(F.broadcast(scaler)).withColumn("x", scaled).drop(*scaler.columns)  # one row is broadcast

@@ -44,16 +44,28 @@ def hypo_only(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(F.count_if(low).alias("n_hypo"), F.sqrt(F.avg(F.when(low, d * d))).alias("hypo_rmse"), F.count_if(low & F.col(predicted).between(LOW, HIGH)).alias("missed_to_normal"))
 
 
+def running(counts: DataFrame, value: str, n: str = "c", ranges: int = 64) -> DataFrame:
+    """Rows of distinct values with ``upto``, the sum of ``n`` over values no larger; no task sees them all.
+
+    Values are dealt to ranges at approximate quantiles; sums run within a range and over the few ranges' totals.
+    """
+    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col(value))) if cuts else F.lit(0)
+    counts = counts.withColumn("_r", place)
+    totals = counts.groupBy("_r").agg(F.sum(n).alias("t")).select("_r", (F.sum("t").over(Window.orderBy("_r")) - F.col("t")).alias("_before"))
+    within = F.sum(n).over(Window.partitionBy("_r").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_within", within).join(F.broadcast(totals), "_r").withColumn("upto", F.col("_within") + F.col("_before")).drop("_r", "_within", "_before")
+
+
 def order_statistic(df: DataFrame, score: str, alpha: float) -> DataFrame:
     """``q``: the score at sorted place ``1 + ceil(level * (n - 1))``, level ``min(1, ceil((n + 1)(1 - alpha)) / n)``.
 
-    Scores are counted by value first and only the running counts of distinct values are ranked.
+    Scores are counted by value first; running counts are taken range by range.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("q")).agg(F.count("*").alias("c"))
     totals = counts.agg(F.sum("c").alias("n"))
-    bucketed = counts.withColumn("upto", F.sum("c").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)))
     level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"))
-    return bucketed.crossJoin(F.broadcast(totals)).where(F.col("upto") >= 1 + F.ceil(F.round(level * (F.col("n") - 1), 9))).agg(F.min("q").alias("q"), F.max("n").alias("n"))
+    return running(counts, "q").crossJoin(F.broadcast(totals)).where(F.col("upto") >= 1 + F.ceil(F.round(level * (F.col("n") - 1), 9))).agg(F.min("q").alias("q"), F.max("n").alias("n"))
 
 
 def rank_metrics(topics: Column, expected: Column, k: int) -> dict[str, Column]:
@@ -68,9 +80,40 @@ def rank_metrics(topics: Column, expected: Column, k: int) -> dict[str, Column]:
 def signed_rank(df: DataFrame, d: str) -> DataFrame:
     """Signed-rank sums of non-zero differences, average ranks for ties, over counts by absolute value."""
     counts = df.where((F.col(d) != 0) & F.col(d).isNotNull()).groupBy(F.abs(d).alias("a")).agg(F.count("*").alias("c"), F.count_if(F.col(d) > 0).alias("up"))
-    ranked = counts.withColumn("r", F.sum("c").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2)
+    ranked = running(counts, "a").withColumn("r", F.col("upto") - (F.col("c") - 1) / 2)
     return ranked.agg(F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.col("r") * (F.col("c") - F.col("up"))).alias("w_minus"), F.sum("c").alias("n"))
 
 
 def paired_t(df: DataFrame, d: str) -> DataFrame:
     return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t"))
+
+
+def normal_tail(z: Column) -> Column:
+    """Twice the upper tail of the standard normal beyond ``|z|`` (a fixed rational approximation of erfc, error below 2e-7)."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + x / 2)
+    poly = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    return t * F.exp(poly - x * x)
+
+
+def signed_rank_p(df: DataFrame, d: str) -> DataFrame:
+    """The signed-rank sums and ``p`` by the normal approximation with tie correction; 1 if all differences are zero."""
+    ties = df.where((F.col(d) != 0) & F.col(d).isNotNull()).groupBy(F.abs(d).alias("a")).agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")), F.lit(0.0)).alias("ties"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread
+    return signed_rank(df, d).crossJoin(F.broadcast(ties)).select("w_plus", "w_minus", "n", F.when(spread > 0, normal_tail(z)).otherwise(1.0).alias("p"))
+
+
+def accuracy(df: DataFrame, truth: str, predicted: str, divergent: Column) -> DataFrame:
+    """Share of right classes over all rows and over the divergent ones; 0 without rows."""
+    hit = (F.col(truth) == F.col(predicted)).cast("double")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"), F.count_if(divergent).alias("n_divergent"), F.coalesce(F.avg(F.when(divergent, hit)), F.lit(0.0)).alias("divergent_accuracy"))
+
+
+def interval(kind: str, predicted: Column, sigma: Column, q: Column, z: float = 1.645) -> tuple[Column, Column]:
+    """Lower and upper ends: ``baseline`` z sigma, ``absolute`` q, ``normalised`` q sigma."""
+    half = {"baseline": z * sigma, "absolute": q, "normalised": q * sigma}[kind]
+    return predicted - half, predicted + half

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +29,49 @@ def three_way(back: Column, width: int = 2) -> Column:
     return F.when(back < width, "test").when(back < 2 * width, "calibration").otherwise("train")
 
 
+def _hash(index: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(index).cast("string")))
+
+
 def balanced_sample(df: DataFrame, cls: str, index: str, total: int, n_classes: int, seed: int = 0) -> DataFrame:
     """An equal share of each class, those of smallest seeded hash; the same rows whatever the partitions."""
     per = max(1, total // n_classes)
-    w = Window.partitionBy(cls).orderBy(F.xxhash64(F.col(index), F.lit(seed)), index)
+    w = Window.partitionBy(cls).orderBy(_hash(index, seed), index)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per).drop("_rn")
 
 
-def bootstrap(df: DataFrame, value: str, index: str, draws: int, n: int, seed: int = 0) -> DataFrame:
-    """``draw, mean`` of ``draws`` Poisson resamples: each row counts a hashed Poisson(1) number of times in each draw."""
-    u = F.pmod(F.xxhash64(F.col(index), F.col("draw"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581]
-    times = sum((u >= s).cast("int") for s in steps)
-    each = df.select(index, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("times", times)
-    return each.groupBy("draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+def uniform_sample(df: DataFrame, index: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, those of smallest seeded hash."""
+    return df.withColumn("_h", _hash(index, seed)).orderBy("_h", index).limit(n).drop("_h")
+
+
+def gaussian(index: str, seed: int) -> Column:
+    """A standard normal number for each index, the same whatever the partitions (Box and Muller over two hashes)."""
+    u = lambda s: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{s}:"), F.col(index).cast("string"))), 1, 7), 16, 10).cast("long") + 1) / 268436456.0
+    return F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * math.pi * u("b"))
+
+
+def bootstrap(df: DataFrame, value: str, index: str, draws: int, seed: int = 0) -> DataFrame:
+    """``draw, mean`` of ``draws`` Poisson resamples: each row counts a hashed Poisson(1) number of times in each draw.
+
+    Each partition hands on one pair of sums for each draw. Null values don't count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.col(index), F.lit(seed)).alias("h"), F.col(value).cast("double").alias("v"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        total, times = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            h, v = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(h), 256):
+                x = h[at : at + 256, None] + draw
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                n = np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right")
+                total += v[at : at + 256] @ n
+                times += n.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total), pa.array(times)], names=["draw", "total", "times"])
+
+    made = rows.mapInArrow(sums, "draw long, total double, times double").groupBy("draw").agg(F.sum("total").alias("total"), F.sum("times").alias("times"))
+    return made.select("draw", (F.col("total") / F.nullif("times", F.lit(0.0))).alias("mean"))

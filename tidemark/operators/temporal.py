@@ -41,3 +41,29 @@ def align_sum(base: DataFrame, events: DataFrame, by: str, on: str, value: str,
     sums = hit.where("matched is not null").groupBy(F.col("matched.id").alias(base_id)).agg(F.sum(value).alias("aligned_sum"))
     out = base.join(sums, base_id, "left")
     return out.withColumns({"present": F.col("aligned_sum").isNotNull().cast("int"), "aligned_sum": F.coalesce("aligned_sum", F.lit(0.0))})
+
+
+def assemble(events: DataFrame, base: str = "glucose_level", tolerance_us: int = 150_000_000, sums: tuple[str, ...] = ("meal", "bolus", "exercise"), marks: tuple[str, ...] = ("stressors", "sleep", "work", "illness"), step: str = "basal", step_minutes: float = 5.0) -> DataFrame:
+    """Readings from channel events ``patient_id, channel, timestamp, value, event_id``.
+
+    The time line is the base channel's positive values. Events of the summed and marked channels go to the nearest
+    base row within the tolerance, all channels in one as-of join; the basal rate is the last one before.
+    ``insulin`` is bolus plus what the basal rate delivers in a step.
+    """
+    line = events.where((F.col("channel") == base) & (F.col("value") > 0)).select("patient_id", "timestamp", "event_id", F.col("value").alias("glucose"))
+    near = asof(events.where(F.col("channel").isin(*sums, *marks)), line, "patient_id", "timestamp", "event_id", "event_id", "event_id", tolerance_us=tolerance_us)
+    made = near.where("matched is not null").groupBy(F.col("matched.id").alias("event_id")).agg(*[F.sum(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in sums], *[F.max((F.col("channel") == c).cast("int")).alias(c) for c in marks])
+    rate = asof(line, events.where(F.col("channel") == step), "patient_id", "timestamp", "value", "event_id", "event_id", "backward")
+    out = rate.join(made, "event_id", "left")
+    total = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    basal = F.coalesce("matched.value", F.lit(0.0))
+    meal, bolus, exercise = (total(c) for c in sums)
+    flags = dict(zip(("stress", "sleep", "work", "illness"), (F.coalesce(c, F.lit(0)) for c in marks), strict=False))
+    return out.select("patient_id", "timestamp", "event_id", "glucose", meal.alias("carbs"), (bolus + basal * step_minutes / 60).alias("insulin"), bolus.alias("bolus_dose"), basal.alias("basal_rate"), exercise.alias("activity"), *[v.alias(k) for k, v in flags.items()], F.when(meal > 0, "meal").otherwise("none").alias("meal_type"))
+
+
+def asof_context(left: DataFrame, right: DataFrame, by: str, on: str, columns: list[str], left_id: str, right_id: str, tolerance_us: int) -> DataFrame:
+    """Left rows with several columns of the nearest right row within the tolerance, null without one."""
+    packed = right.select(by, on, right_id, F.struct(*columns).alias("_values"))
+    found = asof(left, packed, by, on, "_values", left_id, right_id, tolerance_us=tolerance_us)
+    return found.select(*left.columns, *[F.col(f"matched.value.{c}").alias(c) for c in columns])

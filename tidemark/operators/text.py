@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,16 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
-def clean_lines(text: Column, noise: str = r"(?i)\.{4,}|^page \d+|all rights reserved") -> Column:
+#: Lines that PDF extraction leaves behind.
+NOISE = [r"\.{4,}\s*\d+\s*$", r"(?i)diabetesjournals\.org|downloaded from http|article-pdf|by guest on", r"(?i)diabetes care volume \d+,\s*supplement"]
+
+
+def clean_lines(text: Column, noise: list[str] = NOISE) -> Column:
     """Ligatures spelt out, control characters to spaces, noise lines dropped, then normalised."""
     for mark, letters in LIGATURES:
         text = F.replace(text, F.lit(mark), F.lit(letters))
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: ~x.rlike(noise))
+    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", " ")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: ~x.rlike("|".join(f"(?:{n})" for n in noise)))
     return normalize(F.array_join(lines, "\n"))
 
 
@@ -60,13 +66,16 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
             cut += [p + sep if i < len(parts) - 1 else p for i, p in enumerate(parts)]
         atoms = cut
     atoms = [a[i : i + size] for a in atoms for i in range(0, len(a), size)]
-    out, held = [], []
+    out: list[str] = []
+    held: deque[str] = deque()
+    n = 0
     for a in atoms:
-        if held and sum(map(len, held)) + len(a) > size:
+        if held and n + len(a) > size:
             out.append("".join(held))
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(a) > size):
-                held.pop(0)
+            while held and (n > overlap or n + len(a) > size):
+                n -= len(held.popleft())
         held.append(a)
+        n += len(a)
     return [*out, "".join(held)] if held else out
 
 
@@ -84,19 +93,77 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def keyword_topk(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id: str, k: int = 4, text: str = "text") -> DataFrame:
-    """Best chunks of each query by shared tokens over distinct query tokens, ties by chunk id.
+def matches(expected: dict[str, str]) -> Column:
+    """Whether a row's metadata fit: equal fields, and membership where a field is a list (named with a ``[]`` behind)."""
+    ok = F.lit(True)
+    for name, value in expected.items():
+        ok = ok & (F.array_contains(name[:-2], F.lit(value)) if name.endswith("[]") else F.col(name).eqNullSafe(F.lit(value)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def keyword_topk(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id: str, k: int = 4, text: str = "text", where: Column | None = None) -> DataFrame:
+    """Best chunks of each query by shared tokens over distinct query tokens, ties by chunk id; ``k`` rows a query.
 
-    Only chunks that share a token compete. Token counts are taken per side before the join; ranks come from
-    a rank window that Spark cuts to ``k`` rows a partition before the shuffle.
+    Chunks without a shared token count zero and fill up what the others leave, by id. Only tokens that a query has are
+    counted (their list is broadcast up to a million tokens, else joined). ``where`` filters the chunks first.
     """
-    bag = lambda df, i: df.select(i, F.explode(tokens(F.col(text))).alias("token")).groupBy(i, "token").agg(F.count("*").alias("n"))
-    wanted = bag(queries, query_id).withColumnRenamed("n", "nq")
+    chunks = chunks if where is None else chunks.where(where)
+    bag = lambda df, i: df.groupBy(i, "token").agg(F.count("*").alias("n"))
+    split = lambda df, i: df.select(i, F.explode(tokens(F.col(text))).alias("token"))
+    wanted = bag(split(queries, query_id), query_id).withColumnRenamed("n", "nq")
     size = wanted.groupBy(query_id).agg(F.count("*").alias("distinct"))
-    overlap = bag(chunks, chunk_id).join(wanted, "token").groupBy(query_id, chunk_id).agg(F.sum(F.least("n", "nq")).alias("overlap"))
+    known = wanted.select("token").distinct()
+    own = split(chunks, chunk_id).join(F.broadcast(known) if known.count() <= 1_000_000 else known, "token", "left_semi")
+    overlap = bag(own, chunk_id).join(wanted, "token").groupBy(query_id, chunk_id).agg(F.sum(F.least("n", "nq")).alias("overlap"))
     scored = overlap.join(size, query_id).withColumn("similarity", F.col("overlap") / F.col("distinct"))
     w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), chunk_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, chunk_id, "similarity", "rank")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, chunk_id, "similarity")
+    # queries with fewer than k hits: at most k - 1 of the first 2k chunks by id can be hits, so these suffice
+    first = chunks.select(chunk_id).orderBy(chunk_id).limit(2 * k).agg(F.collect_list(chunk_id).alias("first"))
+    hits = top.groupBy(query_id).agg(F.collect_list(chunk_id).alias("hits"))
+    rest = queries.select(query_id).join(hits, query_id, "left").where(F.coalesce(F.size("hits"), F.lit(0)) < k).crossJoin(F.broadcast(first))  # one row is broadcast
+    rest = rest.select(query_id, F.explode(F.array_except("first", F.coalesce("hits", F.slice("first", 1, 0)))).alias(chunk_id), F.lit(0.0).alias("similarity"))
+    ranked = top.unionByName(rest).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= k)
+
+
+def enhance_query(query: Column, glucose: Column, stress: Column) -> Column:
+    """The query with the patient's condition behind it (fixed words)."""
+    tags = F.array_join(F.filter(F.array(F.when(glucose < 70, "hipoglikemia").when(glucose > 180, "hiperglikemia"), F.when(stress >= 7, "stress tinggi")), lambda x: x.isNotNull()), ", ")
+    return F.when(tags == "", query).otherwise(F.concat(query, F.lit(". Konteks pasien: "), tags, F.lit(".")))
+
+
+def metadata(source: Column, topic: Column, doc_id: Column, index: Column) -> Column:
+    """A chunk's metadata struct with the knowledge base's defaults (fixed values)."""
+    text_, words = lambda v, n: F.lit(v).alias(n), lambda n, *v: F.array(*map(F.lit, v)).alias(n)
+    return F.struct(
+        doc_id.alias("doc_id"), F.concat(doc_id, F.lit("_ch_000")).alias("chunk_id"), text_("manual", "domain"), F.replace(F.lower(topic), F.lit(" "), F.lit("_")).alias("subdomain"),
+        text_("Manual KB", "sumber"), topic.alias("judul"), text_(2024, "tahun"), text_("v1", "versi"), text_("", "url_sumber"), text_("N/A", "halaman"),
+        words("jenis_dm", "dm_tipe2"), words("setting", "fktp", "fkrtl"), words("sasaran", "dokter_umum", "sppd"), words("populasi_khusus", "umum"),
+        text_("panduan_klinis", "tipe_konten"), text_("id", "bahasa"), text_("guideline", "level_bukti"), F.array(topic).alias("topik_terkait"), text_("2026-12", "perlu_update_sebelum"), text_("aktif", "status"),
+        source.alias("source"), index.alias("index"),
+    )
+
+
+def numbered_chunks(chunks: DataFrame, doc_id: str) -> DataFrame:
+    """Chunks (with ``pos`` in their document) and their ``chunk_id``."""
+    return chunks.withColumn("chunk_id", F.concat(F.col(doc_id).cast("string"), F.lit("_ch_"), F.lpad(F.col("pos").cast("string"), 3, "0")))
+
+
+def with_citations(docs: DataFrame, by: str, rank: str) -> DataFrame:
+    """``context``: a query's documents numbered by rank, each with its source, year and page (``N/A`` where unknown)."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    line = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), F.coalesce("text", F.lit("")), F.lit(" ["), known("source"), F.lit(", "), known("year"), F.lit(", "), known("page"), F.lit("]"))
+    lines = docs.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("line")))).alias("s"))
+    return lines.select(by, F.array_join(F.transform("s", lambda x: x["line"]), "\n\n").alias("context"))
+
+
+#: Classes of chunks and the weights of their key words, in the order that decides ties.
+CLASS_WORDS = {
+    "hipoglikemia": [("hipoglikemi", 3), ("hypoglycemi", 3), ("gula darah rendah", 2), ("glukosa darah rendah", 2), ("15-15", 2), ("glukagon", 2), ("dekstrosa", 1), ("< 70 mg", 1), ("<70 mg", 1), ("< 54", 1)],
+    "hiperglikemia": [("hiperglikemi", 3), ("hyperglycemi", 3), ("ketoasidosis", 3), ("ketoacidosis", 3), ("gula darah tinggi", 2), ("keton", 2), ("hiperosmolar", 2), ("hyperosmolar", 2), ("krisis hiperglikemia", 2), ("> 180 mg", 1), (">180 mg", 1), ("> 250", 1), ("poliuria", 1)],
+    "normal": [("target kontrol glikemik", 3), ("kontrol glikemik", 2), ("time in range", 2), ("pemantauan glukosa", 1), ("hba1c", 1), ("target glikemik", 2)],
+}
 
 
 def topic_scores(text: Column, words: dict[str, list[tuple[str, float]]]) -> dict[str, Column]:
@@ -114,40 +181,142 @@ def best_topic(scores: dict[str, Column], none: str = "other") -> Column:
     return out
 
 
-def query_text(current: Column, predicted: Column, horizon: Column, trend: Column, risk: Column, insulin: Column, carbs: Column, stress: Column, activity: Column) -> Column:
-    """A retrieval query that names the forecast, the risk and what contributes."""
-    why = F.array_join(F.filter(F.array(
-        F.when(insulin >= FACTORS["insulin"], "active insulin"), F.when(carbs >= FACTORS["carbs"], "recent carbohydrates"),
-        F.when(stress >= FACTORS["stress"], "high stress"), F.when(activity < FACTORS["idle"], "little activity"), F.when(activity >= FACTORS["active"], "long activity"),
+#: Names of trends and risks, and what the interval may hold.
+TREND_NAMES = {"rising": "meningkat", "falling": "menurun", "stable": "stabil"}
+RISK_TERMS = {"hypoglycemia": "hipoglikemia (glukosa di bawah 70 mg/dL)", "hyperglycemia": "hiperglikemia (glukosa di atas 180 mg/dL)"}
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimals, halves to even."""
+    return F.format_string(f"%.{places}f", F.bround(x.cast("double"), places) + F.lit(0.0))
+
+
+def factors(pace: Column, trend: Column, insulin: Column, carbs: Column, stress: Column, activity: Column) -> Column:
+    """Active factors in order of weight, joined by commas."""
+    return F.array_join(F.filter(F.array(
+        F.when(pace == "rapid", F.when(trend == "rising", "tren cepat meningkat").otherwise("tren cepat menurun")),
+        F.when(insulin >= FACTORS["insulin"], F.concat(F.lit("insulin aktif "), fixed(insulin, 1), F.lit(" unit"))),
+        F.when(carbs >= FACTORS["carbs"], F.concat(F.lit("karbohidrat belum terserap "), fixed(carbs, 0), F.lit(" g"))),
+        F.when(stress >= FACTORS["stress"], F.concat(F.lit("stres tinggi ("), fixed(stress, 0), F.lit("/10)"))),
+        F.when(activity < FACTORS["idle"], "aktivitas fisik rendah").when(activity >= FACTORS["active"], F.concat(F.lit("aktivitas tinggi ("), fixed(activity, 0), F.lit(" menit)"))),
     ), lambda x: x.isNotNull()), ", ")
-    whole = lambda c: F.bround(c, 0).cast("long").cast("string")
-    return F.concat_ws(" ", F.lit("Glucose"), whole(current), F.lit("forecast"), whole(predicted), F.lit("in"), whole(horizon), F.lit("minutes,"), trend, F.lit("; risk"), F.concat(risk, F.lit(".")), F.when(why != "", F.concat(F.lit("Factors: "), why, F.lit("."))))
 
 
-def advice(predicted: Column, disclaimer: str = "This is not medical advice.") -> Column:
-    """Template advice by risk level, ending in the disclaimer."""
-    act = F.when(predicted < 70, "DANGER - low glucose expected. Take fast carbohydrates and measure again.").when(predicted > 180, "CAUTION - high glucose expected. Drink water and follow the care plan.").otherwise("In range. Keep the routine.")
-    return F.concat_ws(" ", act, F.lit(disclaimer))
+def interval_risks(conditions: Column, risk: Column) -> Column:
+    """Conditions that only the interval reaches, named, joined by commas."""
+    base = F.regexp_replace(risk, "^critical_", "")
+    terms = F.create_map(*[F.lit(x) for kv in RISK_TERMS.items() for x in kv])
+    return F.array_join(F.transform(F.filter(conditions, lambda c: c.isin(*RISK_TERMS) & (c != base)), lambda c: terms[c]), ", ")
+
 
+def query_text(current: Column, predicted: Column, horizon: Column, trend: Column, pace: Column, risk: Column, label: Column, conditions: Column, lower: Column, upper: Column, insulin: Column, carbs: Column, stress: Column, activity: Column, question: Column) -> Column:
+    """The retrieval query of a forecast: core statement, risk, interval risks, factors, question (fixed wording)."""
+    names = F.create_map(*[F.lit(x) for kv in TREND_NAMES.items() for x in kv])
+    change = predicted - current
+    sign = F.when(change >= 0, "+").otherwise("")
+    minutes = horizon.cast("string")
+    extra, why = interval_risks(conditions, risk), factors(pace, trend, insulin, carbs, stress, activity)
+    return F.concat_ws(
+        " ",
+        F.concat(F.lit("Prediksi glukosa "), minutes, F.lit(" menit ke depan: "), fixed(predicted, 1), F.lit(" mg/dL (dari "), fixed(current, 1), F.lit(" mg/dL, perubahan "), sign, fixed(change, 1), F.lit(" mg/dL, tren "), names[trend], F.lit(").")),
+        F.concat(F.lit("Status risiko prediksi: "), label, F.lit(".")),
+        F.when((extra != "") & lower.isNotNull() & upper.isNotNull(), F.concat(F.lit("Interval prediksi "), fixed(lower, 0), F.lit("-"), fixed(upper, 0), F.lit(" mg/dL masih mencakup risiko "), extra, F.lit("; sertakan penanganannya."))),
+        F.when(why != "", F.concat(F.lit("Faktor kontribusi: "), why, F.lit("."))),
+        question,
+    )
 
-def numbers(text: Column) -> Column:
+
+def strategy_question(strategy: str, predicted: Column, horizon: Column, trend_name: Column, label: Column) -> Column:
+    """The clinical question behind a query, by strategy (fixed wording)."""
+    p, h = fixed(predicted, 0), horizon.cast("string")
+    return {
+        "risk": F.concat(F.lit("Apa risiko klinis utama dari prediksi glukosa "), p, F.lit(" mg/dL dengan tren "), trend_name, F.lit("? Seberapa mendesak penanganannya?")),
+        "intervention": F.concat(F.lit("Tindakan apa yang harus dilakukan segera untuk kondisi prediksi "), label, F.lit(" ini sebelum glukosa mencapai "), p, F.lit(" mg/dL?")),
+        "monitoring": F.concat(F.lit("Parameter apa yang harus dipantau dalam "), h, F.lit(" menit ke depan untuk kondisi prediksi "), p, F.lit(" mg/dL ini?")),
+        "comprehensive": F.concat(F.lit("Berikan penilaian risiko, tindakan pencegahan, dan protokol pemantauan untuk kondisi prediksi glukosa "), p, F.lit(" mg/dL ("), label, F.lit(") dalam "), h, F.lit(" menit ke depan. Sertakan rekomendasi yang bisa dilakukan dokter maupun pasien.")),
+    }[strategy]
+
+
+def topic_tag(risk: Column) -> Column:
+    """The topic that retrieval is narrowed to, null for a normal forecast."""
+    return F.when(risk.endswith("hypoglycemia"), "hipoglikemia").when(risk.endswith("hyperglycemia"), "hiperglikemia")
+
+
+#: Actions of the three levels, and the sentence every answer ends with.
+ACTIONS = {
+    "BAHAYA": ["Lakukan tatalaksana segera sesuai protokol klinis.", "Pantau ulang glukosa dalam interval singkat.", "Segera lakukan evaluasi dokter sebelum keputusan lanjutan."],
+    "HATI-HATI": ["Perkuat hidrasi dan review asupan karbohidrat.", "Tambahkan aktivitas ringan bila aman.", "Pantau glukosa ulang dan konsultasikan hasil ke dokter."],
+    "": ["Lanjutkan monitoring rutin dan pola hidup stabil.", "Pertahankan aktivitas fisik terjadwal.", "Tetap lakukan evaluasi berkala bersama dokter."],
+}
+DISCLAIMER = "Keputusan medis final tetap pada dokter"
+
+
+def actions(predicted: Column) -> Column:
+    """The three actions of a forecast's level."""
+    of = lambda k: F.array(*map(F.lit, ACTIONS[k]))
+    return F.when(predicted < 70, of("BAHAYA")).when(predicted > 180, of("HATI-HATI")).otherwise(of(""))
+
+
+def key_factors(glucose: Column, stress: Column, activity: Column) -> Column:
+    found = F.filter(F.array(F.when(stress >= 7, "stres tinggi"), F.when(activity < 15, "aktivitas fisik rendah"), F.when(glucose > 150, "glukosa awal tinggi")), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("kondisi metabolik saat ini")))
+
+
+def with_disclaimer(text: Column) -> Column:
+    """The text, with the disclaimer behind it unless it is there already."""
+    return F.when(F.lower(text).contains(DISCLAIMER.lower()), text).otherwise(F.concat(F.trim(text), F.lit(f" Catatan: {DISCLAIMER}.")))
+
+
+def advice(predicted: Column, current: Column, stress: Column, activity: Column) -> Column:
+    """One advisory text: summary, key factors, actions, disclaimer."""
+    summary = F.concat(F.lit("Prediksi "), fixed(predicted, 1), F.lit(" mg/dL dari baseline "), fixed(current, 1), F.lit(" mg/dL."))
+    return with_disclaimer(F.concat_ws(" ", summary, F.concat(F.array_join(key_factors(current, stress, activity), ", "), F.lit(".")), F.array_join(actions(predicted), " ")))
+
+
+#: Thresholds that need no source, units, and the words of the direction check.
+STANDARD = ("70", "80", "180", "250", "54", "15", "100", "120", "0", "1", "2", "3", "4", "5")
+UNITS = r"mg/dl|unit|u\b|iu|gram|g\b|menit|jam|%"
+GIVE = r"berikan|beri\b|tambahkan|tambah\b|naikkan|tingkatkan|suntikkan|suntik\b|injeksikan|konsumsi|makan\b|lakukan koreksi dengan"
+INSULIN, INSULIN_CONTEXT = "insulin|bolus", "pengguna insulin|terapi insulin|pemantauan|pantau|edukasi|riwayat|regimen"
+SUGAR, SUGAR_LEVEL = r"karbohidrat|glukosa oral|jus\b|permen|makanan manis|snack|gula", r"gula\s*darah"
+DESCRIBES = "karena|akibat|disebabkan|menunjukkan|menandakan|terjadi|kemungkinan|risiko|penyebab|faktor|belum ters|yang cepat|tren"
+FORBIDS = "hentikan|jangan|tunda|kurangi|hindari|batasi|tanpa|stop|tidak|air putih"
+
+
+def numbers(text: Column, units: str = UNITS) -> Column:
     """Numbers with a unit, decimal commas as points."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(\d+(?:[.,]\d+)?) ?(?:mg/dl|mg|g|units?|minutes?|min|hours?|h|%)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?i)(\d+(?:[.,]\d+)?)\s*(?:{units})"), F.lit(1))
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")))
 
 
-def grounded(number: Column, context: Column, standard: tuple[str, ...] = ("54", "70", "180", "250", "15")) -> Column:
-    """The number is a standard threshold or a whole token of the context."""
-    parts = F.split(F.coalesce(context, F.lit("")), "[^0-9.]+")
-    return number.isin(*standard) | F.array_contains(parts, number)
+def plain_number(number: Column) -> Column:
+    """Without zeros behind a decimal point."""
+    return F.when(number.contains("."), F.regexp_replace(F.regexp_replace(number, "0+$", ""), r"\.$", "")).otherwise(number)
+
+
+def grounded(number: Column, context: Column, state: Column) -> Column:
+    """The number is a standard threshold, one of the patient's own (an array of texts), or stands whole in the context."""
+    short = plain_number(number)
+    padded = F.concat(F.lit(" "), F.coalesce(context, F.lit("")), F.lit(" "))
+    spot = F.concat(F.lit(r"(?s).*[^0-9]"), F.replace(short, F.lit("."), F.lit(r"\.")), F.lit(r"[^0-9].*"))
+    return short.isin(*STANDARD) | number.isin(*STANDARD) | F.array_contains(state, short) | F.array_contains(state, number) | F.regexp_like(padded, spot)
 
 
 def wrong_direction(text: Column, condition: Column) -> Column:
-    """A sentence tells to take insulin at low, or sugar at high glucose, without a negation."""
+    """Sentences that tell to give insulin at low, or sugar at high glucose; explanations and warnings are none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    bad = lambda s, what: s.rlike(r"\b(give|take|inject|add)\b") & s.rlike(what) & ~s.rlike(r"\b(not|never|avoid|without)\b")
-    sentence = F.split(low, r"[.!?\n]+")
-    return F.when(condition == "hypo", F.exists(sentence, lambda s: bad(s, r"\binsulin\b"))).when(condition == "hyper", F.exists(sentence, lambda s: bad(s, r"\b(sugar|glucose|juice)\b"))).otherwise(False)
+    has = lambda s, words: s.rlike(f"({words})")
+    tells = lambda s: has(s, GIVE) & ~has(s, FORBIDS) & ~has(s, DESCRIBES)
+    sentences = F.transform(F.split(low, r"[.\n•]\s*"), lambda s: F.trim(s))
+    insulin = F.filter(sentences, lambda s: tells(s) & has(s, INSULIN) & ~has(s, INSULIN_CONTEXT))
+    sugar = F.filter(sentences, lambda s: tells(s) & has(F.regexp_replace(s, SUGAR_LEVEL, "kadar"), SUGAR))
+    return F.when(condition == "hypoglycemia", insulin).when(condition == "hyperglycemia", sugar).otherwise(F.array().cast("array<string>"))
+
+
+def safety(df: DataFrame) -> DataFrame:
+    """Roll-up of answers with ``n_numbers, n_grounded, n_wrong, disclaimer``: percentages over all, never by zero."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return df.agg(F.count("*").alias("cases"), total("n_numbers").alias("numbers"), (100.0 * total("n_grounded") / F.greatest(total("n_numbers"), F.lit(1))).alias("traceable"), total("n_wrong").alias("wrong"), (100.0 * F.count_if("disclaimer") / F.greatest(F.count("*"), F.lit(1))).alias("disclaimers"))
 
 
 def coverage(text: Column, words: list[str]) -> Column:

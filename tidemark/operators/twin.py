@@ -64,3 +64,21 @@ def newest(events: DataFrame, by: str, seq: list[str], cap: int = 1000) -> DataF
     """The newest ``cap`` events of each patient."""
     w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in seq])
     return events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+
+
+def state_history(events: DataFrame, by: str, seq: list[str], keys: dict[str, str], present: dict[str, Column]) -> DataFrame:
+    """Every event with the state after it and ``previous``, the state before (null for a patient's first event).
+
+    An event that does not write a key leaves it; one that writes null overwrites it. One sorted window serves all keys.
+    """
+    w = Window.partitionBy(by).orderBy(*seq)
+    after = {k: F.last(F.when(present[k], F.struct(F.col(v).alias("v"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k, v in keys.items()}
+    out = events.withColumns({f"_{k}": c for k, c in after.items()})
+    state = F.struct(*[F.col(f"_{k}.v").alias(k) for k in keys])
+    return out.withColumn("previous", F.lag(state).over(w)).withColumns({k: F.col(f"_{k}.v") for k in keys}).drop(*[f"_{k}" for k in keys])
+
+
+def summary(states: DataFrame) -> DataFrame:
+    """States as texts."""
+    shown = lambda c, places, unit: F.format_string(f"%.{places}f{unit}", F.col(c).cast("double"))
+    return states.select("patient_id", shown("glucose", 1, " mg/dL").alias("current_glucose"), shown("insulin", 2, " units").alias("insulin_active"), shown("carbs", 1, " grams").alias("carbs_active"), shown("stress", 0, "/10").alias("stress_level"), shown("activity", 0, " minutes").alias("activity_level"))

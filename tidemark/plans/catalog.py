@@ -28,10 +28,13 @@ def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import features_catalog, retrieval_catalog  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -327,11 +330,6 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(text.normalize(F.col("html"))).alias("h"))
 
 
-@query(f"SELECT doc_id, md5({_NORM.format("array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '(?i)\\.{{4,}}|^page \\d+|all rights reserved')), chr(10))")}) AS h FROM documents")
-def clean_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(text.clean_lines(F.col("text"))).alias("h"))
-
-
 @query("""WITH k AS (SELECT doc_id, 'ext_' || regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') || '_' || substr(sha1(text), 1, 12) AS key, length(text) AS n FROM documents)
 SELECT key, min(doc_id) AS doc_id FROM k WHERE n >= 120 AND key NOT IN (SELECT key FROM k WHERE doc_id % 10 = 0) AND doc_id % 10 <> 0 GROUP BY key""")
 def doc_ids_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -353,46 +351,6 @@ def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
 _TOK = "unnest(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
-@query(f"""WITH c AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents) GROUP BY ALL), q AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark) GROUP BY ALL),
-z AS (SELECT item_id, count(*) AS k FROM q GROUP BY 1), o AS (SELECT item_id, doc_id, sum(least(c.n, q.n)) AS o FROM c JOIN q USING (t) GROUP BY ALL), s AS (SELECT item_id, doc_id, o / k AS similarity FROM o JOIN z USING (item_id))
-SELECT item_id, doc_id, round(similarity, 9) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM s) WHERE rank <= 4""")
-def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(text.keyword_topk(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id"), "similarity", places=9)
-
-
-_WORDS = {"legal": [("licen", 2.0), ("apache", 1.0)], "abuse": [("idiot", 2.0), ("stupid", 2.0)], "plain": [(" the ", 1.0)]}
-_SCORES = {c: " + ".join(f"CASE WHEN contains(lower(text), '{x}') THEN {v} ELSE 0.0 END" for x, v in ws) for c, ws in _WORDS.items()}
-
-
-@query(f"WITH s AS (SELECT doc_id, {', '.join(f'{e} AS {c}' for c, e in _SCORES.items())} FROM documents) SELECT doc_id, CASE WHEN greatest(legal, abuse, plain) = 0 THEN 'other' WHEN legal = greatest(legal, abuse, plain) THEN 'legal' WHEN abuse = greatest(legal, abuse, plain) THEN 'abuse' ELSE 'plain' END AS topic FROM s")
-def topic_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.best_topic(text.topic_scores(F.col("text"), _WORDS)).alias("topic"))
-
-
-@query()
-def query_texts(spark: SparkSession, d: str) -> DataFrame:
-    p, s = pairs(spark, d), _states(spark, d).select("patient_id", "insulin", "carbs", "stress", "activity")
-    change = F.col("y") - F.col("p")
-    q = text.query_text(F.col("p"), F.col("y"), F.lit(30), rules.trend(change), rules.risk(F.col("y")), F.col("insulin"), F.col("carbs"), F.col("stress"), F.col("activity"))
-    return p.join(s, "patient_id").select("event_id", q.alias("query"))
-
-
-@query(f"""WITH {_P} SELECT event_id, CASE WHEN y < 70 THEN 'DANGER - low glucose expected. Take fast carbohydrates and measure again.' WHEN y > 180 THEN 'CAUTION - high glucose expected. Drink water and follow the care plan.' ELSE 'In range. Keep the routine.' END || ' This is not medical advice.' AS advice FROM v""")
-def advisory_rows(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("event_id", text.advice(F.col("y")).alias("advice"))
-
-
-@query(r"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '(?i)(\d+(?:[.,]\d+)?) ?(?:mg/dl|mg|g|units?|minutes?|min|hours?|h|%)', 1), lambda x: replace(x, ',', '.')), ';') AS numbers FROM conversations""")
-def number_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.numbers(F.col("text")), ";").alias("numbers"))
-
-
-@query()
-def direction_check(spark: SparkSession, d: str) -> DataFrame:
-    cond = F.when(F.col("turn") % 2 == 0, "hypo").otherwise("hyper")
-    return table(spark, d, "conversations").select("conv_id", "turn", text.wrong_direction(F.col("text"), cond).alias("wrong"), r6(text.coverage(F.col("text"), ["the", "and", "water"])).alias("coverage"))
-
-
 _COS = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), c AS (SELECT q.vec_id AS query_id, r.vec_id, r.x, q.label AS ql, r.label AS rl, round(list_cosine_similarity(q.x, r.x), 9) AS similarity FROM e q JOIN e r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM c)"
 
 
@@ -463,11 +421,6 @@ def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
     return p.crossJoin(F.broadcast(q.select("q"))).agg(F.round(F.avg(F.col("y").between(lo, hi).cast("int")) * 100.0, 4).alias("coverage"), r6(F.avg(hi - lo)).alias("width"))
 
 
-@query(f"WITH {_R} SELECT patient_id, {', '.join(f"round(avg(glucose) FILTER (WHERE channel = '{c}'), 6) AS {c}" for c in ('click', 'error', 'view'))} FROM r GROUP BY 1")
-def mode_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(readings(spark, d).groupBy("patient_id").pivot("channel", ["click", "error", "view"]).agg(F.avg("glucose")), "click", "error", "view")
-
-
 @query(f"""WITH {_P}, i AS (SELECT patient_id, (row_number() OVER (ORDER BY patient_id) - 1) % 6 AS fold FROM (SELECT DISTINCT patient_id FROM r)), h AS (SELECT fold, sqrt(avg((y - p) * (y - p))) AS rmse FROM v JOIN i USING (patient_id) GROUP BY 1)
 SELECT CAST(count(*) AS BIGINT) AS folds, round(avg(rmse), 6) AS mean, round(stddev_pop(rmse), 6) AS sd_pop, round(stddev_samp(rmse), 6) AS sd_samp FROM h""")
 def fold_mean_sd(spark: SparkSession, d: str) -> DataFrame:
@@ -476,12 +429,6 @@ def fold_mean_sd(spark: SparkSession, d: str) -> DataFrame:
     return f.agg(F.count("*").alias("folds"), r6(F.avg("rmse")).alias("mean"), r6(F.stddev_pop("rmse")).alias("sd_pop"), r6(F.stddev_samp("rmse")).alias("sd_samp"))
 
 
-@query(f"""WITH {_P}, e AS (SELECT round(y - p, 3) AS d FROM v WHERE round(y - p, 3) <> 0), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM e)
-SELECT CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_minus, CAST(count(*) AS BIGINT) AS n FROM k""")
-def wilcoxon_stat(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.signed_rank(pairs(spark, d).select(F.round(F.col("y") - F.col("p"), 3).alias("d")), "d")
-
-
 @query(f"WITH {_P} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(y - p), 6) AS mean, round(avg(y - p) / (stddev_samp(y - p) / sqrt(count(*))), 5) AS t FROM v")
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.paired_t(pairs(spark, d).select((F.col("y") - F.col("p")).alias("d")), "d")
@@ -491,16 +438,10 @@ def paired_t(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     df = pairs(spark, d).select("event_id", F.abs(F.col("y") - F.col("p")).alias("e"))
-    b = splits.bootstrap(df, "e", "event_id", 100, 0)
+    b = splits.bootstrap(df, "e", "event_id", 5000)
     return b.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
 
 
-@query()
-def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
-    df = pairs(spark, d).select("event_id", rules.zone(F.col("y")).alias("zone"))
-    return splits.balanced_sample(df, "zone", "event_id", 120, 3)
-
-
 @query()
 def rf_regression(spark: SparkSession, d: str) -> DataFrame:
     win = ml.flat(_win(spark, d), ["glucose", "delta"]).withColumn("dy", F.col("y") - F.col("anchor"))

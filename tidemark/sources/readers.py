@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contract import validate
@@ -44,6 +44,33 @@ def read_channel(spark: SparkSession, path: str, channel: str) -> DataFrame:
     return df.select("file", F.try_to_timestamp(F.col(f"e._{time}"), F.lit(XML_TIME)).alias("ts"), number.alias("value")).where("ts is not null")
 
 
+def read_patients(spark: SparkSession, path: str, pattern: str = "*-ws-*.xml", prefix: str = "patient_") -> DataFrame:
+    """``patient_id, channel, timestamp, value, event_id`` of all channels of all XML files below a folder, in one read.
+
+    The id is the root's ``id`` (``unknown`` without one) behind the prefix. Bad times are dropped, bad or missing
+    values are 0, marks without a value 1. ``temporal.assemble`` makes readings of them, with ``finger_stick`` as base
+    for the finger-stick time line.
+    """
+    attributes = lambda time, value: f"_{time} STRING" + (f", _{value} STRING" if value else "")
+    schema = "_id STRING, " + ", ".join(f"{c} STRUCT<event: ARRAY<STRUCT<{attributes(*a).replace(' STRING', ': STRING')}>>>" for c, a in CHANNELS.items())
+    df = spark.read.format("xml").option("rowTag", "patient").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(schema).load(path)
+
+    def listed(channel: str, time: str, value: str | None) -> Column:
+        number = lambda e: F.coalesce(e[f"_{value}"].try_cast("double"), F.lit(0.0)) if value else F.lit(1.0)
+        row = lambda e, i: F.struct(F.lit(channel).alias("channel"), F.try_to_timestamp(e[f"_{time}"], F.lit(XML_TIME)).alias("timestamp"), number(e).alias("value"), i.alias("place"))
+        return F.coalesce(F.transform(F.col(f"{channel}.event"), row), F.expr("array()"))
+
+    lists = [listed(c, *a) for c, a in CHANNELS.items()]
+    patient = F.concat(F.lit(prefix), F.coalesce("_id", F.lit("unknown")))
+    rows = df.select(patient.alias("patient_id"), F.col("_metadata.file_path").alias("_file"), F.explode(F.concat(*lists)).alias("e"))
+    return rows.select("patient_id", "e.channel", "e.timestamp", "e.value", F.xxhash64("_file", "patient_id", "e.channel", "e.place").alias("event_id")).where("timestamp is not null")
+
+
+def patient_data(df: DataFrame, patient: str, by: str = "patient_id") -> DataFrame:
+    """One patient's rows; an equality that Parquet scans take over."""
+    return df.where(F.col(by) == patient)
+
+
 def load_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """``doc_id, text, source`` of whole text files; blank ones are dropped."""
     df = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
