@@ -108,3 +108,10 @@ def test_rules_against_plain_reading():
         first = next(n for j, (k, n) in enumerate(licenses.SENTENCES) if re.search(licenses._pattern(k), f"| {said} |"))
         assert first == name or licenses.SENTENCES[[n for _, n in licenses.SENTENCES].index(first)][0].split("*")[0] in said, (i, known, first)
     assert all(any(n in rule for _, rule in licenses.RULES) or n.endswith(("_see", "_liable", "_as_is", "_copy", "_hope")) or n in ("bsd_endorse", "apache_comply", "apache_obtain", "mit_notice", "mpl_obtain") for _, n in licenses.SENTENCES)
+
+
+def test_every_known_sentence_has_a_stem():
+    import re
+
+    for known, name in licenses.SENTENCES:
+        assert re.search(licenses.HINT, known.replace("*", " ")), name

@@ -117,7 +117,7 @@ for _kind in ("BY-NC-SA", "BY-NC-ND", "BY-NC", "BY-SA", "BY-ND", "BY"):
         SENTENCES.append((f"*licensed under*{_name.lower().replace('-', ' ')}*", f"cc_{_name}"))
         RULES.append((_name, [f"cc_{_name}"]))
 #: A text with a known sentence holds one of these stems; others are not normalised at all.
-HINT = "licen[cs]e|permi(t|ssion)|warrant|redistribut|copyright|as is|rights reserved|cc by|cc-by|creative commons|neither the name|free software|useful|applicable law|public domain|liable".replace(" ", r"\W+")
+HINT = "licen[cs]|spdx|the mpl|permi(t|ssion)|warrant|redistribut|copyright|as is|rights reserved|cc by|cc-by|creative commons|neither the name|free software|useful|applicable law|public domain|liable".replace(" ", r"\W+")
 #: A sentence that speaks of licences, known or not.
 ABOUT = r"\b(licen[cs]|copyright|warrant|redistribut|rights reserved|permission is|spdx)"
 #: Comment and list marks at the start of a line.
@@ -140,7 +140,8 @@ def normalised(text: Column) -> Column:
     s = F.regexp_replace(s, r"\bcreative[ ;]+commons[ ;]+attribution\b", "cc by")
     for word, short in (("non ?commercial", "nc"), ("no ?deriv(?:ative)?s", "nd"), ("share[ ;]*alike", "sa")):
         s = F.regexp_replace(s, rf"\b(cc by(?: nc| nd)*)[ ;]+{word}\b", f"$1 {short}")
-    return F.concat(F.lit("| "), s, F.lit(" |"))
+    # only sentences with a stem can be known ones, and no known one runs over a certain end
+    return F.concat(F.lit("| "), F.array_join(F.filter(F.split(s, r" *\| *"), lambda x: x.rlike(HINT)), " | "), F.lit(" |"))
 
 
 def _pattern(known: str) -> str:
@@ -154,6 +155,10 @@ def _pattern(known: str) -> str:
 def marked(text: Column) -> Column:
     """A normalised text with ``@`` and the number of each known sentence in its place; earlier entries win."""
     s = normalised(text)
+    return F.transform(F.array(s), _replaced)[0]
+
+
+def _replaced(s: Column) -> Column:
     for i, (known, _) in enumerate(SENTENCES):
         s = F.regexp_replace(s, _pattern(known), f"@{i} ")
     return s
