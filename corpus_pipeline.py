@@ -71,7 +71,7 @@ STAGES = [
     ("substring_dedup", drop_repeats),
     ("packing", pack),
 ]
-#: SQL cannot express the learned stages; tests hold each stage against a plain version of it.
+#: SQL cannot express the learned stages; the operators behind the stages are tested against plain versions, run() only for its rows' shape.
 ORACLE_SQL = None
 
 
