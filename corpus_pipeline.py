@@ -71,7 +71,7 @@ STAGES = [
     ("substring_dedup", drop_repeats),
     ("packing", pack),
 ]
-#: SQL cannot express the learned stages; the operators behind the stages are tested against plain versions, run() only for its rows' shape.
+#: SQL cannot express the learned stages; the operators behind the stages are tested against plain versions, the stages for columns and counts.
 ORACLE_SQL = None
 
 
