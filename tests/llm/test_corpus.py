@@ -4,6 +4,7 @@ import hashlib
 import sys
 import zlib
 from collections import Counter
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -272,16 +273,51 @@ def test_first_fit_decreasing_against_plain_search():
     assert packing.first_fit_decreasing(sizes, 100)[0] == expected
 
 
-def test_fingerprints(spark, docs, odd):
-    for df in (docs, odd):
-        rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x))
-        got = fingerprint.fingerprint_documents(df).withColumn("sha", F.sha2("edited_text", 256)).collect()
-        edited = []
+def signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def plain_sketch(text: str) -> list[int]:
+    """Hashes of runs of five words below an eighth of the range, or the smallest one."""
+    from xxhash import xxh64
+
+    def chain(values: list[int]) -> int:
+        seed = 42
+        for v in values:
+            seed = xxh64((v % 2**64).to_bytes(8, "little"), seed).intdigest()
+        return signed(seed)
+
+    h = [signed(xxh64(w, 42).intdigest()) for w in text.lower().encode().split()]
+    every = [chain(h[i : i + 5]) for i in range(len(h) - 4)] if len(h) >= 5 else [reduce(lambda s, x: chain([s, x]), h, 42)] if h else []
+    return sorted({x for x in every if x < -(2**63) + 2**61 or x == min(every)})
+
+
+def plain_likeness(a: list[int], b: list[int]) -> float:
+    least = min(len(a), len(b))
+    return len({*a} & {*b}) / least if least else float(len(a) == len(b))
+
+
+@pytest.mark.parametrize(("ranges", "size"), [(1024, 8192), (1024, 16), (3, 4)])
+def test_fingerprints(spark, docs, odd, monkeypatch, ranges, size):
+    from xxhash import xxh64
+
+    monkeypatch.setattr(fingerprint, "MAX_RANGES", ranges)
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", size)
+    hot = spark.createDataFrame([(None if i % 3 else 7 if i % 4 else i, f"text {i} " + " ".join(WORDS[i % 7 : i % 7 + 9])) for i in range(300)], "doc_id long, text string")
+    for df in (docs, odd, hot):
+        rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+        rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, signed(xxh64(x[1].encode(), 42).intdigest())))
+        got = fingerprint.fingerprint_documents(df)
+        own, edited, beyond = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+        got = got.select("doc_id", "n_chars", "edited_text", "sketch", fingerprint.containment(own, edited).alias("e"), fingerprint.containment(own, beyond).alias("n")).collect()
+        expected = []
         for i, (k, t) in enumerate(rows):
             after, half = rows[i - 1][1], len(t) // 2
-            edited.append((k, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
-        assert Counter((r.doc_id, r.sha) for r in got) == Counter(edited)
-        assert all(len(r.sketch) > 0 for r, (_, t) in zip(sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0)), rows, strict=True) if t.split() and t.isascii())
+            new, s = t[: len(t) - half] + after[:half], plain_sketch(t)
+            expected.append((k, len(t), new, tuple(s), plain_likeness(s, plain_sketch(new)), plain_likeness(s, plain_sketch(after))))
+        assert Counter((r.doc_id, r.n_chars, r.edited_text, tuple(r.sketch), r.e, r.n) for r in got) == Counter(expected)
+    most = fingerprint._in_ranges(hot.select(fingerprint.key_of("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))).groupBy("r").count().agg(F.max("count")).first()[0]
+    assert most <= 300 if size > 300 else most <= 4 * size
     assert fingerprint.fingerprint_documents(odd.limit(0)).count() == 0
 
 
