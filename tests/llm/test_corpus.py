@@ -377,6 +377,8 @@ def test_toxicity(spark, odd):
     assert {r.toxicity < 0.3 for r in toxicity.score_toxicity(odd, model).collect()} == {True}
     nothing = toxicity.fit_toxicity_model(docs, labels.limit(0))
     assert toxicity.score_toxicity(odd, nothing).count() == 11
+    apart = toxicity.fit_toxicity_model(docs, labels.withColumn("doc_id", F.col("doc_id") + 5000))
+    assert {r.toxicity < 0.3 for r in toxicity.score_toxicity(odd, apart).collect()} == {True}
 
 
 def test_repeated_words_count_once():
@@ -498,3 +500,122 @@ def test_pipeline_runs_and_shrinks(spark):
         assert docs.columns == before.columns and 0 < docs.count() <= before.count(), name
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert cp.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == len(kept)
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage, on what the one before kept, row by row, with odd rows and columns whose names clash with the operators' own."""
+    import corpus_pipeline as cp
+
+    base = " ".join(WORDS)
+    odd = [(None, "null id " + base), (901, base), (901, base), (902, None), (903, ""), (904, " \t\n"), (905, base + " tail"), (906, "12 34"), (907, "Über " * 6000), (908, base)]
+    clash = ["k", "th", "row", "own", "kept", "n_removed", "n_words", "toxicity", "lang_pred", "component", "start"]
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(8)
+    rude = [(10_000 + i, " ".join([*(f"n{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in rng.integers(0, 300, 60)), *(["vilest", "scoundrel", "knave"] if i % 4 == 0 else [])])) for i in range(400)]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels = labels.unionByName(spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i, _ in rude], labels.schema))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    more = spark.createDataFrame([(i, t, None, "odd", len(t or "")) for i, t in odd + rude], source.schema)
+    docs = source.unionByName(more).withColumns({c: F.lit(n) for n, c in enumerate(clash)}).cache()
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    at = docs.columns.index("text")
+    key = lambda r: -(2**63) if r[0] is None else r[0]
+    stages = dict(cp.STAGES)
+
+    model = toxicity.fit_toxicity_model(docs, labels)
+    made = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    given, got = rows(docs), rows(made)
+    assert made.columns == docs.columns and got == Counter({r: n for r, n in given.items() if model.score(r[at])[0] < toxicity.THRESHOLD})
+    assert {r[0] for r in given - got} >= {i for i, _ in rude if i % 4 == 0} and len(given - got) < 120
+
+    found = langid.fit_language_model(made)
+    sure = lambda t: (p := found.predict(t))[0] != "und" and p[1] >= cp.MIN_LANGUAGE_SCORE
+    made, given = stages["language"](spark, made, str(tmp_path)).cache(), got
+    got = rows(made)
+    assert got == Counter({r: n for r, n in given.items() if sure(r[at])})
+    # what has no letters went; here it comes back, so that the later stages meet it
+    made = made.unionByName(docs.where("source = 'odd'").join(made.where("source = 'odd'").select("doc_id").distinct(), "doc_id", "left_anti")).cache()
+
+    given = rows(made)
+    first = brute_links({key(r): r[at] or "" for r in given})
+    made = stages["near_dedup"](spark, made, str(tmp_path)).cache()
+    got = rows(made)
+    assert got == Counter({r: n for r, n in given.items() if first[key(r)] == key(r)}) and len(got) < len(given)
+
+    left = brute_removed([*{(key(r), r[at] or "") for r in got}])
+    chars = docs.columns.index("n_chars")
+    expected: Counter = Counter()
+    for r, n in got.items():
+        text = " ".join(left[key(r)])
+        if len(left[key(r)]) == len((r[at] or "").encode().split()):
+            text = r[at]
+        elif not text:
+            continue
+        expected[tuple(text if i == at else (None if text is None else len(text)) if i == chars else v for i, v in enumerate(r))] += n
+    made = stages["substring_dedup"](spark, made, str(tmp_path)).cache()
+    got = rows(made)
+    assert made.columns == docs.columns and got == expected
+
+    pieces = stages["packing"](spark, made, str(tmp_path)).collect()
+    ids = [[*x, 2] for x in whole_ids([r[at] or "" for r in got.elements()])]
+    assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in pieces) == Counter((r[0], i, bytes(np.array(x[i : i + 4096], "<u4"))) for r, x in zip(got.elements(), ids, strict=True) for i in range(0, len(x), 4096))
+
+
+def test_stages_of_an_empty_table(spark, docs):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_run_is_the_stages_in_order(spark, docs):
+    import corpus_pipeline as cp
+
+    made = docs
+    for _, stage in cp.STAGES:
+        made = stage(spark, made, SF).cache()
+    mark = lambda df, crc: Counter(df.select("doc_id", "start", "length", crc).collect())
+    assert mark(cp.run(spark, SF), "ids_crc32") == mark(made, F.crc32("ids").alias("ids_crc32"))
+
+
+def test_ftrl_against_plain_formulas():
+    """One coordinate after another, by the closed form of the per-coordinate minimum."""
+    rng = np.random.default_rng(4)
+    vectors = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(40)]
+    labels = np.array([int(f[0] > 2) + int(f[-1] > 9) for f, _ in vectors])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(f, c):
+        s = z.get((f, c), 0.0)
+        return 0.0 if abs(s) <= l1 else -(s - l1 * (1 if s > 0 else -1)) / ((beta + n.get((f, c), 0.0) ** 0.5) / alpha + l2)
+
+    for epoch in range(4):
+        for i in np.random.default_rng(epoch).permutation(40):
+            x = {**dict(zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True)), 12: 1.0}
+            w = {(f, c): weight(f, c) for f in x for c in range(3)}
+            e = [np.exp(sum(w[f, c] * v for f, v in x.items())) for c in range(3)]
+            for f, v in x.items():
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == labels[i]))
+                    before = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * w[f, c]
+                    n[f, c] = before + g * g
+    got = langid.train_ftrl(vectors, labels, 12, 3)
+    assert np.allclose(got, [[weight(f, c) for c in range(3)] for f in range(13)]) and (got == 0).any()
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(6)
+    labels = rng.integers(0, 4, 500)
+    margins = rng.normal(0, 1, (500, 4)) + 2 * np.eye(4)[labels]
+    best = langid.fit_temperature(5 * margins, labels)
+    loss = lambda t: -np.log(langid.softmax(5 * margins / t)[np.arange(500), labels]).mean()
+    assert loss(best) <= min(loss(t) for t in np.geomspace(0.1, 20, 200)) + 1e-6
+
+
+def test_predictions_are_those_of_the_plain_model(spark, docs, odd):
+    model = langid.fit_language_model(docs)
+    for df in (docs, odd):
+        got = langid.identify_languages(df, model).collect()
+        assert [(r.lang_pred, r.lang_score) for r in got] == [model.predict(r.text) for r in got]

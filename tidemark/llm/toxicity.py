@@ -155,6 +155,8 @@ def tail_rate(scores: np.ndarray, chance: np.ndarray) -> float:
 
 def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic calibration of one statistic, with targets drawn in from 0 and 1, by Newton's method."""
+    if not len(x):
+        return 0.0, -5.0
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     scale = max(x.std(), 1e-6)
     u, w = np.c_[x / scale, np.ones(len(x))], np.zeros(2)
@@ -214,7 +216,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     The lexicon's odds and the calibration come from a sample of about ``sample_per_class`` labelled documents a
     class, copies of a text counted once; the prior and the chance of each word from all documents. Without labels
-    of both classes every text scores the same.
+    of both classes, or without a labelled document, every text scores the same.
     """
     small_batches(docs.sparkSession)
     known = labels.where(learned_from(id_col)).select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
