@@ -71,7 +71,7 @@ STAGES = [
     ("substring_dedup", drop_repeats),
     ("packing", pack),
 ]
-#: SQL cannot express the learned stages; the operators behind the stages are tested against plain versions, the stages for columns and counts.
+#: SQL cannot express the learned stages; tests/llm compares each stage, on what the one before kept, with a plain version row by row.
 ORACLE_SQL = None
 
 
