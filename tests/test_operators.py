@@ -1,4 +1,5 @@
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -189,3 +190,61 @@ def test_sources_and_streams(spark, tmp_path):
     stream = events.read_events(spark, "/root/testdata/sf0.001", source.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     out = events.run_once(events.latest_state(stream, "user_id", "ts", ["value"]), "states", str(tmp_path / "ck"))
     assert out.agg(F.sum("n_events")).first()[0] == source.count()
+
+
+def test_sources_by_name_and_chunks(spark, tmp_path):
+    import os
+
+    from tidemark.sources import readers, writers
+
+    line = "patient_id,timestamp,glucose,carbs,insulin,activity\n{},2024-01-01,100,1,1,1\n"
+    (tmp_path / "d").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.latest_dataset(spark, str(tmp_path / "d"))
+    for i, name in enumerate(["new.csv", "old.csv", "ohio_t1dm_merged.csv"]):
+        (tmp_path / "d" / name).write_text(line.format(name))
+        os.utime(tmp_path / "d" / name, (1000 - i, 1000 - i))
+    of = lambda name: readers.load_source(spark, str(tmp_path / "d"), name).first().patient_id
+    assert (of("latest_generated"), of("ohio_t1dm"), of("old.csv")) == ("new.csv", "ohio_t1dm_merged.csv", "old.csv")
+    (tmp_path / "d" / "dummy_diabetes_data.csv").write_text(line.format("dummy"))
+    assert of("latest_generated") == "dummy"
+    chunks = spark.createDataFrame([("c1", "a", "s", "t"), ("c2", "b\nc", "s", None)], "chunk_id string, text string, source string, topic string")
+    writers.write_chunks(chunks, str(tmp_path / "c"))
+    assert sorted(readers.load_chunks(spark, str(tmp_path / "c")).collect()) == sorted(chunks.collect())
+    (tmp_path / "c.json").write_text('[{"chunk_id": "x",\n "text": "y"}]')
+    assert readers.load_chunks(spark, str(tmp_path / "c.json")).first().text == "y"
+    states = spark.createDataFrame([("p1", 5.0), ("p2", None)], "patient_id string, iob double")
+    writers.write_twins(states, str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in readers.load_twins(spark, str(tmp_path / "t"), "patient_id string, iob double").select("patient_id", "iob").collect()) == [("p1", 5.0), ("p2", None)]
+
+
+def test_forests_from_a_configuration(spark, tmp_path):
+    from tidemark.operators import ml
+    from tidemark.streaming import events
+
+    rows = [(f"p{p}", datetime(2024, 1, 1) + timedelta(minutes=5 * i), None if i == 7 else 110.0 + 45 * math.sin(i / 6 + p), float(i % 9 == 0) * 30, float(i % 11 == 0)) for p in range(6) for i in range(60)]
+    df = spark.createDataFrame(rows, "patient_id string, timestamp timestamp, glucose double, carbs double, insulin double")
+    config = {"model": {"features": ["glucose"], "engineered_features": ["glucose", "glucose_delta", "iob", "cob", "hour_sin"], "use_engineered": True, "feature_engineering": {"insulin_tau_min": 240, "trend_steps": 3}, "predict_delta": True, "sequence_length": 6, "default_horizon": 3, "random_forest": {"n_estimators": 8, "max_depth": 6}}}
+    plan, model, scores = ml.train_from_config(df, config)
+    assert (plan.horizon, plan.length, plan.trees, len(model.trees)) == (3, 6, 8, 8) and ml.ForestPlan.of(config, 6).horizon == 6
+    row = scores.first()
+    assert row.n == 2 * (60 - 6 - 3 + 1) and row.rmse < 15
+    ml.save_model(model, plan, scores, str(tmp_path / "m"))
+    again, same = ml.load_model(spark, str(tmp_path / "m"))
+    assert same == plan
+    plain = ml.ForestPlan(["glucose"], length=6, horizon=3, trees=8, depth=6)
+    df = df.where("glucose is not null")
+    win = ml.forecast_windows(df, plain).cache()
+    forest = ml.fit_forest(win, "dy", 8, 6)
+    newest = ml.predict_newest(forest, df, plain).collect()
+    assert len(newest) == 6 and all(r.sigma >= 0 and 60 < r.yhat < 160 for r in newest)
+    folds = ml.cross_validate(df, plain, folds=3).collect()
+    assert sorted((r.fold, r.n) for r in folds) == [(f, 2 * (59 - 6 - 3 + 1)) for f in range(3)]
+    sweep = ml.weight_sweep(win.where("patient_id < 'p4'"), win.where("patient_id >= 'p4'"), plain, (3.0, 10.0)).collect()
+    assert {(r.weight, r.threshold) for r in sweep} == {(w, t) for w in (3.0, 10.0) for t in (70.0, 80.0)} and all(r.tp + r.fn + r.fp + r.tn == 2 * 51 for r in sweep)
+    with pytest.raises(ValueError):
+        ml.train(df.where("patient_id = 'p1'"), plain)
+    win.select("patient_id", "x", "y", "anchor", "v").drop("v").write.parquet(str(tmp_path / "w"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "w")).schema).parquet(str(tmp_path / "w"))
+    events.score_batches(stream, lambda b: ml.predict(forest, ml.flat(b, plain.features), plain).select("patient_id", "y", "yhat"), str(tmp_path / "scored"), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "scored")).count() == win.count()

@@ -29,6 +29,38 @@ def load_preferred(spark: SparkSession, *paths: str) -> tuple[DataFrame, str]:
     raise FileNotFoundError("; ".join(errors))
 
 
+#: Files that are preferred to newer ones, and the names of known sources.
+DEFAULT_FILES = ["training_data_complete.csv", "dummy_diabetes_data.csv"]
+SOURCES = {"ohio_t1dm": "ohio_t1dm_merged.csv", "manual_logbook": "manual_logbook.csv"}
+
+
+def latest_dataset(spark: SparkSession, folder: str) -> str:
+    """The path of a preferred file of a folder, else of its newest CSV file; an error if it has none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", "modificationTime")
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, DEFAULT_FILES)), F.element_at(F.split("path", "/"), -1)), F.lit(0))
+    found = files.orderBy(F.when(rank > 0, rank).otherwise(len(DEFAULT_FILES) + 1), F.desc("modificationTime"), "path").first()
+    if found is None:
+        raise FileNotFoundError(f"no CSV files in {folder}")
+    return found.path
+
+
+def load_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Readings of a source by its name; ``latest_generated`` is :func:`latest_dataset`, other names are file names."""
+    return load_csv(spark, latest_dataset(spark, folder) if name == "latest_generated" else f"{folder.rstrip('/')}/{SOURCES.get(name, name)}")
+
+
+def load_chunks(spark: SparkSession, path: str, schema: str = "chunk_id string, text string, source string, topic string") -> DataFrame:
+    """Chunks from JSON lines, or from a file that is one list."""
+    lines = spark.read.text(path)
+    one = lines.where(F.trim("value") != "").first()
+    return spark.read.schema(schema).option("multiLine", bool(one and one.value.lstrip().startswith("["))).json(path)
+
+
+def load_twins(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """States of all patients, one JSON document a file, with the ``file`` they came from."""
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder).withColumn("file", F.col("_metadata.file_path"))
+
+
 def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
     """``path, rows`` of each CSV file below a folder."""
     return spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))

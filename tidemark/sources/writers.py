@@ -27,3 +27,13 @@ def flat_metadata(df: DataFrame, column: str) -> DataFrame:
 
 def write_vectors(df: DataFrame, path: str, reset: bool = True) -> None:
     df.write.mode("overwrite" if reset else "append").parquet(path)
+
+
+def write_chunks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Chunks as JSON lines."""
+    df.write.mode(mode).json(path)
+
+
+def write_twins(df: DataFrame, path: str, by: str = "patient_id") -> None:
+    """States as JSON in a folder a patient, with the id in the records too."""
+    df.withColumn("patient", F.col(by)).repartition(by).write.mode("overwrite").partitionBy("patient").json(path)

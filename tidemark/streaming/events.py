@@ -23,6 +23,15 @@ def latest_state(events: DataFrame, by: str, ts: str, columns: list[str]) -> Dat
     return events.groupBy(by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in columns], F.count("*").alias("n_events"))
 
 
+def score_batches(stream: DataFrame, score, path: str, checkpoint: str) -> None:  # noqa: ANN001
+    """Write ``score`` of each micro-batch (a function of DataFrames) to a folder of its own below ``path``, over what a failed try left."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """All that is there now, as a table in memory; for results of a few rows a key."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
