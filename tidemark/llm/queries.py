@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, fingerprint, int8dedup, langid, licenses, packing, recompress, spm, tokenbin, toxicity, wordbpe
+from . import bottomk, fingerprint, importance, int8dedup, langid, licenses, packing, recompress, runs, spm, tokenbin, toxicity, wordbpe
 from .common import id_of, learned_from
 
 
@@ -70,8 +70,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_of(F.col("k")).alias("vec_id"), F.col("n_links").cast("long"), id_of(F.col("component")).alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", runs.made_periodic("doc_id", "text").alias("text"))
+    found = runs.find_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
+    best, digest = F.col("best"), lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), digest(runs.listed(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_toxicity, op4_token_files, op5_substring_dedup, op6_sentencepiece, op7_fingerprints, op8_packing, op9_minhash_dedup, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_toxicity, op4_token_files, op5_substring_dedup, op6_sentencepiece, op7_fingerprints, op8_packing, op9_minhash_dedup, op10_embedding_dedup, op12_periodic_runs, op13_importance_resampling)}
 
 
 _COMPONENTS = """
