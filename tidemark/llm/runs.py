@@ -28,131 +28,123 @@ MIN_WORDS, MIN_PERIODS = 24, 3
 #: Least length of repeated word groups; at most a third of MIN_WORDS.
 GRAM = 8
 #: Bytes of text that a task looks at together.
-BUFFER = 8 << 20
+BUFFER = 1 << 20
+FAR = 1 << 60
+#: Words whose suffix trees are toured together; a longer stretch has a tour of its own.
+FOREST = 30_000
 #: Places of an Euler tour in one block of the minimum table.
 BLOCK = 16
 
 
-class SuffixTree:
-    """The suffix tree of a sequence of positive integers and an end mark (0), by Ukkonen's algorithm.
+def suffix_tree(symbols: list[int]) -> tuple[dict[int, int], int, list[int]]:
+    """The suffix tree of positive integers and an end mark (0), by Ukkonen's algorithm: children, width, inner depths.
 
-    ``child`` maps ``node * width + symbol`` to a node. Node 0 is the root; ``depth`` is the length of a node's string,
-    ``leaf`` the suffix that ends in a leaf (-1 for inner nodes).
+    Node ``j`` below ``n`` (the length with the end mark) is the leaf of suffix ``j``; node ``n`` is the root, later ones
+    are inner nodes, whose depths (the lengths of their strings) are given from the root on. The children map
+    ``node * width + symbol`` to a node.
     """
-
-    def __init__(self, symbols: list[int]) -> None:
-        s = [*symbols, 0]
-        n = len(s)
-        width = max(s) + 1
-        child: dict[int, int] = {}
-        first, last, link, depth, leaf = [0], [0], [0], [0], [-1]  # a node's edge is s[first:last]
-        node = edge = length = pending = 0  # the active point, and suffixes not yet inserted
-        for i, c in enumerate(s):
-            pending += 1
-            inner = 0  # the inner node that waits for its suffix link
-            while pending:
-                if not length:
-                    edge = i
-                key = node * width + s[edge]
-                to = child.get(key)
-                if to is None:
-                    child[key] = len(first)
-                    first.append(i)
-                    last.append(n)
-                    link.append(0)
-                    depth.append(n - i + pending - 1)
-                    leaf.append(i - pending + 1)
-                    if inner:
-                        link[inner] = node
-                        inner = 0
-                else:
-                    span = (last[to] if last[to] < i + 1 else i + 1) - first[to]
-                    if length >= span:
+    s = [*symbols, 0]
+    n = len(s)
+    width = max(s) + 1
+    root = inner_nodes = n
+    child: dict[int, int] = {}
+    first, last, link, depth = [0] * (2 * n), [n] * (2 * n), [root] * (2 * n), [0]  # a node's edge is s[first:last]
+    node, edge, length, leaf = root, 0, 0, 0  # the active point, and the next suffix to insert
+    for i, c in enumerate(s):
+        waiting = 0  # the inner node that waits for its suffix link
+        while leaf <= i:
+            key = node * width + (s[edge] if length else c)
+            to = child.get(key)
+            if to is None:
+                child[key] = leaf
+                first[leaf] = i
+                if waiting:
+                    link[waiting] = node
+                    waiting = 0
+            else:
+                at = first[to]
+                if length:
+                    span = last[to] - at
+                    if length >= span and to > n:
                         edge += span
                         length -= span
                         node = to
                         continue
-                    if s[first[to] + length] == c:
-                        length += 1
-                        if inner:
-                            link[inner] = node
-                        break
-                    split = len(first)
-                    at = first[to]
-                    child[key] = split
-                    first += (at, i)
-                    last += (at + length, n)
-                    link += (0, 0)
-                    depth += (pending - 1, n - i + pending - 1)
-                    leaf += (-1, i - pending + 1)
-                    first[to] = at + length
-                    child[split * width + s[at + length]] = to
-                    child[split * width + c] = split + 1
-                    if inner:
-                        link[inner] = split
-                    inner = split
-                pending -= 1
-                if node:
-                    node = link[node]
-                elif length:
-                    length -= 1
-                    edge = i - pending + 1
-        self.n, self.width, self.child, self.depth, self.leaf = n, width, child, depth, leaf
-
-    def children(self, downward: bool = False) -> list[list[int]]:
-        """Each node's children by symbol, the end mark first in either order."""
-        key = np.fromiter(self.child.keys(), np.int64, len(self.child))
-        node = np.fromiter(self.child.values(), np.int64, len(self.child))
-        parent, symbol = key // self.width, key % self.width
-        if downward:
-            symbol = np.where(symbol > 0, self.width - symbol, 0)
-        order = np.lexsort((symbol, parent))
-        parent, node = parent[order], node[order].tolist()
-        found: list[list[int]] = [[]] * len(self.depth)
-        cut = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1], True]).tolist()
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            found[int(parent[a])] = node[a:b]
-        return found
-
-    def ranks(self, downward: bool = False) -> list[int]:
-        """The rank of each suffix among all (the end mark's included), in one order of the symbols or its reverse."""
-        below, leaf = self.children(downward), self.leaf
-        rank, at, stack = [0] * self.n, 0, [0]
-        while stack:
-            node = stack.pop()
-            if below[node]:
-                stack += reversed(below[node])
-            else:
-                rank[leaf[node]] = at
-                at += 1
-        return rank
-
-    def extensions(self) -> Extensions:
-        """Longest common extensions, from an Euler tour."""
-        below, tour, stack = self.children(), [], [0]
-        while stack:
-            node = stack.pop()
-            tour.append(node)
-            if node >= 0 and below[node]:
-                again = ~node
-                for x in reversed(below[node][1:]):
-                    stack += (x, again)
-                stack.append(below[node][0])
-        tour = np.array(tour, np.int64)
-        entry = tour >= 0
-        leaf = np.array(self.leaf)[np.where(entry, tour, ~tour)]
-        place = np.empty(self.n, np.int64)
-        at = np.flatnonzero(entry & (leaf >= 0))
-        place[leaf[at]] = at
-        return Extensions(np.array(self.depth, np.int32)[np.where(entry, tour, ~tour)], place)
+                else:
+                    edge = i
+                at += length
+                if s[at] == c:
+                    length += 1
+                    if waiting:
+                        link[waiting] = node
+                    break
+                inner_nodes += 1
+                child[key] = inner_nodes
+                first[inner_nodes], last[inner_nodes] = first[to], at
+                depth.append(i - leaf)
+                first[to] = at
+                child[inner_nodes * width + s[at]] = to
+                child[inner_nodes * width + c] = leaf
+                first[leaf] = i
+                if waiting:
+                    link[waiting] = inner_nodes
+                waiting = inner_nodes
+            leaf += 1
+            if node != root:
+                node = link[node]
+            elif length:
+                length -= 1
+                edge = i - length
+    return child, width, depth
 
 
 class Extensions:
-    """Least depth between two leaves of an Euler tour, in constant time: within blocks by running minima from both ends, over blocks by a table of powers of two."""
+    """Longest common extensions within each of several sequences, from an Euler tour of their suffix trees.
+
+    The tour's successors are linked up and ranked by doubling. The least depth between two places comes in constant
+    time: within blocks by running minima from both ends, over blocks by a table of powers of two.
+    """
 
-    def __init__(self, depth: np.ndarray, place: np.ndarray) -> None:
-        self.place, top = place, np.iinfo(np.int32).max
-        rows = np.concatenate([depth, np.full(-len(depth) % BLOCK, top, np.int32)]).reshape(-1, BLOCK)
+    def __init__(self, sequences: list[list[int]]) -> None:
+        sizes = np.array([len(s) + 1 for s in sequences], np.int64)
+        parents, nodes, symbols, depths, roots, ends, base = [], [], [], [], [], [], 0
+        for s, n in zip(sequences, sizes.tolist(), strict=True):
+            child, width, inner = suffix_tree(s)
+            key = np.fromiter(child.keys(), np.int64, len(child))
+            parents.append(key // width + base)
+            symbols.append(key % width)
+            nodes.append(np.fromiter(child.values(), np.int64, len(child)) + base)
+            depths += (np.arange(n, 0, -1), np.array(inner, np.int64))
+            roots.append(base + n)
+            ends.append(base)
+            base += n + len(inner)
+        parent, node, depth = np.concatenate(parents), np.concatenate(nodes), np.concatenate(depths)
+        order = np.lexsort((np.concatenate(symbols), parent))
+        parent, node = parent[order], node[order]
+        up = np.zeros(base, np.int64)
+        up[node] = parent
+        # step v goes down to node v, step base + v goes up from it
+        head = np.r_[True, parent[1:] != parent[:-1]]
+        after = np.arange(base, 2 * base)
+        after = np.concatenate([after, base + up])
+        after[parent[head]] = node[head]
+        sibling = np.flatnonzero(~head)
+        after[base + node[sibling - 1]] = node[sibling]
+        roots = np.array(roots)
+        after[base + roots] = np.r_[roots[1:], base + roots[-1]]  # from tree to tree
+        rank = (after != np.arange(2 * base)).astype(np.int64)
+        jump = after
+        for _ in range(int(2 * base).bit_length()):
+            rank += rank[jump]
+            jump = jump[jump]
+        place = rank[roots[0]] - rank
+        tour = np.empty(2 * base, np.int32)
+        tour[place[:base]] = depth
+        tour[place[base:]] = np.where(np.isin(np.arange(base), roots), 0, depth[up])
+        self.first = np.r_[0, np.cumsum(sizes)]
+        #: Places of all sequences' suffixes on the tour, which are their ranks as well.
+        self.place = place[np.concatenate([np.arange(e, e + n) for e, n in zip(ends, sizes.tolist(), strict=True)])]
+        rows = np.concatenate([tour, np.full(-len(tour) % BLOCK, np.iinfo(np.int32).max, np.int32)]).reshape(-1, BLOCK)
         self.depth = rows.ravel()
         self.upto = np.minimum.accumulate(rows, axis=1).ravel()
         self.onward = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -162,65 +154,73 @@ class Extensions:
             self.table.append(np.minimum(t[:-half], t[half:]))
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Symbols that the different suffixes ``i`` and ``j`` share from their starts on."""
+        """Symbols that the different suffixes ``i`` and ``j`` (numbered over all sequences) share from their starts on."""
         a, b = self.place[i], self.place[j]
         a, b = np.minimum(a, b), np.maximum(a, b)
         block_a, block_b = a // BLOCK, b // BLOCK
         out = np.minimum(self.onward[a], self.upto[b])
         gap = block_b - block_a - 1
-        power = np.zeros(len(gap), np.int64)
-        far = gap > 0
-        power[far] = np.frexp(gap[far])[1] - 1
-        for p in np.unique(power[far]).tolist():
-            at = np.flatnonzero(far & (power == p))
+        power = np.frexp(np.maximum(gap, 1))[1] - 1
+        for p in np.unique(power[gap > 0]).tolist():
+            at = np.flatnonzero((gap > 0) & (power == p))
             t = self.table[p]
             out[at] = np.minimum(out[at], np.minimum(t[block_a[at] + 1], t[block_b[at] - (1 << p)]))
         near = np.flatnonzero(block_a == block_b)
-        if len(near):
-            a, b = a[near], b[near]
-            least = self.depth[a]
-            for step in range(1, BLOCK):
-                least = np.where(a + step <= b, np.minimum(least, self.depth[np.minimum(a + step, b)]), least)
-            out[near] = least
+        a, b = a[near], b[near]
+        least = self.depth[a]
+        for step in range(1, BLOCK):
+            least = np.minimum(least, self.depth[np.minimum(a + step, b)])
+        out[near] = least
         return out.astype(np.int64)
 
 
-def longest_lyndon(rank: list[int]) -> np.ndarray:
-    """The length of the longest Lyndon word at each place: up to the next smaller suffix."""
-    n = len(rank) - 1
-    out, stack = [0] * n, [n]
+def longest_lyndon(rank: list[int]) -> tuple[list[int], list[int]]:
+    """The lengths of the longest Lyndon words at each place, in the order of ``rank`` and in its reverse.
+
+    Each ends before the next suffix of smaller (greater) rank; the last suffix is the end mark alone.
+    """
+    n = len(rank)
+    small, great, low, high = [0] * n, [0] * n, [], []
     for i in range(n - 1, -1, -1):
         r = rank[i]
-        while rank[stack[-1]] > r:
-            stack.pop()
-        out[i] = stack[-1] - i
-        stack.append(i)
-    return np.array(out, np.int64)
-
-
-def runs_of(symbols: list[int], min_words: int = MIN_WORDS, min_periods: int = MIN_PERIODS) -> np.ndarray:
-    """Rows ``start, length, period`` of all runs of positive symbols that are long enough, by start, then period."""
-    n = len(symbols)
-    tree = SuffixTree(symbols)
-    ahead, ranks = tree.extensions(), [tree.ranks(), tree.ranks(downward=True)]
-    del tree
-    back = SuffixTree(symbols[::-1]).extensions()
+        while low and rank[low[-1]] > r:
+            low.pop()
+        while high and rank[high[-1]] < r:
+            high.pop()
+        small[i] = (low[-1] if low else n) - i
+        great[i] = (high[-1] if high else n) - i
+        low.append(i)
+        high.append(i)
+    return small, great
+
+
+def runs_of(sequences: list[list[int]], min_words: int = MIN_WORDS, min_periods: int = MIN_PERIODS) -> list[np.ndarray]:
+    """For each sequence of positive symbols, rows ``start, length, period`` of all runs that are long enough, by start, then period."""
+    ahead, back = Extensions(sequences), Extensions([s[::-1] for s in sequences])
+    cuts = ahead.first
+    of = np.repeat(np.arange(len(sequences)), np.diff(cuts))
+    ranks = ahead.place.tolist()
+    periods = [longest_lyndon(ranks[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     found = []
-    for rank in ranks:
-        period = longest_lyndon(rank)
-        i = np.arange(n)
-        use = (i + period < n) & (min_periods * period <= n)
-        i, period = i[use], period[use]
+    for k in (0, 1):
+        period = np.concatenate([np.array(p[k], np.int64) for p in periods])
+        i = np.arange(len(period))
+        size = np.diff(cuts)[of] - 1
+        at = i - cuts[of]
+        use = (at + period < size) & (min_periods * period <= size)
+        i, period, at, size, start, seq = i[use], period[use], at[use], size[use], cuts[of[use]], of[use]
         right = ahead.common(i, i + period)
-        # a reversed suffix from n - x on holds the words before place x
+        # a reversed suffix from size - x on holds the words before place x
         left = np.zeros(len(i), np.int64)
-        inner = i > 0
-        left[inner] = back.common(n - i[inner], n - i[inner] - period[inner])
+        inner = at > 0
+        mirrored = (start + size - at)[inner]
+        left[inner] = back.common(mirrored, mirrored - period[inner])
         length = left + period + right
         ok = (length >= min_words) & (length >= min_periods * period)
-        found.append(np.stack([(i - left)[ok], length[ok], period[ok]], axis=1))
+        found.append(np.stack([seq[ok], (at - left)[ok], length[ok], period[ok]], axis=1))
     rows = np.unique(np.concatenate(found), axis=0)
-    return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
+    return [rows[a:b, 1:] for a, b in zip(*(np.searchsorted(rows[:, 0], np.arange(len(sequences)), side) for side in ("left", "right")), strict=True)]
 
 
 def stretches(ids: np.ndarray, doc: np.ndarray, gram: int = GRAM, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
@@ -228,8 +228,9 @@ def stretches(ids: np.ndarray, doc: np.ndarray, gram: int = GRAM, min_words: int
 
     In a run of ``length >= max(min_words, 3 * period)`` words, the group of ``gram <= min_words / 3`` words at any of its
     places has an equal one a period earlier or later within the run (if neither fits, the length is below
-    ``2 * period + gram``), so the whole run is in one stretch, and as wide in it as in the document. Groups are told by
-    hashes; an accident only makes a stretch longer.
+    ``2 * period + gram``), so the whole run is in one stretch, and as wide in it as in the document. A period is at most
+    a third of the stretch, so groups whose nearest equal lies farther away are taken out, again and again. Groups are
+    told by hashes; an accident only makes a stretch longer.
     """
     n = len(ids) - gram + 1
     if n <= 0:
@@ -241,35 +242,52 @@ def stretches(ids: np.ndarray, doc: np.ndarray, gram: int = GRAM, min_words: int
     h = mix64(h + mix64(doc[:n].astype(np.uint64) * np.uint64(2) + np.uint64(1)))
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
-    again = np.zeros(n, bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again &= doc[:n] == doc[gram - 1 :]
-    at = np.flatnonzero(again)
-    if not len(at):
-        return
-    # groups that overlap or touch, in one document
-    new = np.flatnonzero(np.r_[True, (np.diff(at) > gram) | (np.diff(doc[at]) != 0)])
-    for a, b in zip(at[new].tolist(), at[np.r_[new[1:] - 1, len(at) - 1]].tolist(), strict=True):
-        if b + gram - a >= min_words:
-            yield a, b + gram
+    near = np.full(n, FAR)  # the distance of the nearest equal group
+    step = np.diff(order)[same]
+    near[order[1:][same]] = step
+    near[order[:-1][same]] = np.minimum(near[order[:-1][same]], step)
+    at = np.flatnonzero((near < FAR) & (doc[:n] == doc[gram - 1 :]))
+    while len(at):
+        # groups that overlap or touch, in one document
+        new = np.flatnonzero(np.r_[True, (np.diff(at) > gram) | (np.diff(doc[at]) != 0)])
+        first, size = at[new], at[np.r_[new[1:] - 1, len(at) - 1]] + gram - at[new]
+        members = np.diff(np.r_[new, len(at)])
+        can = np.repeat(size >= min_words, members) & (near[at] * 3 <= np.repeat(size, members))
+        if can.all():
+            yield from zip(first.tolist(), (first + size).tolist(), strict=True)
+            return
+        at = at[can]
 
 
 def text_runs(texts: list[bytes], min_words: int = MIN_WORDS, min_periods: int = MIN_PERIODS) -> list[tuple[list[bytes], np.ndarray]]:
     """The words of each text and its runs."""
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(x, len(known)) for w in words for x in w), np.int64, int(sizes.sum()))
+    ids = np.empty(int(sizes.sum()), np.int64)
+    at = 0
+    for w in words:
+        known: dict[bytes, int] = {}
+        ids[at : at + len(w)] = [known.setdefault(x, len(known)) for x in w]
+        at += len(w)
     doc, first = np.repeat(np.arange(len(words)), sizes), np.r_[0, np.cumsum(sizes)]
-    found: list[list[np.ndarray]] = [[] for _ in words]
-    for a, b in stretches(ids, doc, min(GRAM, min_words // 3), min_words):
-        dense = np.unique(ids[a:b], return_inverse=True)[1] + 1
-        rows = runs_of(dense.tolist(), min_words, min_periods)
-        rows[:, 0] += a - first[doc[a]]
-        found[doc[a]].append(rows)
     none = np.empty((0, 3), np.int64)
-    return [(w, np.concatenate(f) if f else none) for w, f in zip(words, found, strict=True)]
+    found = [[none] for _ in words]
+
+    def search(group: list[tuple[int, int]]) -> None:
+        dense = [(np.unique(ids[a:b], return_inverse=True)[1] + 1).tolist() for a, b in group]
+        for (a, _), rows in zip(group, runs_of(dense, min_words, min_periods), strict=True):
+            found[doc[a]].append(rows + [a - first[doc[a]], 0, 0])
+
+    group, size = [], 0
+    for a, b in stretches(ids, doc, min(GRAM, min_words // 3), min_words):
+        group.append((a, b))
+        size += b - a
+        if size >= FOREST:
+            search(group)
+            group, size = [], 0
+    if group:
+        search(group)
+    return [(w, np.concatenate(f)) for w, f in zip(words, found, strict=True)]
 
 
 def collapsed(words: list[bytes], runs: np.ndarray) -> bytes:
