@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, fingerprint, importance, int8dedup, langid, licenses, packing, recompress, runs, spm, tokenbin, toxicity, wordbpe
+from . import bottomk, fingerprint, importance, int8dedup, langid, licenses, packing, pages, recompress, runs, spm, tokenbin, toxicity, wordbpe
 from .common import id_of, learned_from
 
 
@@ -70,6 +70,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_of(F.col("k")).alias("vec_id"), F.col("n_links").cast("long"), id_of(F.col("component")).alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract_main_text(_table(spark, sf_dir, "pages"), pages.drawn_model())
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", runs.made_periodic("doc_id", "text").alias("text"))
     found = runs.find_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
@@ -83,7 +88,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_toxicity, op4_token_files, op5_substring_dedup, op6_sentencepiece, op7_fingerprints, op8_packing, op9_minhash_dedup, op10_embedding_dedup, op12_periodic_runs, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_toxicity, op4_token_files, op5_substring_dedup, op6_sentencepiece, op7_fingerprints, op8_packing, op9_minhash_dedup, op10_embedding_dedup, op11_html_extraction, op12_periodic_runs, op13_importance_resampling)}
 
 
 _COMPONENTS = """
