@@ -143,6 +143,7 @@ class Forest:
                     parts.append(" ")
                 continue
             if name in PAGE:
+                self.label[root] = self._read(mark[4])[1] or 0
                 continue
             if mark[2]:
                 if count.get(name):
@@ -175,6 +176,7 @@ class Forest:
         if at < len(html):
             parts.append(entities.unescape(html[at:]))
         flush()
+        self.label[root] = 0
 
 
 def _bins(x: np.ndarray, edges: Iterable[float]) -> np.ndarray:
@@ -422,10 +424,10 @@ class _Drawn:
         return self.wrap("aside aside aside.sidebar div.sidebar div#sidebar div.right-rail div#secondary.widgets", "".join(block() for _ in range(self.r.randint(1, 4))) + self.maybe(0.3, self.ad))
 
     def comments(self) -> str:
-        one = lambda: self.wrap("li.comment div.comment article.comment div.comment-body li div", self.maybe(0.7, lambda: self.wrap("p.author div.meta span h4 cite", self.words(2))) + "".join(f"<p>{self.sentences(self.r.randint(1, 5))}</p>" for _ in range(self.r.randint(1, 2))) + self.maybe(0.4, lambda: '<a href="#">Reply</a>'))
-        inner = self.maybe(0.7, lambda: f"<h{self.r.randint(2, 4)}>{self.r.randint(1, 40)} {self.pick('comments', 'Comments', 'Kommentare', 'replies')}</h3>") + "".join(one() for _ in range(self.r.randint(1, 6))) + self.maybe(0.3, self.form)
+        one = lambda: self.wrap("li.comment div.comment article.comment div.comment-body li li div", self.maybe(0.5, lambda: self.wrap("p.author div.meta span h4 cite", self.words(2))) + "".join(f"<p>{self.sentences(self.r.randint(1, 5))}</p>" for _ in range(self.r.randint(1, 2))) + self.maybe(0.4, lambda: '<a href="#">Reply</a>'))
+        inner = self.maybe(0.7, lambda: f"<h{self.r.randint(2, 4)}>{self.r.randint(1, 40)} {self.pick('comments', 'Comments', 'Kommentare', 'replies')}</h3>") + self.pick("{}", "{}", "<ol>{}</ol>", "<ul>{}</ul>").format("".join(one() for _ in range(self.r.randint(1, 6)))) + self.maybe(0.3, self.form)
         plain, self.plain = self.plain, False  # comments without any name can't be told from the article
-        made = self.wrap("section.comments div.comments div#comments ol.commentlist div#disqus_thread section#comments div.replies div.discussion", inner, f' {MAIN_LABEL}="0"')
+        made = self.wrap("section.comments div.comments div#comments ol.commentlist div#disqus_thread section#comments section.comment-section div.replies div.discussion", inner, f' {MAIN_LABEL}="0"')
         self.plain = plain
         return made
 
@@ -478,11 +480,12 @@ class _Drawn:
 
     def page(self) -> str:
         r = self.r
-        if r.random() < 0.04:
-            return "".join(f'<{t}{f" {MAIN_LABEL}={chr(34)}1{chr(34)}"}>{self.sentences(r.randint(1, 6))}</{t}>' for t in r.choices(("p", "div", "pre"), k=r.randint(1, 5)))
+        if r.random() < 0.08:  # an article and nothing else
+            blocks = "".join(f"<{t}>{self.sentences(r.randint(1, 6))}</{t}>" for t in r.choices(("p", "p", "div", "pre"), k=r.randint(1, 9)))
+            return f'<body {MAIN_LABEL}="1">' + (self.sentences(r.randint(1, 9)) if r.random() < 0.3 else self.maybe(0.6, lambda: f"<h1>{self.words(r.randint(1, 6))}</h1>") + blocks)
         before = [self.maybe(0.5, self.header), self.maybe(0.7, self.nav), self.maybe(0.35, self.notice), self.maybe(0.5, self.ad), self.maybe(0.15, self.form)]
         r.shuffle(before)
-        middle = [self.article(), self.maybe(0.3, self.side), self.maybe(0.3, self.comments)]
+        middle = [self.article(), self.maybe(0.3, self.side), self.maybe(0.45, self.comments)]
         if r.random() < 0.15:
             middle[:2] = reversed(middle[:2])
         inner = "".join(middle)
