@@ -424,7 +424,7 @@ class _Drawn:
         return self.wrap("aside aside aside.sidebar div.sidebar div#sidebar div.right-rail div#secondary.widgets", "".join(block() for _ in range(self.r.randint(1, 4))) + self.maybe(0.3, self.ad))
 
     def comments(self) -> str:
-        one = lambda: self.wrap("li.comment div.comment article.comment div.comment-body li li div", self.maybe(0.5, lambda: self.wrap("p.author div.meta span h4 cite", self.words(2))) + "".join(f"<p>{self.sentences(self.r.randint(1, 5))}</p>" for _ in range(self.r.randint(1, 2))) + self.maybe(0.4, lambda: '<a href="#">Reply</a>'))
+        one = lambda: self.wrap("li.comment li.comment div.comment div.comment div.comment-body div.reply li li li div article.comment", self.maybe(0.5, lambda: self.wrap("p.author div.meta span h4 cite", self.words(2))) + "".join(f"<p>{self.sentences(self.r.randint(1, 5))}</p>" for _ in range(self.r.randint(1, 2))) + self.maybe(0.4, lambda: '<a href="#">Reply</a>'))
         inner = self.maybe(0.7, lambda: f"<h{self.r.randint(2, 4)}>{self.r.randint(1, 40)} {self.pick('comments', 'Comments', 'Kommentare', 'replies')}</h3>") + self.pick("{}", "{}", "<ol>{}</ol>", "<ul>{}</ul>").format("".join(one() for _ in range(self.r.randint(1, 6)))) + self.maybe(0.3, self.form)
         plain, self.plain = self.plain, False  # comments without any name can't be told from the article
         made = self.wrap("section.comments div.comments div#comments ol.commentlist div#disqus_thread section#comments section.comment-section div.replies div.discussion", inner, f' {MAIN_LABEL}="0"')
@@ -476,10 +476,12 @@ class _Drawn:
             inner += off(r.choice((self.share, self.side, self.comments, self.form)))
         if r.random() < 0.1:  # blocks without an element of their own
             return re.sub(r"<(p|h\d|ul|ol|blockquote|pre|table|figure)>", rf"<\1{main}>", title + "".join(f"<p>{self.inline(self.sentences(r.randint(1, 6)))}</p>" for _ in range(r.randint(2, 9))))
-        return self.wrap("article article article article.post main div.article div.post div.content div#content section.story div.entry td div", inner, main)
+        return self.wrap("article article article article article article.post main main div.article div.post div.content div#content section.story div.entry td div", inner, main)
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.06:
+            return self.article()
         if r.random() < 0.08:  # an article and nothing else
             blocks = "".join(f"<{t}>{self.sentences(r.randint(1, 6))}</{t}>" for t in r.choices(("p", "p", "div", "pre"), k=r.randint(1, 9)))
             return f'<body {MAIN_LABEL}="1">' + (self.sentences(r.randint(1, 9)) if r.random() < 0.3 else self.maybe(0.6, lambda: f"<h1>{self.words(r.randint(1, 6))}</h1>") + blocks)

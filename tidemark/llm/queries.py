@@ -126,6 +126,23 @@ WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM
   n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(comps.c, vec_id) AS component_id, vec_id = coalesce(comps.c, vec_id) AS kept
 FROM embeddings LEFT JOIN comps ON comps.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op13_importance_resampling": r"""
+WITH bits AS (SELECT n, list_reduce(range(0, 8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM (SELECT unnest(range(0, 256)) AS n)),
+  tab AS (SELECT list(v ORDER BY n) AS t FROM bits),
+  txt AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+  w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM txt),
+  f AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+  hex AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+  crc AS (SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS b FROM hex, tab),
+  fb AS (SELECT side, id, b FROM f JOIN crc USING (f)),
+  cnt AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM fb GROUP BY b),
+  tot AS (SELECT count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM fb),
+  gain AS (SELECT b, CAST(floor(1000 * ln(CAST((cnt.t + 1) * (tot.s + 10000) AS DOUBLE) / CAST((cnt.s + 1) * (tot.t + 10000) AS DOUBLE))) AS BIGINT) AS g FROM cnt, tot),
+  wt AS (SELECT id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM fb JOIN gain USING (b) WHERE side = 0 GROUP BY id),
+  d AS (SELECT id AS doc_id, coalesce(wt.n, 0) AS n_features, coalesce(wt.weight, 0) AS weight, len(w.w) AS n_words, CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN wt USING (id) WHERE side = 0),
+  sc AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
+  fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE n_words >= 20)
+SELECT sc.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(CASE WHEN r <= 25 * n // 100 THEN r END AS BIGINT) AS rank FROM sc LEFT JOIN fit USING (doc_id)""",
 }
 
 
