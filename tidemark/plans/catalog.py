@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import features_catalog, retrieval_catalog  # noqa: F401
+    from . import features_catalog, retrieval_catalog, streams_catalog  # noqa: F401
 
     return dict(_QUERIES)
 
