@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import HIGH, LOW, error_zone
+from ..sources.scratch import saved
 
 EPS = 1e-10
 
@@ -44,12 +45,19 @@ def hypo_only(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(F.count_if(low).alias("n_hypo"), F.sqrt(F.avg(F.when(low, d * d))).alias("hypo_rmse"), F.count_if(low & F.col(predicted).between(LOW, HIGH)).alias("missed_to_normal"))
 
 
-def running(counts: DataFrame, value: str, n: str = "c", ranges: int = 64) -> DataFrame:
+#: Distinct values in one range of :func:`running`, about.
+RANGE_ROWS = 200_000
+
+
+def running(counts: DataFrame, value: str, n: str = "c", ranges: int | None = None) -> DataFrame:
     """Rows of distinct values with ``upto``, the sum of ``n`` over values no larger; no task sees them all.
 
-    Values are dealt to ranges at approximate quantiles; sums run within a range and over the few ranges' totals.
+    The counts are saved once. Values are dealt to ranges at approximate quantiles, more ranges for more values; sums run
+    within a range and over the ranges' totals.
     """
-    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+    counts = saved(counts, "counts")
+    ranges = ranges or max(1, -(-counts.count() // RANGE_ROWS))
+    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col(value))) if cuts else F.lit(0)
     counts = counts.withColumn("_r", place)
     totals = counts.groupBy("_r").agg(F.sum(n).alias("t")).select("_r", (F.sum("t").over(Window.orderBy("_r")) - F.col("t")).alias("_before"))
@@ -63,9 +71,30 @@ def order_statistic(df: DataFrame, score: str, alpha: float) -> DataFrame:
     Scores are counted by value first; running counts are taken range by range.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("q")).agg(F.count("*").alias("c"))
-    totals = counts.agg(F.sum("c").alias("n"))
+    run = running(counts, "q")
+    totals = run.agg(F.max("upto").alias("n"))
     level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"))
-    return running(counts, "q").crossJoin(F.broadcast(totals)).where(F.col("upto") >= 1 + F.ceil(F.round(level * (F.col("n") - 1), 9))).agg(F.min("q").alias("q"), F.max("n").alias("n"))
+    return run.crossJoin(F.broadcast(totals)).where(F.col("upto") >= 1 + F.ceil(F.round(level * (F.col("n") - 1), 9))).agg(F.min("q").alias("q"), F.max("n").alias("n"))
+
+
+def quantiles(df: DataFrame, of: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of exact interpolated quantiles: ``of`` maps names to a column and a share; null without values.
+
+    Each column is counted by value once and searched range by range, so no buffer holds all values.
+    """
+    made = None
+    for column in dict.fromkeys(c for c, _ in of.values()):
+        run = running(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("q")).agg(F.count("*").alias("c")), "q")
+        total = run.agg(F.max("upto").alias("n"))
+        found = []
+        for name, (c, share) in of.items():
+            if c == column:
+                at = F.lit(share) * (F.col("n") - 1)
+                low, high = (F.min(F.when(F.col("upto") >= 1 + edge(F.round(at, 9)), F.col("q"))) for edge in (F.floor, F.ceil))
+                found.append((low + (high - low) * F.max(at - F.floor(F.round(at, 9)))).alias(name))
+        row = run.crossJoin(F.broadcast(total)).agg(*found)
+        made = row if made is None else made.crossJoin(F.broadcast(row))
+    return made.select(*of)
 
 
 def rank_metrics(topics: Column, expected: Column, k: int) -> dict[str, Column]:
@@ -85,7 +114,9 @@ def signed_rank(df: DataFrame, d: str) -> DataFrame:
 
 
 def paired_t(df: DataFrame, d: str) -> DataFrame:
-    return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t"))
+    """``n``, mean, ``t`` and its two-sided ``p`` of paired differences; null without two rows or without spread."""
+    made = df.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"))
+    return made.withColumn("p", student_tail(F.col("t"), F.col("n") - 1))
 
 
 def normal_tail(z: Column) -> Column:
@@ -98,13 +129,87 @@ def normal_tail(z: Column) -> Column:
     return t * F.exp(poly - x * x)
 
 
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of positive numbers: Stirling's series beyond 8, reached by the recurrence."""
+    y = x + 8
+    up = F.log(x)
+    for i in range(1, 8):
+        up = up + F.log(x + i)
+    r = 1 / y
+    series = r * (1 / 12 - r * r * (1 / 360 - r * r * (1 / 1260 - r * r * (1 / 1680 - r * r / 1188))))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - up
+
+
+def incomplete_beta(x: Column, a: Column, b: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function, by its continued fraction (evaluated from the front, after Lentz).
+
+    It converges fast for ``x`` below ``(a + 1) / (a + b + 2)``; above, the mirrored function is used.
+    """
+    flip = x > (a + 1) / (a + b + 2)
+    made = F.struct(F.when(flip, 1 - x).otherwise(x).alias("x"), F.when(flip, b).otherwise(a).alias("a"), F.when(flip, a).otherwise(b).alias("b"))
+    tiny = 1e-300
+    keep = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def of(q: Column) -> Column:
+        x, a, b = q["x"], q["a"], q["b"]
+
+        def step(s: Column, m: Column) -> Column:
+            k = F.floor(m / 2).cast("double")
+            even = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+            odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+            c = F.when(m % 2 == 0, even).otherwise(odd)
+            # one struct in, one out; the parts are made in turn so that none is computed twice
+            return F.transform(F.array(F.struct(keep(1 + c * s["d"]).alias("u"), keep(1 + c / s["c"]).alias("v"))), lambda y: F.struct((1 / y["u"]).alias("d"), y["v"].alias("c"), (s["f"] * y["v"] / y["u"]).alias("f")))[0]
+
+        start = F.struct(F.lit(1.0).alias("d"), F.lit(1.0).alias("c"), F.lit(1.0).alias("f"))
+        first = F.transform(F.array(F.struct((1 / keep(1 - (a + b) * x / (a + 1))).alias("d"))), lambda y: F.struct(y["d"].alias("d"), F.lit(1.0).alias("c"), y["d"].alias("f")))[0]
+        fraction = F.aggregate(F.sequence(F.lit(2), F.lit(terms)), F.coalesce(first, start), step)["f"]
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+        return F.when(x <= 0, 0.0).otherwise(front * fraction / a)
+
+    value = F.transform(F.array(made), of)[0]
+    return F.when(flip, 1 - value).otherwise(value)
+
+
+def student_tail(t: Column, df: Column, exact_to: int = 10_000) -> Column:
+    """Twice the upper tail of Student's t beyond ``|t|``; beyond ``exact_to`` degrees by a normal transform (its error falls with their square)."""
+    t, df = t.cast("double"), df.cast("double")
+    beta = incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5))
+    near = normal_tail(t * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df)))
+    return F.when((df > 0) & t.isNotNull(), F.when(df <= exact_to, beta).otherwise(near))
+
+
+def exact_signed_rank(w: Column, n: Column, most: int = 50) -> Column:
+    """Twice the share of the ``2**n`` signings whose positive ranks sum to ``w`` or less, 1 at most; null beyond ``most``.
+
+    The number of signings for each sum is built rank by rank (exact in doubles up to 50 ranks).
+    """
+    ways = F.aggregate(
+        F.sequence(F.lit(1), n.cast("int")),
+        F.array(F.lit(1.0)),
+        lambda held, i: F.zip_with(F.concat(held, F.array_repeat(F.lit(0.0), i)), F.concat(F.array_repeat(F.lit(0.0), i), held), lambda x, y: x + y),
+    )
+    below = F.aggregate(F.slice(ways, 1, F.floor(w).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
+    return F.when(n == 0, 1.0).when(n <= most, F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n)))
+
+
 def signed_rank_p(df: DataFrame, d: str) -> DataFrame:
-    """The signed-rank sums and ``p`` by the normal approximation with tie correction; 1 if all differences are zero."""
-    ties = df.where((F.col(d) != 0) & F.col(d).isNotNull()).groupBy(F.abs(d).alias("a")).agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")), F.lit(0.0)).alias("ties"))
+    """The signed-rank sums of non-zero differences, their two-sided ``p`` and its ``method``.
+
+    Exact for up to 50 differences of which none is zero and no two are equal in size; else by the normal approximation
+    with tie correction. 1 if all differences are zero.
+    """
+    given = df.where(F.col(d).isNotNull())
+    counts = given.where(F.col(d) != 0).groupBy(F.abs(d).alias("a")).agg(F.count("*").cast("double").alias("c"))
+    ties = counts.agg(F.coalesce(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")), F.lit(0.0)).alias("ties"))
+    ties = ties.crossJoin(F.broadcast(given.agg(F.count_if(F.col(d) == 0).alias("zeros"))))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread
-    return signed_rank(df, d).crossJoin(F.broadcast(ties)).select("w_plus", "w_minus", "n", F.when(spread > 0, normal_tail(z)).otherwise(1.0).alias("p"))
+    low = F.least("w_plus", "w_minus")
+    exact = (F.col("n") <= 50) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    made = signed_rank(df, d).crossJoin(F.broadcast(ties))
+    p = F.when(exact, exact_signed_rank(low, F.when(exact, F.col("n")).otherwise(0))).when(spread > 0, normal_tail((low - n * (n + 1) / 4) / spread)).otherwise(1.0)
+    return made.select("w_plus", "w_minus", "n", p.alias("p"), F.when(exact, "exact").otherwise("normal").alias("method"))
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str, divergent: Column) -> DataFrame:

@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import features_catalog, retrieval_catalog, streams_catalog  # noqa: F401
+    from . import features_catalog, retrieval_catalog, statistics_catalog, streams_catalog  # noqa: F401
 
     return dict(_QUERIES)
 
@@ -432,7 +432,7 @@ def fold_mean_sd(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_P} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(y - p), 6) AS mean, round(avg(y - p) / (stddev_samp(y - p) / sqrt(count(*))), 5) AS t FROM v")
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.paired_t(pairs(spark, d).select((F.col("y") - F.col("p")).alias("d")), "d")
-    return rounded(rounded(out, "mean"), "t", places=5)
+    return rounded(rounded(out.select("n", "mean", "t"), "mean"), "t", places=5)
 
 
 @query()

@@ -195,11 +195,6 @@ def wilcoxon_stat(spark: SparkSession, d: str) -> DataFrame:
     return metrics.signed_rank(pairs(spark, d).select(F.round(F.col("y") - F.col("p"), 3).alias("d")), "d")
 
 
-@query()
-def wilcoxon_p(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.signed_rank_p(pairs(spark, d).select(F.round(F.col("y") - F.col("p"), 3).alias("d")), "d")
-
-
 @query(f"""WITH {_R}, m AS (SELECT unnest(['now', 'last', 'mean3']) AS mode), v AS (SELECT patient_id, event_id, glucose AS a, lag(glucose) {_W} AS b, avg(glucose) OVER (PARTITION BY patient_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c, lead(glucose, 6) {_W} AS y FROM r),
 x AS (SELECT mode, y, CASE mode WHEN 'now' THEN a WHEN 'last' THEN b ELSE c END AS p FROM v, m WHERE y IS NOT NULL AND b IS NOT NULL) SELECT mode, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - p)), 6) AS mae FROM x GROUP BY 1""")
 def case_modes(spark: SparkSession, d: str) -> DataFrame:
