@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import free, neighbours
+
 BLOCK = 1024
 
 
@@ -23,21 +25,22 @@ def decays(df: DataFrame, by: str, on: list[str], specs: list[tuple[str, str, fl
     once per block, over as many earlier blocks as a double can still tell from nothing, and joined by block.
     """
     w = order(by, *on)
-    inside = Window.partitionBy(by, "_block").orderBy(*on).rowsBetween(Window.unboundedPreceding, 0)
+    count, block, i, *rest = free(df, "n", "block", "i", *[f"{x}{j}" for x in ("own", "carry") for j in range(len(specs))])
+    own, carried = rest[: len(specs)], rest[len(specs) :]
+    inside = Window.partitionBy(by, block).orderBy(*on).rowsBetween(Window.unboundedPreceding, 0)
     ks = [step_minutes / tau for *_, tau in specs]
-    df = df.withColumn("_n", F.row_number().over(w) - 1).withColumns({"_block": F.floor(F.col("_n") / BLOCK), "_i": F.col("_n") % BLOCK})
-    own = {f"_own{j}": F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) * F.exp(F.col("_i") * k)).over(inside) * F.exp(-F.col("_i") * k) for j, ((v, *_), k) in enumerate(zip(specs, ks, strict=True))}
-    df = df.withColumns(own)
-    ends = df.groupBy(by, "_block").agg(*[F.max_by(o, "_i").alias(o) for o in own])
+    df = df.withColumn(count, F.row_number().over(w) - 1).withColumns({block: F.floor(F.col(count) / BLOCK), i: F.col(count) % BLOCK})
+    df = df.withColumns({o: F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) * F.exp(F.col(i) * k)).over(inside) * F.exp(-F.col(i) * k) for o, (v, *_), k in zip(own, specs, ks, strict=True)})
+    ends = df.groupBy(by, block).agg(*[F.max_by(o, i).alias(o) for o in own])
 
     def carry(o: str, k: float) -> Column:
-        before = Window.partitionBy(by).orderBy("_block").rowsBetween(-math.ceil(745 / (k * BLOCK)), -1)
+        before = Window.partitionBy(by).orderBy(block).rowsBetween(-math.ceil(745 / (k * BLOCK)), -1)
         return F.aggregate(F.collect_list(o).over(before), F.lit(0.0), lambda s, e: s * math.exp(-k * BLOCK) + e)
 
-    ends = ends.select(by, "_block", *[carry(o, k).alias(f"_carry{j}") for j, (o, k) in enumerate(zip(own, ks, strict=True))])
-    out = df.join(ends, [by, "_block"], "left")
-    made = {name: F.col(f"_own{j}") + F.coalesce(f"_carry{j}", F.lit(0.0)) * F.exp(-(F.col("_i") + 1) * k) for j, ((_, name, _), k) in enumerate(zip(specs, ks, strict=True))}
-    return out.withColumns(made).drop("_n", "_block", "_i", *own, *[f"_carry{j}" for j in range(len(specs))])
+    ends = ends.select(by, block, *[carry(o, k).alias(c) for o, c, k in zip(own, carried, ks, strict=True)])
+    out = df.join(ends, [by, block], "left")
+    made = {name: F.col(o) + F.coalesce(c, F.lit(0.0)) * F.exp(-(F.col(i) + 1) * k) for o, c, (_, name, _), k in zip(own, carried, specs, ks, strict=True)}
+    return out.withColumns(made).drop(count, block, i, *own, *carried)
 
 
 def decay_accumulate(df: DataFrame, by: str, on: list[str], value: str, name: str, tau_minutes: float = 240.0, step_minutes: float = 5.0) -> DataFrame:
@@ -69,17 +72,16 @@ def minutes_since(ts: Column, w) -> Column:  # noqa: ANN001
     return (F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)) / 6e7
 
 
-def interpolate(df: DataFrame, by: str, on: list[str], value: str, name: str) -> DataFrame:
-    """Linear by position between present values of a patient, the nearest one at the ends."""
-    w = order(by, *on)
-    df = df.withColumn("_rn", F.row_number().over(w))
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col("_rn").alias("rn"), F.col(value).alias("v")))
-    before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumns({"_p": before, "_q": after})
-    share = (F.col("_rn") - F.col("_p.rn")) / (F.col("_q.rn") - F.col("_p.rn"))
-    between = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * share
-    return df.withColumn(name, F.coalesce(F.col(value), between, F.col("_p.v"), F.col("_q.v"))).drop("_rn", "_p", "_q")
+def interpolate(df: DataFrame, by: str, on: list[str], value: str, name: str, block_rows: int | None = None) -> DataFrame:
+    """Linear by position between present values of a patient, the nearest one at the ends.
+
+    A patient too large for a task is worked on in blocks (:mod:`blocks`; ``block_rows`` sets their size).
+    """
+    made, rn, names = neighbours(df, by, on, {"v": F.col(value)}, block_rows)
+    p, q = names["v"]
+    share = (F.col(rn) - F.col(f"{p}.rn")) / F.nullif(F.col(f"{q}.rn") - F.col(f"{p}.rn"), F.lit(0))
+    between = F.col(f"{p}.v") + (F.col(f"{q}.v") - F.col(f"{p}.v")) * share
+    return made.withColumn(name, F.coalesce(F.col(value), between, F.col(f"{p}.v"), F.col(f"{q}.v"))).drop(rn, p, q)
 
 
 def windows(df: DataFrame, by: str, on: list[str], features: list[str], target: str, length: int = 12, horizon: int = 1) -> DataFrame:
@@ -87,8 +89,9 @@ def windows(df: DataFrame, by: str, on: list[str], features: list[str], target:
     if length < 1 or horizon < 1:
         raise ValueError("length and horizon must be at least 1")
     w = order(by, *on)
-    df = df.withColumns({"x": F.collect_list(F.struct(*features)).over(w.rowsBetween(1 - length, 0)), "y": F.lead(target, horizon).over(w), "anchor": F.col(target), "_rn": F.row_number().over(w), "_left": F.lead(F.lit(1), horizon).over(w)})
-    return df.where((F.col("_rn") >= length) & F.col("_left").isNotNull()).drop("_rn", "_left")
+    rn, left = free(df, "rn", "left")
+    df = df.withColumns({"x": F.collect_list(F.struct(*features)).over(w.rowsBetween(1 - length, 0)), "y": F.lead(target, horizon).over(w), "anchor": F.col(target), rn: F.row_number().over(w), left: F.lead(F.lit(1), horizon).over(w)})
+    return df.where((F.col(rn) >= length) & F.col(left).isNotNull()).drop(rn, left)
 
 
 def pooled_scaler(win: DataFrame, features: list[str]) -> DataFrame:
@@ -101,12 +104,14 @@ def pooled_scaler(win: DataFrame, features: list[str]) -> DataFrame:
 
 
 def every_nth(df: DataFrame, by: str, on: list[str], step: int) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(order(by, *on))).where((F.col("_rn") - 1) % step == 0).drop("_rn")
+    (rn,) = free(df, "rn")
+    return df.withColumn(rn, F.row_number().over(order(by, *on))).where((F.col(rn) - 1) % step == 0).drop(rn)
 
 
 def first_n(df: DataFrame, by: str, on: list[str], n: int, last: bool = False) -> DataFrame:
     keys = [F.desc(c) if last else F.asc(c) for c in on]
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).where(F.col("_rn") <= n).drop("_rn")
+    (rn,) = free(df, "rn")
+    return df.withColumn(rn, F.row_number().over(Window.partitionBy(by).orderBy(*keys))).where(F.col(rn) <= n).drop(rn)
 
 
 def greedy_thin(df: DataFrame, by: str, index: str, gap: int) -> DataFrame:
@@ -131,25 +136,22 @@ def greedy_thin(df: DataFrame, by: str, index: str, gap: int) -> DataFrame:
     return rows.repartition(by).sortWithinPartitions(by, index).mapInArrow(thin, rows.schema)
 
 
-def fill_missing(df: DataFrame, by: str, on: list[str], numeric: list[str], other: list[str]) -> DataFrame:
+def fill_missing(df: DataFrame, by: str, on: list[str], numeric: list[str], other: list[str], block_rows: int | None = None) -> DataFrame:
     """No gaps: numeric columns linear by position, other columns the last value before, else the first after.
 
-    Per patient; one sorted window serves all columns. A column that is null throughout a patient stays null there.
+    Per patient; one sorted window serves all columns, within blocks where a patient is too large for a task (:mod:`blocks`;
+    ``block_rows`` sets their size). A column that is null throughout a patient stays null there.
     """
-    w = order(by, *on)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("_rn", F.row_number().over(w))
-    point = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.struct(F.col("_rn").alias("rn"), F.col(c).cast("double").alias("v")))
-    df = df.withColumns({f"_{s}{i}": f(point(c), ignorenulls=True).over(o) for i, c in enumerate(numeric) for s, f, o in (("p", F.last, back), ("q", F.first, ahead))})
-
-    def between(i: int, c: str) -> Column:
-        p, q = F.col(f"_p{i}"), F.col(f"_q{i}")
-        share = (F.col("_rn") - p["rn"]) / F.nullif(q["rn"] - p["rn"], F.lit(0))
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    made, rn, names = neighbours(df, by, on, {c: number(c) for c in numeric} | {c: F.col(c) for c in other}, block_rows)
+
+    def between(c: str) -> Column:
+        p, q = (F.col(x) for x in names[c])
+        share = (F.col(rn) - p["rn"]) / F.nullif(q["rn"] - p["rn"], F.lit(0))
         return F.coalesce(p["v"] + (q["v"] - p["v"]) * share, p["v"], q["v"])
 
-    filled = {c: between(i, c) for i, c in enumerate(numeric)}
-    filled |= {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in other}
-    return df.withColumns(filled).drop("_rn", *[f"_{s}{i}" for i in range(len(numeric)) for s in "pq"])
+    filled = {c: between(c) for c in numeric} | {c: F.coalesce(*(F.col(x)["v"] for x in names[c])) for c in other}
+    return made.withColumns(filled).drop(rn, *(x for pair in names.values() for x in pair))
 
 
 def finite(x: Column) -> Column:

@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import block_of, cuts
 
-def asof(left: DataFrame, right: DataFrame, by: str, on: str, value: str, left_id: str, right_id: str, direction: str = "nearest", tolerance_us: int | None = None, name: str = "matched") -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: str, on: str, value: str, left_id: str, right_id: str, direction: str = "nearest", tolerance_us: int | None = None, name: str = "matched", block_rows: int | None = None) -> DataFrame:
     """Left rows with the matching right row as a struct ``name`` of ``id, value, us``, null without a match.
 
     ``nearest`` takes the closer neighbour, the earlier one on a tie; ``backward`` the last at or before. Among equal
-    times the last right row by id counts backward, the first forward. The tolerance is inclusive. One shuffle by ``by``.
+    times the last right row by id counts backward, the first forward. The tolerance is inclusive. One shuffle by ``by``; where
+    a patient has too many rows for one task, by ``by`` and a block of time (:mod:`blocks`; ``block_rows`` sets their size),
+    and each block gets the last right row before it and the first one after it from a row per block.
     """
     us = F.unix_micros(F.col(on).cast("timestamp"))
     kind = dict(left.dtypes)
-    cols = left.columns
-    rows = left.select(F.col(by).alias("_by"), us.alias("_us"), F.struct(*cols).alias("_left"), F.lit(None).cast(f"struct<id:{dict(right.dtypes)[right_id]},value:{dict(right.dtypes)[value]},us:bigint>").alias("_right"), F.col(left_id).cast("string").alias("_tie"), F.lit(0).alias("_n"))
-    other = right.select(F.col(by).cast(kind[by]).alias("_by"), us.alias("_us"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.struct(F.col(right_id).alias("id"), F.col(value).alias("value"), us.alias("us")).alias("_right"), F.lit(None).cast("string").alias("_tie"), F.col(right_id).cast("long").alias("_n"))
+    rows = left.select(F.col(by).alias("_by"), us.alias("_us"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"), F.lit(None).cast(f"struct<id:{dict(right.dtypes)[right_id]},value:{dict(right.dtypes)[value]},us:bigint>").alias("_right"), F.lit(0).alias("_n"))
+    other = right.select(F.col(by).cast(kind[by]).alias("_by"), us.alias("_us"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.struct(F.col(right_id).alias("id"), F.col(value).alias("value"), us.alias("us")).alias("_right"), F.col(right_id).cast("long").alias("_n"))
     every = rows.unionByName(other)
-    w = Window.partitionBy("_by")
+    at = cuts(every, "_by", F.col("_us"), block_rows)
+    every = every.withColumn("_block", block_of(F.col("_us"), at))
+    w = Window.partitionBy("_by", "_block") if at else Window.partitionBy("_by")
     is_left = F.col("_left").isNotNull()
     back = F.last("_right", ignorenulls=True).over(w.orderBy("_us", is_left, "_n").rowsBetween(Window.unboundedPreceding, 0))
     found = every.withColumn("_b", back)
     if direction == "nearest":
-        ahead = F.last("_right", ignorenulls=True).over(w.orderBy(F.desc("_us"), is_left, F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0))
-        found = found.withColumn("_f", ahead)
+        found = found.withColumn("_f", F.last("_right", ignorenulls=True).over(w.orderBy(F.desc("_us"), is_left, F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.where(is_left)
+    if at:
+        place = F.when(F.col("_right").isNotNull(), F.struct("_us", "_n"))
+        ends = every.groupBy("_by", "_block").agg(F.max_by("_right", place).alias("l"), F.min_by("_right", place).alias("f"))
+        over = Window.partitionBy("_by").orderBy("_block")
+        ends = ends.select(F.col("_by").alias("_by2"), F.col("_block").alias("_block2"), F.last("l", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_b2"), F.first("f", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_f2"))
+        found = found.join(ends, F.col("_by").eqNullSafe(F.col("_by2")) & (F.col("_block") == F.col("_block2")), "left").withColumn("_b", F.coalesce("_b", "_b2"))
+        if direction == "nearest":
+            found = found.withColumn("_f", F.coalesce("_f", "_f2"))
+    pick = F.col("_b")
+    if direction == "nearest":
         before, after = F.col("_us") - F.col("_b.us"), F.col("_f.us") - F.col("_us")
         pick = F.when(F.col("_f").isNull() | (before <= after), F.col("_b")).otherwise(F.col("_f"))
-    else:
-        pick = F.col("_b")
-    found = found.where(is_left).withColumn("_m", pick)
+    found = found.withColumn("_m", pick)
     if tolerance_us is not None:
         found = found.withColumn("_m", F.when(F.abs(F.col("_m.us") - F.col("_us")) <= tolerance_us, F.col("_m")))
     return found.select("_left.*", F.col("_m").alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import features, splits, temporal
+from ..operators import blocks, features, splits, temporal
 from ..sources import readers
 from ..streaming import events
 from .catalog import _P, _R, _TOL, _W, _ZONE, ON, pairs, query, r6, readings, rounded
@@ -163,3 +163,35 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT patient_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY patient_id, s""")
 def session_counts(spark: SparkSession, d: str) -> DataFrame:
     return events.sessions(readings(spark, d), "timestamp", "patient_id").select("patient_id", "n")
+
+
+_HOT = "r0 AS (SELECT CASE WHEN event_id % 2 = 0 THEN '1' ELSE CAST(user_id AS VARCHAR) END AS patient_id, ts, value AS glucose, event_id, event_type AS channel FROM events)"
+
+
+def _hot(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of which one patient has half."""
+    return readings(spark, d).withColumn("patient_id", F.when(F.col("event_id") % 2 == 0, "1").otherwise(F.col("patient_id")))
+
+
+@query(f"""WITH {_HOT}, l AS (SELECT *, epoch_us(ts) AS us FROM r0 WHERE channel = 'error'), b AS (SELECT *, epoch_us(ts) AS us FROM r0 WHERE channel = 'purchase'),
+back AS (SELECT l.event_id, b.event_id AS bid, b.glucose, l.us - b.us AS dist FROM l ASOF JOIN b ON l.patient_id = b.patient_id AND l.us >= b.us),
+ahead AS (SELECT l.event_id, b.event_id AS bid, b.glucose, b.us - l.us AS dist FROM l ASOF JOIN b ON l.patient_id = b.patient_id AND l.us <= b.us)
+SELECT l.event_id, CASE WHEN ahead.dist IS NULL OR back.dist <= ahead.dist THEN back.bid ELSE ahead.bid END AS nearest, back.glucose AS step FROM l LEFT JOIN back USING (event_id) LEFT JOIN ahead USING (event_id)""")
+def asof_hot_patient(spark: SparkSession, d: str) -> DataFrame:
+    """As-of joins, nearest and backward, in blocks of time, as one patient has half of all rows."""
+    r = _hot(spark, d)
+    left, right = r.where("channel = 'error'"), r.where("channel = 'purchase'")
+    near = temporal.asof(left, right, "patient_id", "timestamp", "glucose", "event_id", "event_id", block_rows=100).withColumn("nearest", F.col("matched.id")).drop("matched")
+    both = temporal.asof(near, right, "patient_id", "timestamp", "glucose", "event_id", "event_id", "backward", block_rows=100)
+    return both.select("event_id", "nearest", F.col("matched.value").alias("step"))
+
+
+@query(f"""WITH r AS (SELECT * FROM r0), {_GAPS.replace("event_id % 5 < 2", "event_id % 5 < 3")}, j AS (SELECT p.*, {", ".join(f"{c}x.{c} AS {c}1, {c}y.{c} AS {c}2" for c in "uvs")} FROM p {" ".join(f"LEFT JOIN h {c}{t} ON {c}{t}.patient_id = p.patient_id AND {c}{t}.rn = p.{c}{e}" for c in "uvs" for t, e in (("x", "a"), ("y", "b")))})
+SELECT event_id, CAST(rn AS BIGINT) AS rn, round({_filled("u")}, 6) AS u, round({_filled("v")}, 6) AS v, coalesce(s1, s2) AS s FROM j""".replace("WITH r AS", f"WITH {_HOT}, r AS"))
+def fill_hot_patient(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps filled in blocks of time, as one patient has half of all rows."""
+    i = F.col("event_id")
+    df = _hot(spark, d).withColumns({"u": F.when(i % 5 >= 3, F.col("glucose")), "v": F.when(i % 7 >= 3, F.col("glucose") * 2), "s": F.when(i % 3 == 0, F.col("channel"))})
+    made = features.fill_missing(df, "patient_id", ON, ["u", "v"], ["s"], block_rows=500)
+    numbered, rn, _ = blocks.neighbours(made, "patient_id", ON, {"u": F.col("u")}, 500)
+    return rounded(numbered.select("event_id", F.col(rn).cast("long").alias("rn"), "u", "v", "s"), "u", "v")
