@@ -164,15 +164,40 @@ def test_normal_tail_and_zero_differences(spark):
     assert metrics.signed_rank_p(up, "d").first().p < 1e-3
 
 
-def test_bootstrap_interval_holds_the_mean(spark):
+@pytest.mark.parametrize("leaf_rows", [64, 4096])
+def test_bootstrap_with_replacement(spark, leaf_rows, monkeypatch):
+    monkeypatch.setattr(splits, "LEAF_ROWS", leaf_rows)
+    df = spark.createDataFrame([(i, float(i % 10)) for i in range(2000)] + [(5000, None)], "i long, v double")
+    got = splits.bootstrap(df, "v", "i", 5000).collect()
+    assert len(got) == 5000 and {r.times for r in got} == {2000}
+    means = np.array([r["mean"] for r in got])
+    assert abs(means.mean() - 4.5) < 0.005 and abs(means.std() - np.sqrt(8.25 / 2000)) < 0.003
+    lo, hi = np.percentile(means, [2.5, 97.5])
+    assert abs(lo - (4.5 - 1.96 * np.sqrt(8.25 / 2000))) < 0.01 and abs(hi - (4.5 + 1.96 * np.sqrt(8.25 / 2000))) < 0.01
+    again = [r["mean"] for r in splits.bootstrap(df.repartition(7), "v", "i", 5000).collect()]
+    assert np.allclose(sorted(means), sorted(again))
+    other = [r["mean"] for r in splits.bootstrap(df, "v", "i", 5000, seed=1).collect()]
+    assert not np.allclose(sorted(means), sorted(other))
+    # one heavy row: the number of its copies is binomial
+    heavy = df.where("v is not null").withColumn("v", (F.col("i") == 7).cast("double"))
+    copies = np.array([r["mean"] for r in splits.bootstrap(heavy, "v", "i", 5000).collect()]) * 2000
+    assert abs((copies < 0.5).mean() - np.exp(-1)) < 0.03 and abs(copies.mean() - 1) < 0.06 and abs(copies.var() - 1) < 0.1
+
+
+def test_bootstrap_of_few_rows(spark):
+    few = spark.createDataFrame([(1, 3.0), (1, 3.0)], "i long, v double")
+    assert {(r["mean"], r.times) for r in splits.bootstrap(few, "v", "i", 10).collect()} == {(3.0, 2)}
+    assert all(r["mean"] is None for r in splits.bootstrap(few.limit(0), "v", "i", 10).collect())
+
+
+def test_poisson_bootstrap_holds_the_mean(spark):
     df = spark.createDataFrame([(i, float(i % 10)) for i in range(2000)], "i long, v double")
-    means = [r["mean"] for r in splits.bootstrap(df, "v", "i", 300).collect()]
+    means = [r["mean"] for r in splits.poisson_bootstrap(df, "v", "i", 300).collect()]
     assert len(means) == 300 and abs(np.mean(means) - 4.5) < 0.02 and abs(np.std(means) - np.sqrt(8.25 / 2000)) < 0.012
-    again = [r["mean"] for r in splits.bootstrap(df.repartition(7), "v", "i", 300).collect()]
+    again = [r["mean"] for r in splits.poisson_bootstrap(df.repartition(7), "v", "i", 300).collect()]
     assert np.allclose(sorted(means), sorted(again))
 
 
-
 def test_sources_and_streams(spark, tmp_path):
     from tidemark.sources import readers
     from tidemark.streaming import events
