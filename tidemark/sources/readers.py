@@ -76,12 +76,12 @@ def read_channel(spark: SparkSession, path: str, channel: str) -> DataFrame:
     return df.select("file", F.try_to_timestamp(F.col(f"e._{time}"), F.lit(XML_TIME)).alias("ts"), number.alias("value")).where("ts is not null")
 
 
-def read_patients(spark: SparkSession, path: str, pattern: str = "*-ws-*.xml", prefix: str = "patient_") -> DataFrame:
+def read_patients(spark: SparkSession, path: str, pattern: str = "*-ws-*.xml", prefix: str = "patient_", keep_file: bool = False) -> DataFrame:
     """``patient_id, channel, timestamp, value, event_id`` of all channels of all XML files below a folder, in one read.
 
     The id is the root's ``id`` (``unknown`` without one) behind the prefix. Bad times are dropped, bad or missing
     values are 0, marks without a value 1. ``temporal.assemble`` makes readings of them, with ``finger_stick`` as base
-    for the finger-stick time line.
+    for the finger-stick time line. ``keep_file`` adds the ``file`` each event came from.
     """
     attributes = lambda time, value: f"_{time} STRING" + (f", _{value} STRING" if value else "")
     schema = "_id STRING, " + ", ".join(f"{c} STRUCT<event: ARRAY<STRUCT<{attributes(*a).replace(' STRING', ': STRING')}>>>" for c, a in CHANNELS.items())
@@ -95,7 +95,8 @@ def read_patients(spark: SparkSession, path: str, pattern: str = "*-ws-*.xml", p
     lists = [listed(c, *a) for c, a in CHANNELS.items()]
     patient = F.concat(F.lit(prefix), F.coalesce("_id", F.lit("unknown")))
     rows = df.select(patient.alias("patient_id"), F.col("_metadata.file_path").alias("_file"), F.explode(F.concat(*lists)).alias("e"))
-    return rows.select("patient_id", "e.channel", "e.timestamp", "e.value", F.xxhash64("_file", "patient_id", "e.channel", "e.place").alias("event_id")).where("timestamp is not null")
+    file = [F.col("_file").alias("file")] if keep_file else []
+    return rows.select("patient_id", "e.channel", "e.timestamp", "e.value", F.xxhash64("_file", "patient_id", "e.channel", "e.place").alias("event_id"), *file).where("timestamp is not null")
 
 
 def patient_data(df: DataFrame, patient: str, by: str = "patient_id") -> DataFrame:
