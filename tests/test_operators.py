@@ -101,6 +101,22 @@ def test_splitter_covers_text():
     assert at == len(body)
 
 
+def test_chunk_sizes_equal_the_splitter(spark):
+    import random
+
+    rng = random.Random(5)
+    seps = ["\n## ", "\n### ", "\n\n", "\n", " ", " ", " ", "\n\n\n", ""]
+    bodies = ["".join("é日w"[rng.randint(0, 2)] * rng.randint(0, rng.choice([8, 8, 60, 2500])) + rng.choice(seps) for _ in range(rng.randint(0, 400))) for _ in range(30)]
+    rows = [(i, b) for i, b in enumerate([*bodies, "", " ", "x" * 4000, "\n\n", "word " * 3000])] + [(99, None)]
+    sizes = {500: 65, 900: 117, 1500: 195, 30: 30}
+    got = {}
+    for r in text.chunk_sizes(spark.createDataFrame(rows, "id int, `t` string"), "t", sizes).orderBy("pos").collect():
+        got.setdefault((r.id, r.size), []).append(r.chunk)
+    for i, b in rows:
+        for size, overlap in sizes.items():
+            assert got.get((i, size), []) == text.split_recursively(b or "", size, overlap), (i, size)
+
+
 def test_greedy_thin_and_sample(spark):
     df = spark.createDataFrame([("p", i) for i in (1, 3, 7, 8, 13, 14)], "p string, i long")
     assert sorted(r.i for r in features.greedy_thin(df, "p", "i", 6).collect()) == [1, 7, 13]

@@ -16,10 +16,14 @@ def forecast_errors(truth: Column, predicted: Column) -> dict[str, Column]:
     return {"rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d)), "mape": F.avg(F.abs(d / (truth + EPS))) * 100}
 
 
+def metric_columns(t: Column, p: Column) -> dict[str, Column]:
+    shares = {f"zone_{z.lower()}": F.avg((error_zone(t, p) == z).cast("double")) * 100 for z in "ABCDE"}
+    return forecast_errors(t, p) | shares | {"zone_ab": shares["zone_a"] + shares["zone_b"]}
+
+
 def all_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     t, p = F.col(truth), F.col(predicted)
-    shares = {f"zone_{z.lower()}": F.avg((error_zone(t, p) == z).cast("double")) * 100 for z in "ABCDE"}
-    aggs = forecast_errors(t, p) | shares | {"zone_ab": shares["zone_a"] + shares["zone_b"]}
+    aggs = metric_columns(t, p)
     return df.where(t.isNotNull() & p.isNotNull()).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in aggs.items()])
 
 

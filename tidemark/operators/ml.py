@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.scratch import saved, scratch_dir
 from . import features as fe
 from . import metrics, splits
 
@@ -59,7 +62,7 @@ def predict(model: RandomForestRegressionModel, win: DataFrame, plan: ForestPlan
 
 def train(df: DataFrame, plan: ForestPlan, held_out: int = 2) -> tuple[RandomForestRegressionModel, DataFrame]:
     """The forest of all but the last ``held_out`` patients, and the metrics (one row) on these. Needs a patient more than that."""
-    win = forecast_windows(df, plan).join(F.broadcast(splits.patients(df, plan.by)), plan.by)  # a row a patient
+    win = forecast_windows(df, plan).join(splits.patients(df, plan.by), plan.by)
     model = _fit(win.where(F.col("back") >= held_out), plan)
     return model, metrics.all_metrics(predict(model, win.where(F.col("back") < held_out), plan), "y", "yhat")
 
@@ -82,18 +85,34 @@ def train_from_config(df: DataFrame, config: dict, horizon: int | None = None) -
     return plan, *train(df, plan)
 
 
+def forecast_folds(df: DataFrame, plan: ForestPlan, folds: int = 6, width: int | None = 2, keep: tuple[str, ...] = (), at_once: int = 3) -> DataFrame:
+    """Every window's forecast by a forest that did not see its patient: ``fold``, the patient, ``keep``, ``y, anchor, yhat``.
+
+    Folds are ``width`` neighbouring patients each, or without a width every ``folds``-th patient. One saved table of windows
+    serves all folds; ``at_once`` folds are fitted side by side, and each writes its forecasts.
+    """
+    spark = df.sparkSession
+    place = splits.patients(df, plan.by)
+    fold = splits.strided_fold(F.col("place"), folds) if width is None else splits.paired_fold(F.col("place"), width)
+    win = saved(forecast_windows(df, plan).join(place, plan.by).withColumn("fold", fold.cast("int")).drop("place", "back"), "windows")
+    out = scratch_dir(spark, "folds")
+    sizes = {r.fold: r["count"] for r in win.groupBy("fold").count().collect() if r.fold < folds}
+
+    def run(k: int) -> None:
+        model = _fit(win.where(F.col("fold") != k), plan)
+        made = predict(model, win.where(F.col("fold") == k), plan)
+        made.select("fold", plan.by, *keep, "y", "anchor", "yhat").write.parquet(f"{out}/part={k}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), sorted(sizes)))
+    return spark.read.parquet(out).drop("part")
+
+
 def cross_validate(df: DataFrame, plan: ForestPlan, folds: int = 6, width: int = 2) -> DataFrame:
     """``fold`` and the metrics of each fold of ``width`` patients; one forest a fold, fitted on all other patients."""
-    win = forecast_windows(df, plan).join(F.broadcast(splits.patients(df, plan.by)), plan.by).withColumn("fold", splits.paired_fold(F.col("place"), width)).cache()
-    found = []
-    for fold in range(folds):
-        test = win.where(F.col("fold") == fold)
-        if not test.isEmpty():
-            found.append(metrics.all_metrics(predict(_fit(win.where(F.col("fold") != fold), plan), test, plan), "y", "yhat").withColumn("fold", F.lit(fold)))
-    out = found[0]
-    for each in found[1:]:
-        out = out.unionByName(each)
-    return out
+    t, p = F.col("y"), F.col("yhat")
+    made = forecast_folds(df, plan, folds, width).where(t.isNotNull() & p.isNotNull())
+    return made.groupBy("fold").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in metrics.metric_columns(t, p).items()])
 
 
 def weight_sweep(train_win: DataFrame, test_win: DataFrame, plan: ForestPlan, weights: tuple[float, ...] = LOW_WEIGHTS) -> DataFrame:

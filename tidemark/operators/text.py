@@ -79,6 +79,43 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     return [*out, "".join(held)] if held else out
 
 
+#: Where texts are cut, strongest first.
+SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", " ")
+
+
+def char_chunk_column(text: Column, size: Column, overlap: Column, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """The pieces of :func:`split_recursively` as an array, in column functions alone; ``size`` and ``overlap`` can be columns.
+
+    Atoms are cut separator by separator where they are longer than ``size``, and one fold packs them: it holds the atoms of
+    the piece under way and, when the next does not fit, hands on the piece and drops atoms from its front.
+    """
+    atoms = F.array(F.coalesce(text, F.lit("")))
+    cut = lambda sep: lambda a: F.when(F.length(a) > size, F.regexp_extract_all(a, F.lit(f"(?s).*?(?:{sep}|\\z)"), F.lit(0))).otherwise(F.array(a))
+    for sep in separators:
+        atoms = F.flatten(F.transform(atoms, cut(sep)))
+    hard = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / size).cast("int")), lambda i: F.substring(a, i * size + 1, size))
+    atoms = F.flatten(F.transform(F.filter(atoms, lambda a: a != ""), lambda a: F.when(F.length(a) > size, hard(a)).otherwise(F.array(a))))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("held"), F.lit(0).alias("n"))
+
+    def step(s: Column, a: Column) -> Column:
+        full = (F.size(s["held"]) > 0) & (s["n"] + F.length(a) > size)
+        drop = F.aggregate(s["held"], F.struct(s["n"].alias("n"), F.lit(0).alias("d")), lambda x, h: F.when((x["n"] > overlap) | (x["n"] + F.length(a) > size), F.struct((x["n"] - F.length(h)).alias("n"), (x["d"] + 1).alias("d"))).otherwise(x))
+        fresh = F.transform(F.array(drop), lambda x: F.struct(F.concat(s["out"], F.array(F.array_join(s["held"], ""))).alias("out"), F.concat(F.slice(s["held"], x["d"] + 1, F.size(s["held"])), F.array(a)).alias("held"), (x["n"] + F.length(a)).alias("n")))[0]
+        more = F.struct(s["out"].alias("out"), F.concat(s["held"], F.array(a)).alias("held"), (s["n"] + F.length(a)).alias("n"))
+        return F.when(full, fresh).otherwise(more)
+
+    last = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["out"], F.array(F.array_join(s["held"], "")))).otherwise(s["out"])
+    return F.aggregate(atoms, start, step, last)
+
+
+def chunk_sizes(df: DataFrame, text: str, sizes: dict[int, int]) -> DataFrame:
+    """Each row's pieces for several sizes (with their overlaps) in one pass: ``size, pos, chunk``."""
+    rows = df.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in sizes.items()])))
+    made = char_chunk_column(F.col(text), F.col("_s.size"), F.col("_s.overlap"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_s.size").alias("size"), F.posexplode(made).alias("pos", "chunk"))
+
+
 def char_chunks(df: DataFrame, text: str, size: int = 900, overlap: int = 120) -> DataFrame:
     """Chunks by recursive splitting of whole texts."""
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embedding, text
-from ..sources.scratch import scratch_dir
+from ..operators import embedding, text, vector
+from ..sources.scratch import saved, scratch_dir
 from ..sources.vectors import VectorTable
 from .catalog import query, r6, table
 
@@ -45,3 +45,24 @@ def embedded_topk(spark: SparkSession, d: str) -> DataFrame:
     store.upsert(rows)
     found = store.search(table(spark, d, "benchmark"), "item_id", "text")
     return found.withColumn("similarity", r6("similarity"))
+
+
+@query()
+def chunk_size_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """How well benchmark passages are found in chunks of 500, 900 and 1500 characters: a hit is a chunk that holds the passage's first 40 characters."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    sizes = {s: int(s * 0.13) for s in (500, 900, 1500)}
+    chunks = text.chunk_sizes(docs, "text", sizes).select("size", (F.col("doc_id") * 100_000 + F.col("pos")).alias("chunk_id"), "chunk")
+    chunks = saved(embedding.embed(chunks, "chunk"), "chunks")
+    asked = embedding.embed(items, "item").select((F.col("item_id") * 2 + 1).alias("q"), "embedding", "item")
+    made = None
+    for size in sizes:
+        of = chunks.where(F.col("size") == size)
+        near = vector.cosine_topk(of.select((F.col("chunk_id") * 2).alias("c"), "embedding"), asked, "c", "q", "embedding", 5)
+        found = near.join(of.select((F.col("chunk_id") * 2).alias("c"), "chunk"), "c").join(asked.select("q", "item"), "q")
+        place = F.min(F.when(F.contains("chunk", F.substring("item", 1, 40)), F.col("rank")))
+        per = found.groupBy("q").agg(place.alias("place"))
+        row = per.agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col("place") == 1).cast("int"), F.lit(0))).alias("hit1"), F.avg(F.col("place").isNotNull().cast("int")).alias("hit5"), F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))).alias("mrr"))
+        row = row.crossJoin(F.broadcast(of.agg(F.count("*").alias("n_chunks")))).select(F.lit(size).alias("size"), "n_chunks", "n", r6("hit1").alias("hit1"), r6("hit5").alias("hit5"), r6("mrr").alias("mrr"))
+        made = row if made is None else made.unionByName(row)
+    return made

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, splits
+from ..operators import metrics, ml, splits
 from .catalog import _P, _R, _SQL, _W, pairs, query, r6, readings, w
 
 #: Twice the normal tail beyond |z|, by the series of the error function.
@@ -66,3 +66,18 @@ SELECT n, round(mean, 6) AS mean, round({_TAIL.format(z="(t * (1 - 1 / (4 * df))
 def paired_t_p(spark: SparkSession, d: str) -> DataFrame:
     made = metrics.paired_t(pairs(spark, d).select((F.col("y") - F.col("p")).alias("d")), "d")
     return made.select("n", r6("mean").alias("mean"), F.round("p", 4).alias("p"))
+
+
+@query()
+def forest_paired_tests(spark: SparkSession, d: str) -> DataFrame:
+    """A forest (10 trees of depth 5) against the value now: six folds of unseen patients, tested by fold and event by event."""
+    df = readings(spark, d).select("patient_id", "timestamp", "event_id", "glucose")
+    plan = ml.ForestPlan(["glucose"], horizon=6, predict_delta=True, trees=10, depth=5, on=("timestamp", "event_id"))
+    made = ml.forecast_folds(df, plan, FOLDS, None, ("event_id",))
+    rmse = lambda c: F.round(metrics.forecast_errors(F.col("y"), F.col(c))["rmse"], 2)
+    per = made.groupBy("fold").agg(rmse("yhat").alias("forest"), rmse("anchor").alias("now")).withColumn("d", F.round(F.col("forest") - F.col("now"), 2))
+    each = made.select(F.round(F.abs(F.col("y") - F.col("yhat")) - F.abs(F.col("y") - F.col("anchor")), 6).alias("d"))
+    by_fold, t, by_event = metrics.signed_rank_p(per, "d"), metrics.paired_t(per, "d"), metrics.signed_rank_p(each, "d")
+    means = per.agg(F.count("*").alias("folds"), r6(F.avg("forest")).alias("forest_rmse"), r6(F.avg("now")).alias("now_rmse"))
+    out = means.crossJoin(F.broadcast(by_fold.select(F.round("p", 5).alias("fold_p")))).crossJoin(F.broadcast(t.select(F.round("p", 5).alias("fold_t_p"))))
+    return out.crossJoin(F.broadcast(by_event.select("n", F.round("p", 5).alias("event_p"))))
