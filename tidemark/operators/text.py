@@ -188,13 +188,34 @@ def numbered_chunks(chunks: DataFrame, doc_id: str) -> DataFrame:
 
 
 def with_citations(docs: DataFrame, by: str, rank: str) -> DataFrame:
-    """``context``: a query's documents numbered by rank, each with its source, year and page (``N/A`` where unknown)."""
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
-    line = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), F.coalesce("text", F.lit("")), F.lit(" ["), known("source"), F.lit(", "), known("year"), F.lit(", "), known("page"), F.lit("]"))
+    """``context``: a query's documents numbered by rank, each with its source, year and page in brackets.
+
+    Texts lose the white space at their ends; an unknown source is ``Manual KB``, an unknown year or page ``N/A``. One row a query of
+    ``docs``; for queries without documents see :func:`context_of`.
+    """
+    known = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    source = F.coalesce(F.nullif(F.col("source").cast("string"), F.lit("")), F.lit("Manual KB"))
+    line = F.concat(F.col(rank).cast("string"), F.lit(". "), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""), F.lit(" ["), source, F.lit(", "), known("year", "N/A"), F.lit(", Hal. "), known("page", "N/A"), F.lit("]"))
     lines = docs.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("line")))).alias("s"))
     return lines.select(by, F.array_join(F.transform("s", lambda x: x["line"]), "\n\n").alias("context"))
 
 
+#: Fixed value: what stands for the context of a query without documents.
+NO_CONTEXT = "(Tidak ada konteks dokumen yang ditemukan)"
+
+
+def context_of(queries: DataFrame, docs: DataFrame, by: str, rank: str) -> DataFrame:
+    """``queries`` with ``context`` (:func:`with_citations`) and ``sources``: source, title, year and page of each document by rank."""
+    known = lambda c, none: F.coalesce(F.col(c).cast("string"), none)
+    source = F.coalesce(F.nullif(F.col("source").cast("string"), F.lit("")), F.lit("Manual KB"))
+    title = known("title", source) if "title" in docs.columns else source
+    row = F.struct(F.col(rank).alias("rank"), source.alias("source"), title.alias("title"), known("year", F.lit("N/A")).alias("year"), known("page", F.lit("N/A")).alias("page"))
+    rows = docs.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(x["source"].alias("source"), x["title"].alias("title"), x["year"].alias("year"), x["page"].alias("page"))).alias("sources"))
+    out = queries.join(with_citations(docs, by, rank), by, "left").join(rows, by, "left")
+    none = F.array().cast(out.schema["sources"].dataType)
+    return out.withColumns({"context": F.coalesce("context", F.lit(NO_CONTEXT)), "sources": F.coalesce("sources", none)})
+
+
 #: Classes of chunks and the weights of their key words, in the order that decides ties.
 CLASS_WORDS = {
     "hipoglikemia": [("hipoglikemi", 3), ("hypoglycemi", 3), ("gula darah rendah", 2), ("glukosa darah rendah", 2), ("15-15", 2), ("glukagon", 2), ("dekstrosa", 1), ("< 70 mg", 1), ("<70 mg", 1), ("< 54", 1)],
@@ -223,9 +244,33 @@ TREND_NAMES = {"rising": "meningkat", "falling": "menurun", "stable": "stabil"}
 RISK_TERMS = {"hypoglycemia": "hipoglikemia (glukosa di bawah 70 mg/dL)", "hyperglycemia": "hiperglikemia (glukosa di atas 180 mg/dL)"}
 
 
+def exact_round(x: Column, places: int) -> Column:
+    """The absolute value's multiple of ``10 ** -places`` nearest to its exact binary value, halves to even, as a double.
+
+    The product with the power of ten is taken with its rounding error (the factors are split in halves), so that a
+    number like 0.15, whose double lies below the tie, goes down.
+    """
+    m, x = float(10**places), F.abs(x.cast("double"))
+
+    def of(v: Column) -> Column:
+        part = 134217729.0 * v
+        hi = part - (part - v)
+        p = v * m
+        return F.struct(p.alias("p"), ((hi * m - p) + (v - hi) * m).alias("e"), F.floor(p).cast("double").alias("f"))
+
+    def rounded(s: Column) -> Column:
+        over = (s["p"] - s["f"]) - 0.5
+        up = (over > 0) | ((over == 0) & ((s["e"] > 0) | ((s["e"] == 0) & (s["f"] % 2 == 1))))
+        return (s["f"] + up.cast("int")) / m
+
+    big = x >= 2.0**52 / m  # whole multiples already
+    return F.when(big | F.isnan(x), x).otherwise(F.transform(F.transform(F.array(x), of), rounded)[0])
+
+
 def fixed(x: Column, places: int) -> Column:
-    """A number with so many decimals, halves to even."""
-    return F.format_string(f"%.{places}f", F.bround(x.cast("double"), places) + F.lit(0.0))
+    """A number with so many decimals, from its exact binary value, halves to even; a negative one keeps its sign, as ``-0.0``; null stays null."""
+    x = x.cast("double")
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{places}f", exact_round(x, places))))
 
 
 def factors(pace: Column, trend: Column, insulin: Column, carbs: Column, stress: Column, activity: Column) -> Column:

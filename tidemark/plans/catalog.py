@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import embedding_catalog, features_catalog, retrieval_catalog, sql_catalog, statistics_catalog, streams_catalog  # noqa: F401
+    from . import answers_catalog, embedding_catalog, features_catalog, retrieval_catalog, sql_catalog, statistics_catalog, streams_catalog  # noqa: F401
 
     return dict(_QUERIES)
 

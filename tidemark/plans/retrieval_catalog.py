@@ -92,7 +92,7 @@ def enhanced_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT doc_id, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS v FROM documents), e AS (SELECT doc_id, source, v, unnest(range(1, len(v) + 1, 780)) AS st FROM s), c AS (SELECT doc_id, source, CAST(st // 780 AS INT) AS pos, array_to_string(v[st:st + 899], ' ') AS chunk FROM e)
-SELECT doc_id, md5(string_agg('[' || (pos + 1) || '] ' || chunk || ' [' || coalesce(source, 'N/A') || ', ' || CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE 'N/A' END || ', ' || doc_id || '_ch_' || lpad(CAST(pos AS VARCHAR), 3, '0') || ']', chr(10) || chr(10) ORDER BY pos)) AS context FROM c GROUP BY doc_id""")
+SELECT doc_id, md5(string_agg((pos + 1) || '. ' || chunk || ' [' || coalesce(source, 'Manual KB') || ', ' || CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE 'N/A' END || ', Hal. ' || doc_id || '_ch_' || lpad(CAST(pos AS VARCHAR), 3, '0') || ']', chr(10) || chr(10) ORDER BY pos)) AS context FROM c GROUP BY doc_id""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("year", F.when(F.col("doc_id") % 2 == 0, 2024))
     chunks = text.numbered_chunks(text.word_chunks(docs, "text"), "doc_id")
