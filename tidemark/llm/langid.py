@@ -186,4 +186,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
 
     own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     name = next(c for c in ("_found", "_found_", "__found") if c not in own)
-    return docs.withColumn(name, predict(F.col(text_col))).select(*own, f"{name}.lang_pred", f"{name}.lang_score")
+    return docs.withColumn(name, predict(F.col(f"`{text_col}`"))).select(*[F.col(f"`{c}`") for c in own], f"{name}.lang_pred", f"{name}.lang_score")

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin_task, learned_from, small_batches
+from .common import begin_task, discard, learned_from, saved, small_batches
 
 #: The classifier is fitted on about this many labelled documents of each class, those with the smallest id hashes.
 SAMPLE_PER_CLASS = 8000
-#: Tokens with a score of their own at most.
-LEXICON = 20_000
-DRIFT, PRIOR, CONFIDENCE, MIN_DOCS = 0.2, 50.0, 1.0, 3
+DRIFT, PRIOR, CONFIDENCE = 0.2, 50.0, 1.0
+#: Odds towards a class need so many texts of that class with the token; else they are zero, as too little is known.
+MIN_DOCS = 3
 #: The least prior count of a token, that of a token never seen having an error of 1.4.
 LEAST_PRIOR = 0.5
 #: Lengths of the beginnings that count as tokens, marked by a final hyphen.
@@ -192,31 +192,29 @@ def shrunk_odds(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, share: np.ndar
 
 
 def _corpus_counts(lexicon: set[str]):
+    """Texts that hold each token, and under the empty token all texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("toxicity")
-        counts = dict.fromkeys(lexicon, 0)
-        total = texts = 0
+        counts: Counter = Counter()
         known = Memo(lambda w: tuple(f for f in features_of(w) if f in lexicon))
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = tokens_of(text)
-                total += len(words)
-                texts += 1
-                for found in filter(None, map(known.__getitem__, words)):
-                    for f in found:
-                        counts[f] += 1
-        used = {w: c for w, c in counts.items() if c} | {"": total, "-": texts}
-        yield pa.RecordBatch.from_arrays([pa.array(list(used), pa.string()), pa.array(list(used.values()), pa.int64())], names=["word", "n"])
+                counts.update({f for w in set(tokens_of(text)) for f in known[w]})
+            counts[""] += len(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return run
 
 
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS, lexicon: int = LEXICON) -> ToxicityModel:
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Learn from labels of rows whose crc32(id) modulo 4 is not 2.
 
-    The lexicon's odds and the calibration come from a sample of about ``sample_per_class`` labelled documents a
-    class, copies of a text counted once; the prior and the chance of each word from all documents. Without labels
-    of both classes, or without a labelled document, every text scores the same.
+    The tokens' odds, the chance of each score and the calibration come from a sample of about ``sample_per_class``
+    labelled documents a class, copies of a text counted once; the prior from the share of all documents that hold a
+    token. Every token of the sample whose odds are not zero is kept. Null ids and null labels are left out, and of
+    several labels of one id the higher holds; long texts are read whole. Without labels of both classes, or without a
+    labelled document, every text scores the same.
     """
     small_batches(docs.sparkSession)
     known = labels.where(learned_from(id_col)).select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -226,10 +224,11 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     share = F.when(F.col("toxic") == 1, min(1.0, sample_per_class / n[1])).otherwise(min(1.0, sample_per_class / n[0]))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < share)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # about 2 * sample_per_class short rows are broadcast
+    # about 2 * sample_per_class short rows are broadcast; the sample is read several times, so it is saved
+    sample = saved(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(_words_of, "word string, toxic long, half long")
     t, docs_n = F.sum("toxic"), F.count("*")
-    words = words.groupBy("word").agg(t.alias("t"), docs_n.alias("docs"), F.sum(F.col("toxic") * F.col("half")).alias("t1"), F.sum("half").alias("docs1")).where(F.col("t") >= MIN_DOCS)
+    words = words.groupBy("word").agg(t.alias("t"), docs_n.alias("docs"), F.sum(F.col("toxic") * F.col("half")).alias("t1"), F.sum("half").alias("docs1")).where((F.col("t") >= MIN_DOCS) | (F.col("docs") - F.col("t") >= MIN_DOCS))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,17 +238,15 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     size = {(r.half, r.toxic): r["count"] for r in sample.select("text", "toxic").mapInArrow(sizes, "half int, toxic int").groupBy("half", "toxic").count().collect()}
     of = lambda toxic, *halves: sum(size.get((h, toxic), 0) for h in halves)
     n1, n0 = max(of(1, 0, 1), 1), max(of(0, 0, 1), 1)
-    odds = F.log((F.col("t") + 0.5) / (n1 - F.col("t") + 0.5)) - F.log((F.col("docs") - F.col("t") + 0.5) / (n0 - F.col("docs") + F.col("t") + 0.5))
-    picked = words.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt("t")), "word").limit(lexicon).toPandas()
+    picked = words.toPandas()  # bounded by the sample
     corpus = dict(texts.select("text").mapInArrow(_corpus_counts(set(picked.word)), "word string, n long").groupBy("word").agg(F.sum("n")).collect())
-    corpus.pop("", 0)
-    texts_n = max(corpus.pop("-", 0), 1)
+    texts_n = max(corpus.pop("", 0), 1)
     share_of_texts = np.array([corpus.get(w, 0) / texts_n for w in picked.word])
 
     def learned(y1: np.ndarray, docs_in: np.ndarray, toxic_n: int, other_n: int) -> ToxicityModel:
-        seen = y1 >= MIN_DOCS
         score = shrunk_odds(y1.astype(float), (docs_in - y1).astype(float), max(toxic_n, 1), max(other_n, 1), share_of_texts)
-        return ToxicityModel({w: float(s) for w, s, ok in zip(picked.word, score, seen, strict=True) if ok}, 0.0, drift=0.0)
+        score[np.where(score > 0, y1, docs_in - y1) < MIN_DOCS] = 0
+        return ToxicityModel({w: float(s) for w, s in zip(picked.word, score, strict=True) if s}, 0.0, drift=0.0)
 
     y1, docs_in, y1_1, docs_1 = (picked[c].to_numpy() for c in ("t", "docs", "t1", "docs1"))
     model = learned(y1, docs_in, n1, n0)
@@ -284,6 +281,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     fitted = sample.select("text", "toxic").mapInArrow(measure, "x double, toxic int").toPandas()
     model.slope, model.offset = _fit_line(fitted.x.to_numpy(), fitted.toxic.to_numpy())
+    discard(sample)
     return model
 
 
@@ -306,4 +304,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     own = [c for c in docs.columns if c not in ("toxicity", "toxic_passages")]
     name = next(c for c in ("_found", "_found_", "__found") if c not in own)
-    return docs.withColumn(name, score(F.col(text_col))).select(*own, f"{name}.toxicity", f"{name}.toxic_passages")
+    return docs.withColumn(name, score(F.col(f"`{text_col}`"))).select(*[F.col(f"`{c}`") for c in own], f"{name}.toxicity", f"{name}.toxic_passages")
