@@ -60,3 +60,22 @@ def test_filters_and_modes(spark):
         assert tags == {"jenis_dm": "dm_tipe2"} | ({"topik": topic} if topic else {})
     with pytest.raises(ValueError, match="no such mode"):
         patient.comparison_query("other", F.lit(1.0))
+
+
+def test_scenarios_and_updates(spark):
+    from tidemark.operators import twin
+
+    state = spark.createDataFrame([("p", 100.0, 0.0, 0.0, 5.0, 0.0), ("q", 100.0, 1.0, 0.0, 2.0, 10.0)], "patient_id string, glucose double, insulin double, carbs double, stress double, activity double")
+    meals = twin.compare_meals(state, [0.0, 30.0]).where("patient_id = 'p'").orderBy("carbs_grams").collect()
+    assert [(r.carbs_grams, r.predicted_glucose, r.risk_level, r.risk_color) for r in meals] == [(0.0, 120.0, "AMAN", "green"), (30.0, 300.0, "HATI-HATI - Hiperglikemia", "orange")]
+    assert twin.less_stress(state, 9).where("patient_id = 'q'").first().simulated.stress == 1
+    walk = twin.exercise(state, 30).where("patient_id = 'p'").first()
+    assert walk.predicted_glucose == 47.5 and walk.risk_color == "red" and walk.entry.event_type == "simulation" and '"minutes":90.0' in walk.entry.payload
+    for wrong in (lambda: twin.compare_meals(state, [-1.0]), lambda: twin.less_stress(state, -1), lambda: twin.exercise(state, -1)):
+        with pytest.raises(ValueError):
+            wrong()
+    updates = spark.createDataFrame([("p", 900.0, -3.0), ("x", 1.0, 1.0)], "patient_id string, glucose double, insulin double")
+    got = {r.patient_id: r for r in twin.update_states(state, updates).collect()}
+    assert sorted(got) == ["p", "q"] and (got["p"].glucose, got["p"].insulin, got["q"].insulin) == (400.0, 0.0, 1.0)
+    dose = twin.recommend_dose(state, F.lit(45.0)).where("patient_id = 'p'").first()
+    assert dose.recommended_dose == round(dose.recommended_dose, 1) and dose.difference == abs(dose.predicted_glucose - 120)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import patient, text
-from .catalog import _P, pairs, query, table
+from ..operators import patient, text, twin
+from .catalog import _P, _PROJECT, _STATES, _states, pairs, query, r6, table
 
 
 @query("SELECT event_id, printf('%.1f', value / 3) AS one, printf('%.2f', -value / 8) AS two, printf('%.0f', value / 2) AS none, printf('%.1f', (event_id % 200) / 20.0) AS ties, printf('%.2f', (event_id % 999) / 200.0) AS halves FROM events")
@@ -105,3 +105,23 @@ def patient_window():  # noqa: ANN201
     from pyspark.sql import Window
 
     return Window.partitionBy("conv_id").orderBy("turn")
+
+
+_CASES = [("meal 15", 15.0, 0.0, 0.0, 120), ("meal 75", 75.0, 0.0, 0.0, 120), ("calm", 0.0, -3.0, 0.0, 60), ("walk", 0.0, 0.0, 45.0, 90)]
+_NAMED = "CASE WHEN p < 70 THEN 'BAHAYA - Hipoglikemia' WHEN p > 180 THEN 'HATI-HATI - Hiperglikemia' ELSE 'AMAN' END AS risk_level, CASE WHEN p < 70 THEN 'red' WHEN p > 180 THEN 'orange' ELSE 'green' END AS risk_color"
+
+
+@query("WITH " + _STATES + ", c AS (" + " UNION ALL ".join(f"SELECT patient_id, '{n}' AS case_name, glucose, least(10.0, greatest(1.0, stress + {s})) AS stress_after, {_PROJECT.format(i='0.0', c=c, s=f'least(10.0, greatest(1.0, stress + {s}))', a=a, m=m)} AS p FROM b" for n, c, s, a, m in _CASES) + f") SELECT patient_id, case_name, round(p, 6) AS predicted, round(p - glucose, 6) + 0.0 AS change, {_NAMED}, CAST(stress_after AS INT) AS stress_after, 'simulation' AS event_type FROM c")
+def scenario_results(spark: SparkSession, d: str) -> DataFrame:
+    """Meals, less stress and exercise for every patient, as results are reported."""
+    s = _states(spark, d)
+    meals = twin.compare_meals(s, [15.0, 75.0]).withColumn("case_name", F.concat(F.lit("meal "), F.col("carbs_grams").cast("int").cast("string"))).drop("carbs_grams")
+    every = meals.unionByName(twin.less_stress(s).withColumn("case_name", F.lit("calm"))).unionByName(twin.exercise(s, 45).withColumn("case_name", F.lit("walk")))
+    return every.select("patient_id", "case_name", r6("predicted_glucose").alias("predicted"), r6("glucose_change").alias("change"), "risk_level", "risk_color", F.col("simulated.stress").cast("int").alias("stress_after"), "entry.event_type")
+
+
+@query("WITH " + _STATES + f""", t AS (SELECT patient_id, i, 4.5 * (0.5 + i / 19.0) AS dose, {_PROJECT.format(i="4.5 * (0.5 + i / 19.0)", c="45.0", s="stress", a="0.0", m="120.0")} AS p FROM b, range(20) g(i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY abs(p - 130), i) AS rn FROM t) SELECT patient_id, printf('%.1f', dose) AS recommended_dose, round(p, 6) AS predicted_glucose, 45.0::DOUBLE AS meal_carbs, 130.0::DOUBLE AS target_glucose, round(abs(p - 130), 6) AS difference FROM k WHERE rn = 1""")
+def dose_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    out = twin.recommend_dose(_states(spark, d), F.lit(45.0), 130.0)
+    return out.select("patient_id", text.fixed(F.col("recommended_dose"), 1).alias("recommended_dose"), r6("predicted_glucose").alias("predicted_glucose"), "meal_carbs", "target_glucose", r6("difference").alias("difference"))
