@@ -94,3 +94,21 @@ def test_quantiles(spark, n, monkeypatch):
 
     expected = (plain(x, 0.25), plain(sorted(-v for v in x), 0.5), plain(x, 1.0)) if n else (None,) * 3
     assert tuple(got) == (pytest.approx(expected) if n else expected)
+
+
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_group_quantiles(spark, most, monkeypatch):
+    monkeypatch.setattr(metrics, "RANGE_ROWS", most)
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.25, None])) for _ in range(300)] + [("one", 2.0), ("none", None)]
+    got = {r.g: (r.q1, r.q2) for r in metrics.group_quantiles(spark.createDataFrame(rows, "g string, x double"), "g", "x", {"q1": 0.25, "q2": 0.5}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g in got:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+
+        def plain(p, v=v):
+            at = p * (len(v) - 1)
+            i = int(at)
+            return v[i] + (v[min(i + 1, len(v) - 1)] - v[i]) * (at - i)
+
+        assert got[g] == pytest.approx((plain(0.25), plain(0.5)))

@@ -101,6 +101,33 @@ def quantiles(df: DataFrame, of: dict[str, tuple[str, float]]) -> DataFrame:
     return made.select(*of)
 
 
+def group_quantiles(df: DataFrame, by: str, value: str, of: dict[str, float]) -> DataFrame:
+    """A row for each group with exact interpolated quantiles, by name; groups without a value have none.
+
+    Values are counted once (saved); a group with many distinct values is searched in ranges at its approximate
+    quantiles, so that no buffer and no task holds a whole group.
+    """
+    counts = saved(df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "counts")
+    most = counts.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    ranges = -(-most // RANGE_ROWS)
+    if ranges > 1:
+        cuts = counts.groupBy(F.col("g").alias("g2")).agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
+        counts = counts.join(cuts, F.col("g").eqNullSafe(F.col("g2"))).withColumn("r", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("g2", "cuts")
+    else:
+        counts = counts.withColumn("r", F.lit(0))
+    over = Window.partitionBy("g").orderBy("r")
+    totals = counts.groupBy("g", "r").agg(F.sum("c").alias("t"))
+    totals = totals.select(F.col("g").alias("g3"), F.col("r").alias("r3"), (F.sum("t").over(over) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy("g")).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = counts.withColumn("upto", within).join(totals, F.col("g").eqNullSafe(F.col("g3")) & (F.col("r") == F.col("r3"))).withColumn("upto", F.col("upto") + F.col("before"))
+    made = []
+    for name, share in of.items():
+        at = F.round(F.lit(share) * (F.col("n") - 1), 9)
+        low, high = (F.min(F.when(F.col("upto") >= 1 + edge(at), F.col("v"))) for edge in (F.floor, F.ceil))
+        made.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return run.groupBy(F.col("g").alias(by)).agg(*made)
+
+
 def rank_metrics(topics: Column, expected: Column, k: int) -> dict[str, Column]:
     """Metrics of an ordered array of labels against the expected one."""
     place = F.array_position(topics, expected)

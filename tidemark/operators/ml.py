@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..sources.scratch import saved, scratch_dir
+from ..sources.scratch import delete, saved, scratch_dir
 from . import features as fe
 from . import metrics, splits
 
@@ -105,6 +105,7 @@ def forecast_folds(df: DataFrame, plan: ForestPlan, folds: int = 6, width: int |
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(inheritable_thread_target(spark)(run), sorted(sizes)))
+    delete(spark, win.saved_path)
     return spark.read.parquet(out).drop("part")
 
 

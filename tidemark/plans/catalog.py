@@ -112,8 +112,9 @@ _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query(" UNION ALL ".join(f"SELECT '{c}' AS col, CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, min({c}) AS lo, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS q2, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS hi FROM lineitem" for c in _NUM))
 def describe_numeric(spark: SparkSession, d: str) -> DataFrame:
     long_ = table(spark, d, "lineitem").select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("x")) for c in _NUM])).alias("s")).select("s.*")
-    q = lambda p: r6(F.percentile("x", F.lit(p)))
-    return long_.groupBy("col").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("sd"), F.min("x").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("x").alias("hi"))
+    base = long_.groupBy("col").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    q = rounded(metrics.group_quantiles(long_, "col", "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "q1", "q2", "q3")
+    return base.join(q, "col").select("col", "n", "mean", "sd", "lo", "q1", "q2", "q3", "hi")
 
 
 @query("SELECT " + ", ".join(f"round(corr({a}, {b}), 6) AS {a}_{b}" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]) + " FROM lineitem")

@@ -21,10 +21,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that what follows does not compute it again."""
+    """``df`` written to the shared folder and read back, so that what follows does not compute it again.
+
+    Its ``saved_path`` can be deleted once its last reader is done.
+    """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.saved_path = path
+    return made
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -92,6 +92,7 @@ class VectorTable:
             made.repartition("_b").write.partitionBy("_b").parquet(target)
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.drop("_b").schema)
             self.commits.add(version + 1, {"schema": schema, "buckets": manifest["buckets"] | {str(b): version + 1 for b in touched}})
+        delete(spark, marked.saved_path)
         return counts
 
     def reset(self) -> None:
