@@ -10,6 +10,7 @@ calibration on labels. Chance and calibration come from texts that the odds in u
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -166,13 +167,22 @@ def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def tokens_in(words: list[str], of) -> set:  # noqa: ANN001
+    """The different tokens of a text's words, from a function of a word."""
+    return set().union(*map(of, set(words)))
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each class and half that hold a token, counted within the task."""
     begin_task("toxicity")
+    counts: dict[tuple[int, int], Counter] = {}
+    known = Memo(features_of)
     for batch in batches:
-        texts, toxic = (c.to_pylist() for c in batch.columns)
-        rows = [(w, t, half_of(text)) for text, t in zip(texts, toxic, strict=True) for w in {f for w in set(tokens_of(text)) for f in features_of(w)}]
-        words, t, half = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(t, pa.int64()), pa.array(half, pa.int64())], names=["word", "toxic", "half"])
+        for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts.setdefault((toxic, half_of(text)), Counter()).update(tokens_in(tokens_of(text), known.__getitem__))
+    for (toxic, half), found in counts.items():
+        n = len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * n, pa.int64()), pa.array([half] * n, pa.int64()), pa.array(list(found.values()), pa.int64())], names=["word", "toxic", "half", "n"])
 
 
 def half_of(text: str) -> int:
@@ -200,7 +210,7 @@ def _corpus_counts(lexicon: set[str]):
         known = Memo(lambda w: tuple(f for f in features_of(w) if f in lexicon))
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update({f for w in set(tokens_of(text)) for f in known[w]})
+                counts.update(tokens_in(tokens_of(text), known.__getitem__))
             counts[""] += len(batch)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
@@ -226,9 +236,9 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     # about 2 * sample_per_class short rows are broadcast; the sample is read several times, so it is saved
     sample = saved(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
-    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(_words_of, "word string, toxic long, half long")
-    t, docs_n = F.sum("toxic"), F.count("*")
-    words = words.groupBy("word").agg(t.alias("t"), docs_n.alias("docs"), F.sum(F.col("toxic") * F.col("half")).alias("t1"), F.sum("half").alias("docs1")).where((F.col("t") >= MIN_DOCS) | (F.col("docs") - F.col("t") >= MIN_DOCS))
+    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(_words_of, "word string, toxic long, half long, n long")
+    n_of = lambda *c: F.sum(math.prod((F.col(x) for x in c), start=F.col("n")))
+    words = words.groupBy("word").agg(n_of("toxic").alias("t"), n_of().alias("docs"), n_of("toxic", "half").alias("t1"), n_of("half").alias("docs1")).where((F.col("t") >= MIN_DOCS) | (F.col("docs") - F.col("t") >= MIN_DOCS))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
