@@ -110,7 +110,7 @@ def test_chunk_sizes_equal_the_splitter(spark):
     rows = [(i, b) for i, b in enumerate([*bodies, "", " ", "x" * 4000, "\n\n", "word " * 3000])] + [(99, None)]
     sizes = {500: 65, 900: 117, 1500: 195, 30: 30}
     got = {}
-    for r in text.chunk_sizes(spark.createDataFrame(rows, "id int, `t` string"), "t", sizes).orderBy("pos").collect():
+    for r in text.chunk_sizes(spark.createDataFrame(rows, "id int, `t` string"), "t", sizes).select("id", "size", "pos", "chunk").orderBy("pos").collect():
         got.setdefault((r.id, r.size), []).append(r.chunk)
     for i, b in rows:
         for size, overlap in sizes.items():
