@@ -79,3 +79,8 @@ def test_scenarios_and_updates(spark):
     assert sorted(got) == ["p", "q"] and (got["p"].glucose, got["p"].insulin, got["q"].insulin) == (400.0, 0.0, 1.0)
     dose = twin.recommend_dose(state, F.lit(45.0)).where("patient_id = 'p'").first()
     assert dose.recommended_dose == round(dose.recommended_dose, 1) and dose.difference == abs(dose.predicted_glucose - 120)
+
+def test_negative_zero_keeps_its_sign(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (-0.004,)], "x double")
+    got = [(r.two, r.none) for r in df.select(text.fixed(F.col("x"), 2).alias("two"), text.fixed(F.col("x"), 0).alias("none")).collect()]
+    assert got == [(f"{x:.2f}", f"{x:.0f}") for x in (0.0, -0.0, -0.004)] == [("0.00", "0"), ("-0.00", "-0"), ("-0.00", "-0")]

@@ -271,9 +271,10 @@ def exact_round(x: Column, places: int) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """A number with so many decimals, from its exact binary value, halves to even; a negative one keeps its sign, as ``-0.0``; null stays null."""
+    """A number with so many decimals, from its exact binary value, halves to even; a negative one and negative zero keep their sign, as ``-0.0``; null stays null."""
     x = x.cast("double")
-    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{places}f", exact_round(x, places))))
+    minus = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))  # zeros of both signs are equal
+    return F.when(x.isNotNull(), F.concat(F.when(minus, "-").otherwise(""), F.format_string(f"%.{places}f", exact_round(x, places))))
 
 
 def factors(pace: Column, trend: Column, insulin: Column, carbs: Column, stress: Column, activity: Column) -> Column:
