@@ -84,3 +84,9 @@ def test_negative_zero_keeps_its_sign(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,), (-0.004,)], "x double")
     got = [(r.two, r.none) for r in df.select(text.fixed(F.col("x"), 2).alias("two"), text.fixed(F.col("x"), 0).alias("none")).collect()]
     assert got == [(f"{x:.2f}", f"{x:.0f}") for x in (0.0, -0.0, -0.004)] == [("0.00", "0"), ("-0.00", "-0"), ("-0.00", "-0")]
+
+
+def test_a_change_that_rounds_to_negative_zero_keeps_its_sign_behind_the_plus(spark):
+    row = patient.patient_states(spark.createDataFrame([("a", 73.02, 73.02 - 1e-13)], "patient_id string, current_glucose double, predicted_glucose double"), 30)
+    got = row.select(patient.conditioned_query(F.lit("?")).alias("q"), patient.context_block().alias("b")).first()
+    assert "perubahan +-0.0 mg/dL" in got.q and "+-0.0 mg/dL (stabil" in got.b
