@@ -54,3 +54,22 @@ def test_names_of_the_input_stay(spark):
     df = spark.createDataFrame([("a", i, float(i), i, i, i) for i in range(30)], "p string, t int, v double, _n int, _rn int, _block int")
     for made in (features.decay_accumulate(df, "p", ["t"], "v", "d"), features.every_nth(df, "p", ["t"], 3), features.first_n(df, "p", ["t"], 5), features.windows(df, "p", ["t"], ["v"], "v", 3, 1).drop("x", "y", "anchor"), features.fill_missing(df, "p", ["t"], ["v"], [])):
         assert set(df.columns) <= set(made.columns) and made.where("_n <> t or _rn <> t or _block <> t").count() == 0
+
+
+def test_no_window_ends_at_the_last_row(hot):
+    # Spark computes such frames anew for each row, so they cost the square of a patient's rows
+    plan = features.fill_missing(hot, "p", ["t", "i"], ["v"], ["s"], block_rows=300)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$" in plan and "unboundedfollowing$" not in plan
+
+
+def test_number_of_a_block(spark):
+    cut = [float(c) for c in range(3, 60, 3)]
+    rows = spark.createDataFrame([(None,), (float("nan"),), *[(x / 2,) for x in range(-2, 130)]], "t double")
+    for ends in ([], cut[:1], cut[:7], cut[:8], cut):
+        for r in rows.select("t", blocks.block_of(F.col("t"), ends).alias("b")).collect():
+            assert r.b == (0 if r.t is None else len(ends) if r.t != r.t else sum(c < r.t for c in ends))
+
+
+def test_filled_rows_with_their_number(hot):
+    made = features.fill_missing(hot, "p", ["t", "i"], ["v"], ["s"], block_rows=300, number_as="n")
+    assert [(r.i, r.n) for r in made.where("p = 'hot'").orderBy("n").collect()] == [(r.i, n + 1) for n, r in enumerate(hot.where("p = 'hot'").orderBy("t", "i").collect())]

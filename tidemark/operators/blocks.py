@@ -47,10 +47,13 @@ def cuts(df: DataFrame, by: str, at: Column, rows: int | None = None) -> list[fl
 def block_of(at: Column, cuts: list[float]) -> Column:
     """The number of a time's block; rows of equal time are in one, those without a time in the first."""
     time = at.cast("double")
-    place = F.when(time.isNull(), 0)
-    for i, c in enumerate(cuts):
-        place = place.when(time <= c, i)
-    return place.otherwise(len(cuts))
+    if not cuts:
+        return F.lit(0)
+    # how many cuts lie before the time, by halving steps over the sorted cuts
+    n, ends = len(cuts), F.lit([float(c) for c in cuts])
+    steps = F.lit([1 << i for i in reversed(range(n.bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s <= n) & (F.get(ends, F.least(a + s, F.lit(n)) - 1) < time), a + s).otherwise(a))
+    return F.when(time.isNull(), 0).otherwise(place)
 
 
 def neighbours(df: DataFrame, by: str, on: list[str], values: dict[str, Column], rows: int | None = None) -> tuple[DataFrame, str, dict[str, tuple[str, str]]]:
@@ -61,22 +64,24 @@ def neighbours(df: DataFrame, by: str, on: list[str], values: dict[str, Column],
     names = {k: tuple(free(df, f"p{i}", f"q{i}")) for i, k in enumerate(values)}
     at = cuts(df, by, F.col(on[0]), rows)
     w = Window.partitionBy(by, block).orderBy(*on) if at else Window.partitionBy(by).orderBy(*on)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is what lies behind in the reverse order: frames that end at the last row are computed anew for each row
+    reverse = (Window.partitionBy(by, block) if at else Window.partitionBy(by)).orderBy(F.desc(inner))
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, reverse))
     point = {k: F.when(v.isNotNull(), F.struct(F.col(inner).alias("rn"), v.alias("v"))) for k, v in values.items()}
     made = df.withColumn(block, block_of(F.col(on[0]), at)) if at else df
     made = made.withColumn(inner, F.row_number().over(w))
-    scans = {names[k][i]: f(point[k], ignorenulls=True).over(o) for k in values for i, (f, o) in enumerate(((F.last, back), (F.first, ahead)))}
+    scans = {names[k][i]: F.last(point[k], ignorenulls=True).over(o) for k in values for i, o in enumerate((back, ahead))}
     made = made.withColumns(scans)
     if not at:
         return made.withColumnRenamed(inner, rn), rn, names
     # of each block: its rows, and its last and first points as seen from its ends
     ends = made.groupBy(by, block).agg(F.max(inner).alias("n"), *[F.max_by(names[k][0], inner).alias(f"last{i}") for i, k in enumerate(values)], *[F.min_by(names[k][1], inner).alias(f"first{i}") for i, k in enumerate(values)])
     over = Window.partitionBy(by).orderBy(block)
-    before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (over, Window.partitionBy(by).orderBy(F.desc(block))))
     ends = ends.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
     shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.rn") + F.col("shift")).alias("rn"), F.col(f"{c}.v").alias("v")))
     ends = ends.withColumns({c: shifted(c) for i in range(len(values)) for c in (f"last{i}", f"first{i}")})
-    carried = ends.select(F.col(by).alias("_by"), F.col(block).alias("_block"), F.col("shift").alias("_shift"), *[F.last(f"last{i}", ignorenulls=True).over(before).alias(f"_last{i}") for i in range(len(values))], *[F.first(f"first{i}", ignorenulls=True).over(after).alias(f"_first{i}") for i in range(len(values))])
+    carried = ends.select(F.col(by).alias("_by"), F.col(block).alias("_block"), F.col("shift").alias("_shift"), *[F.last(f"last{i}", ignorenulls=True).over(before).alias(f"_last{i}") for i in range(len(values))], *[F.last(f"first{i}", ignorenulls=True).over(after).alias(f"_first{i}") for i in range(len(values))])
     joined = made.alias("m").join(carried.alias("c"), F.col(f"m.{by}").eqNullSafe(F.col("c._by")) & (F.col(f"m.{block}") == F.col("c._block")), "left")
     moved = lambda c: F.when(F.col(f"m.{c}").isNotNull(), F.struct((F.col(f"m.{c}.rn") + F.col("c._shift")).alias("rn"), F.col(f"m.{c}.v").alias("v")))
     out = [F.col(f"m.`{c}`") for c in df.columns] + [(F.col(f"m.{inner}") + F.col("c._shift")).alias(rn)]

@@ -136,11 +136,12 @@ def greedy_thin(df: DataFrame, by: str, index: str, gap: int) -> DataFrame:
     return rows.repartition(by).sortWithinPartitions(by, index).mapInArrow(thin, rows.schema)
 
 
-def fill_missing(df: DataFrame, by: str, on: list[str], numeric: list[str], other: list[str], block_rows: int | None = None) -> DataFrame:
+def fill_missing(df: DataFrame, by: str, on: list[str], numeric: list[str], other: list[str], block_rows: int | None = None, number_as: str | None = None) -> DataFrame:
     """No gaps: numeric columns linear by position, other columns the last value before, else the first after.
 
     Per patient; one sorted window serves all columns, within blocks where a patient is too large for a task (:mod:`blocks`;
-    ``block_rows`` sets their size). A column that is null throughout a patient stays null there.
+    ``block_rows`` sets their size). A column that is null throughout a patient stays null there. ``number_as`` names a column for
+    the row's number in its patient.
     """
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     made, rn, names = neighbours(df, by, on, {c: number(c) for c in numeric} | {c: F.col(c) for c in other}, block_rows)
@@ -151,6 +152,7 @@ def fill_missing(df: DataFrame, by: str, on: list[str], numeric: list[str], othe
         return F.coalesce(p["v"] + (q["v"] - p["v"]) * share, p["v"], q["v"])
 
     filled = {c: between(c) for c in numeric} | {c: F.coalesce(*(F.col(x)["v"] for x in names[c])) for c in other}
+    filled |= {number_as: F.col(rn)} if number_as else {}
     return made.withColumns(filled).drop(rn, *(x for pair in names.values() for x in pair))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import blocks, features, splits, temporal
+from ..operators import features, splits, temporal
 from ..sources import readers
 from ..streaming import events
 from .catalog import _P, _R, _TOL, _W, _ZONE, ON, pairs, query, r6, readings, rounded
@@ -192,6 +192,5 @@ def fill_hot_patient(spark: SparkSession, d: str) -> DataFrame:
     """Gaps filled in blocks of time, as one patient has half of all rows."""
     i = F.col("event_id")
     df = _hot(spark, d).withColumns({"u": F.when(i % 5 >= 3, F.col("glucose")), "v": F.when(i % 7 >= 3, F.col("glucose") * 2), "s": F.when(i % 3 == 0, F.col("channel"))})
-    made = features.fill_missing(df, "patient_id", ON, ["u", "v"], ["s"], block_rows=500)
-    numbered, rn, _ = blocks.neighbours(made, "patient_id", ON, {"u": F.col("u")}, 500)
-    return rounded(numbered.select("event_id", F.col(rn).cast("long").alias("rn"), "u", "v", "s"), "u", "v")
+    made = features.fill_missing(df, "patient_id", ON, ["u", "v"], ["s"], block_rows=500, number_as="rn")
+    return rounded(made.select("event_id", F.col("rn").cast("long").alias("rn"), "u", "v", "s"), "u", "v")
