@@ -58,3 +58,14 @@ def test_replay_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     job = lambda s: state.state_changes(s, "patient", "at", "id", {"g": "v"}, {"g": F.col("w")})
     assert state.replay(df, state.spans(df, "at", 2), 2, job, partitions=1).count() == 0
+
+
+def test_partitions_of_the_state_grow_with_the_rows(spark, monkeypatch):
+    used, whole = [], state.run_to_end
+    monkeypatch.setattr(state, "ROWS", 10, raising=False)
+    monkeypatch.setattr(state, "run_to_end", lambda *a: (used.append(a[-1]), whole(*a)))
+    rows = [(i % 2, f"p{i % 5}", i, i, float(i), True) for i in range(25)]
+    df = spark.createDataFrame([(i, p, at(h), e, v, w) for i, p, h, e, v, w in rows], SCHEMA)
+    job = lambda s: state.state_changes(s, "patient", "at", "id", {"g": "v"}, {"g": F.col("w")}, late="9 days")
+    got = state.replay(df, F.col("slice"), 2, job, partitions=1).orderBy("patient", "at", "seq").collect()
+    assert used == [3, 3] and sorted(r.seq for r in got) == list(range(25))

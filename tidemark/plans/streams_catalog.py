@@ -12,7 +12,7 @@ from .catalog import _SQL, query, readings
 from .features_catalog import session_counts, windowed_counts  # noqa: F401
 from .retrieval_catalog import state_history  # noqa: F401
 
-#: Micro-batches' arrivals, and partitions of the streams' state, fixed as their workers start anew with each.
+#: Micro-batches' arrivals, and the least partitions of the streams' state, few as their workers start anew with each.
 SLICES, PARTITIONS = 2, 4
 
 

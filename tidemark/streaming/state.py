@@ -11,10 +11,10 @@ emits its last state and clears it.
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -22,13 +22,14 @@ from ..sources.scratch import delete, scratch_dir
 
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+#: Rows of all slices for each partition of a replayed stream's state, about.
+ROWS = 500_000
 
-def _micros(t: pd.Series) -> pd.Series:
-    return t.astype("datetime64[us]").astype("int64")
+_START, _MICRO = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC), datetime.timedelta(microseconds=1)
 
 
 class PatientState(StatefulProcessor):
-    """Columns in: key, ``at``, ``seq``, and ``v_<k>, w_<k>`` (value, written) for each state key ``k``."""
+    """Columns in: key, ``at``, ``seq``, ``written`` (a bit for each state key), and a value for each state key."""
 
     def __init__(self, by: str, keys: list[str], idle_ms: int | None) -> None:
         self.by, self.keys, self.idle_ms = by, keys, idle_ms
@@ -39,27 +40,25 @@ class PatientState(StatefulProcessor):
         #: Events so far, the newest one's time, the timer, the events whose copies can still arrive; for each key its writer.
         self.state = handle.getValueState("state", f"n long, at long, timer long, seen_at array<long>, seen_seq array<long>, {keys}")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch["at"] = _micros(batch["at"])
-        batch = batch.sort_values(["at", "seq"], kind="stable").drop_duplicates(["at", "seq"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        # of copies the first one counts; the columns are taken by place: key, time, number, keys written (a bit each), values
+        batch = sorted(((((r[1] - _START) // _MICRO, r[2]), r) for r in rows), key=lambda x: x[0])
         n, last, timer, *seen = (held := self.state.get() or (0, 0, None, [], [], *[None] * 3 * len(self.keys)))[:5]
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         seen = {x for x in zip(*seen, strict=True) if x[0] >= passed}
         now = {k: tuple(held[5 + 3 * i : 8 + 3 * i]) for i, k in enumerate(self.keys)}
         out = []
-        for row in batch.to_dict("records"):
-            place = (int(row["at"]), int(row["seq"]))
+        for place, row in batch:
             if place in seen:
                 continue
             seen.add(place)
-            before = {f"previous_{k}": now[k][0] for k in self.keys}
-            for k in self.keys:
-                if row[f"w_{k}"] and (now[k][1] is None or place > now[k][1:]):
-                    value = row[f"v_{k}"]
-                    now[k] = (None if pd.isna(value) else float(value), *place)
+            before = [now[k][0] for k in self.keys]
+            for i, k in enumerate(self.keys):
+                if row[3] >> i & 1 and (now[k][1] is None or place > now[k][1:]):
+                    value = row[4 + i]
+                    now[k] = (None if value is None or value != value else value, *place)
             n, last = n + 1, max(last, place[0])
-            out.append({"seq": place[1], "at": place[0], "n_events": n, "expired": False} | {k: now[k][0] for k in self.keys} | before)
+            out.append((place[1], place[0], n, False, *(now[k][0] for k in self.keys), *before))
         if not out:
             return
         if self.idle_ms is not None:
@@ -68,23 +67,19 @@ class PatientState(StatefulProcessor):
             timer = last // 1000 + self.idle_ms
             self.handle.registerTimer(timer)
         self.state.update((n, last, timer, [x[0] for x in seen], [x[1] for x in seen], *(x for k in self.keys for x in now[k])))
-        yield self._frame(key, out)
+        yield self._row(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         held = self.state.get()
         if held and held[2] == expiredTimerInfo.getExpiryTimeInMs():
-            now = {k: held[5 + 3 * i] for i, k in enumerate(self.keys)}
+            now = [held[5 + 3 * i] for i in range(len(self.keys))]
             self.state.clear()
-            yield self._frame(key, [{"seq": None, "at": held[1], "n_events": held[0], "expired": True} | now | {f"previous_{k}": v for k, v in now.items()}])
+            yield self._row(key, [(None, held[1], held[0], True, *now, *now)])
 
-    def _frame(self, key, rows: list[dict]) -> pd.DataFrame:  # noqa: ANN001
-        made = pd.DataFrame(rows)
-        made.insert(0, self.by, key[0])
-        made["at"] = pd.to_datetime(made["at"], unit="us")
-        made["seq"] = made["seq"].astype("Int64")
-        for c in (*self.keys, *(f"previous_{k}" for k in self.keys)):
-            made[c] = made[c].astype("float64")
-        return made[[self.by, "seq", "at", "n_events", "expired", *self.keys, *(f"previous_{k}" for k in self.keys)]]
+    def _row(self, key, out: list[tuple]) -> Row:  # noqa: ANN001
+        """The changes of a patient as one row of lists, as each row that a task hands on costs much more than a list's item."""
+        names = ("seq", "us", "n_events", "expired", *self.keys, *(f"previous_{k}" for k in self.keys))
+        return Row(**{self.by: key[0]}, **{c: list(x) for c, x in zip(names, zip(*out, strict=True), strict=True)})
 
     def close(self) -> None:
         pass
@@ -97,13 +92,17 @@ def state_changes(events: DataFrame, by: str, at: str, seq: str, keys: dict[str,
     newer ones changes only keys that these did not write. Events later than ``late`` behind the newest are dropped, copies
     (equal time and number) count once, events without a patient or time are left out. With ``idle``, patients expire.
     """
-    rows = events.where(F.col(by).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
-    columns = [c for k, v in keys.items() for c in (F.col(v).cast("double").alias(f"v_{k}"), F.coalesce(present[k], F.lit(False)).alias(f"w_{k}"))]
-    rows = rows.select(F.col(by), F.col(at).alias("at"), F.col(seq).cast("long").alias("seq"), *columns)
+    rows = events.where(F.col(by).isNotNull() & F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    written = sum((F.when(F.coalesce(present[k], F.lit(False)), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0).cast("long"))
+    columns = [F.col(v).cast("double").alias(f"v_{k}") for k, v in keys.items()]
+    rows = rows.select(F.col(by), F.col(at).alias("at"), F.col(seq).cast("long").alias("seq"), written.alias("written"), *columns)
     kind = events.schema[by].dataType.simpleString()
-    schema = f"`{by}` {kind}, seq long, at timestamp, n_events long, expired boolean, " + ", ".join(f"`{c}` double" for c in (*keys, *(f"previous_{k}" for k in keys)))
+    types = {"seq": "long", "us": "long", "n_events": "long", "expired": "boolean"} | {c: "double" for c in (*keys, *(f"previous_{k}" for k in keys))}
+    schema = f"`{by}` {kind}, " + ", ".join(f"`{c}` array<{x}>" for c, x in types.items())
     idle_ms = None if idle is None else int(idle.total_seconds() * 1000)
-    return rows.groupBy(by).transformWithStateInPandas(PatientState(by, list(keys), idle_ms), schema, "Append", "EventTime")
+    made = rows.groupBy(by).transformWithState(PatientState(by, list(keys), idle_ms), schema, "Append", "EventTime")
+    each = made.select(F.col(f"`{by}`"), F.explode(F.arrays_zip(*[F.col(f"`{c}`") for c in types])).alias("_e"))
+    return each.select(F.col(f"`{by}`"), *[F.timestamp_micros("_e.us").alias("at") if c == "us" else F.col(f"_e.`{c}`") for c in types])
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
@@ -139,9 +138,11 @@ def spans(events: DataFrame, at: str, slices: int) -> Column:
 def replay(events: DataFrame, arrival: Column, slices: int, job: Callable[[DataFrame], DataFrame], mode: str = "append", partitions: int | None = None) -> DataFrame:
     """What a streaming ``job`` gives for ``events`` that arrive in slices numbered by ``arrival``; ``batch`` is the micro-batch.
 
-    The stream is stopped and started again from its checkpoint for each slice. All files lie in the shared folder.
+    The stream is stopped and started again from its checkpoint for each slice. All files lie in the shared folder. ``partitions``
+    are the least there are; large tables have one for each ROWS rows.
     """
     spark = events.sparkSession
+    partitions = partitions and max(partitions, math.ceil(events.count() / ROWS))
     base = scratch_dir(spark, "replay")
     stream = None
     for i in range(slices):
