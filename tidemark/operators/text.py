@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from ..sources.scratch import saved
 #: Typographic ligatures and what they stand for.
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st")]
 FACTORS = {"insulin": 1.0, "carbs": 10.0, "stress": 7, "idle": 15, "active": 60}
+#: Pairs of a query and a chunk that a task of the keyword search holds at most, about.
+PAIRS = 250_000
 
 
 def normalize(text: Column) -> Column:
@@ -144,18 +147,23 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id:
     """Best chunks of each query by shared tokens over distinct query tokens, ties by chunk id; ``k`` rows a query.
 
     Chunks without a shared token count zero and fill up what the others leave, by id. Only tokens that a query has are
-    counted (their list is broadcast up to a million tokens, else joined). ``where`` filters the chunks first. The queries'
-    tokens and the best hits are saved, so that the chunks' texts are read once.
+    counted (their list is broadcast up to a million rows, else joined). ``where`` filters the chunks first. Texts are dealt
+    by chunk, so that a task counts and compares its own chunks only, about PAIRS of them with a query. The queries' tokens and the best hits are saved, so that
+    the chunks' texts are read once.
     """
     chunks = chunks if where is None else chunks.where(where)
     bag = lambda df, i: df.groupBy(i, "token").agg(F.count("*").alias("n"))
     split = lambda df, i: df.select(i, F.explode(tokens(F.col(text))).alias("token"))
-    wanted = saved(bag(split(queries, query_id), query_id).withColumnRenamed("n", "nq"), "query-tokens")
-    size = wanted.groupBy(query_id).agg(F.count("*").alias("distinct"))
+    asked = bag(split(queries, query_id), query_id).withColumnRenamed("n", "nq")
+    wanted = saved(asked.join(asked.groupBy(query_id).agg(F.count("*").alias("distinct")), query_id), "query-tokens")
     known = wanted.select("token").distinct()
-    own = split(chunks, chunk_id).join(F.broadcast(known) if known.count() <= 1_000_000 else known, "token", "left_semi")
-    overlap = bag(own, chunk_id).join(wanted, "token").groupBy(query_id, chunk_id).agg(F.sum(F.least("n", "nq")).alias("overlap"))
-    scored = overlap.join(size, query_id).withColumn("similarity", F.col("overlap") / F.col("distinct"))
+    few = wanted.count() <= 1_000_000
+    held = F.broadcast if few else lambda df: df
+    parts = max(1, math.ceil(chunks.count() * queries.count() / PAIRS))
+    own = split(chunks.select(chunk_id, text).repartition(parts, chunk_id), chunk_id).join(held(known), "token", "left_semi")
+    shared = bag(own, chunk_id).join(held(wanted), "token")
+    shared = shared if few else shared.repartition(parts, chunk_id)
+    scored = shared.groupBy(query_id, chunk_id).agg((F.sum(F.least("n", "nq")) / F.max("distinct")).alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), chunk_id)
     top = saved(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, chunk_id, "similarity"), "hits")
     # queries with fewer than k hits: at most k - 1 of the first 2k chunks by id can be hits, so these suffice
