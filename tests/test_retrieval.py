@@ -2,9 +2,9 @@
 
 import re
 
-from pyspark.sql import functions as F
+import numpy as np
 
-from tidemark.operators import text
+from tidemark.operators import text, vector
 
 
 def test_keyword_search_is_dealt_by_chunk(spark, monkeypatch):
@@ -24,3 +24,17 @@ def test_keyword_search_is_dealt_by_chunk(spark, monkeypatch):
     monkeypatch.setattr(text, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     text.keyword_topk(chunks, queries, "c", "q", k=3)
     assert re.search(r"RepartitionByExpression \[c#\d+L?\], 12", plans[-1])
+
+
+def test_rows_are_not_dealt_for_a_block_of_queries(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])], "id long, v array<double>").repartition(3)
+    queries = rows.where("id % 20 = 0")
+    near = vector.cosine_topk(rows, queries.withColumnRenamed("id", "q"), "id", "q", "v", 4)
+    assert "FlatMapGroupsInPandas" not in near._jdf.queryExecution().optimizedPlan().toString()
+    held = {r.id: np.array(r.v) for r in rows.collect() if r.v is not None}
+    unit = {i: v / max(np.linalg.norm(v), 1e-12) for i, v in held.items()}
+    expected = []
+    for q in (0, 20, 40):
+        first = sorted((-round(float(unit[q] @ v), 9), i) for i, v in unit.items() if i != q)[:4]
+        expected += [(q, i, -s, n + 1) for n, (s, i) in enumerate(first)]
+    assert sorted((r.q, r.id, r.similarity, r["rank"]) for r in near.collect()) == sorted(expected)

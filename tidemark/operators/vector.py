@@ -3,24 +3,59 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
 
 
+def _nearest(rows: DataFrame, queries: list, k: int, places: int) -> DataFrame:
+    """``qid, rid, similarity``: the ``k`` rows of each task (``rid, v``) that are most similar to each of a block of queries."""
+    ids = np.array([q.qid for q in queries], np.int64)
+    x = np.array([q.v for q in queries], float).reshape(len(ids), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, own = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for whole in batches:
+            for batch in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows if len(ids) else 0, BLOCK)):
+                rids = batch.column("rid").to_numpy(zero_copy_only=False)
+                y = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rids), -1)
+                s = np.round(x @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).T, places)
+                s[(ids[:, None] == rids) | ~np.isfinite(s)] = -np.inf
+                # only rows that come before some query's last one can change anything
+                last, mine = best[:, -1:], own[:, -1:]
+                at = ((s > last) | ((s == last) & (rids < mine) & (s > -np.inf))).any(axis=0)
+                if at.any():
+                    every, whose = np.hstack([best, s[:, at]]), np.hstack([own, np.broadcast_to(rids[at], (len(ids), at.sum()))])
+                    order = np.lexsort((whose, -every), axis=1)[:, :k]
+                    best, own = np.take_along_axis(every, order, 1), np.take_along_axis(whose, order, 1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[i, j]), pa.array(best[i, j])], ["qid", "rid", "similarity"])
+
+    return rows.select(F.col("rid").cast("long").alias("rid"), "v").mapInArrow(nearest, "qid long, rid long, similarity double")
+
+
 def cosine_topk(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int, places: int = 9) -> DataFrame:
     """``query_id, row_id, similarity, rank``: the ``k`` most similar other rows of each query.
 
-    Queries and rows are dealt to blocks; each pair of blocks is one bounded group that returns ``k`` rows a query.
+    Queries of one block go to every task, which passes over its own rows once and returns ``k`` rows a query. More queries
+    and the rows are dealt to blocks; each pair of blocks is one bounded group that returns ``k`` rows a query.
     Similarities are rounded so that equal ones tie and the smaller id wins. Null vectors take no part.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("qid"), F.col(vector).alias("v"))
     r = rows.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("rid"), F.col(vector).alias("v"))
-    nq, nr = (max(1, math.ceil(x.count() / BLOCK)) for x in (q, r))
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "rid")
+    ranked = lambda part: part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("qid").alias(query_id), F.col("rid").alias(row_id), "similarity", "rank")
+    nq = max(1, math.ceil(q.count() / BLOCK))
+    if nq == 1:
+        return ranked(_nearest(r, q.collect(), k, places))  # one block at most
+    nr = max(1, math.ceil(r.count() / BLOCK))
     null, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
     left = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("a"), F.explode(F.sequence(zero, F.lit(nr - 1).cast("long"))).alias("b"), "qid", null.alias("rid"), "v")
     right = r.select(F.explode(F.sequence(zero, F.lit(nq - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("rid"), F.lit(nr)).alias("b"), null.alias("qid"), "rid", "v")
@@ -41,8 +76,7 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str,
         return out[np.isfinite(out.similarity)]
 
     part = left.unionByName(right).groupBy("a", "b").applyInPandas(best, "qid long, rid long, similarity double")
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "rid")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("qid").alias(query_id), F.col("rid").alias(row_id), "similarity", "rank")
+    return ranked(part)
 
 
 def mmr_topk(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int = 4, fetch: int | None = None, weight: float = 0.5) -> DataFrame:
