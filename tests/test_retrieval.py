@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 from tidemark.operators import text, vector
+from tidemark.plans import embedding_catalog
 
 
 def test_keyword_search_is_dealt_by_chunk(spark, monkeypatch):
@@ -38,3 +39,10 @@ def test_rows_are_not_dealt_for_a_block_of_queries(spark):
         first = sorted((-round(float(unit[q] @ v), 9), i) for i, v in unit.items() if i != q)[:4]
         expected += [(q, i, -s, n + 1) for n, (s, i) in enumerate(first)]
     assert sorted((r.q, r.id, r.similarity, r["rank"]) for r in near.collect()) == sorted(expected)
+
+
+def test_chunk_sizes_save_texts_without_vectors(spark, monkeypatch):
+    held, save = [], embedding_catalog.saved
+    monkeypatch.setattr(embedding_catalog, "saved", lambda df, name: (held.append(df.columns), save(df, name))[1])
+    got = embedding_catalog.chunk_size_sweep(spark, "/root/testdata/sf0.001")
+    assert held == [["size", "chunk_id", "chunk"]] and got.columns[0] == "size"

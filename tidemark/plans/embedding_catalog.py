@@ -53,12 +53,12 @@ def chunk_size_sweep(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     sizes = {s: int(s * 0.13) for s in (500, 900, 1500)}
     chunks = text.chunk_sizes(docs, "text", sizes).select("size", (F.col("doc_id") * 100_000 + F.col("pos")).alias("chunk_id"), "chunk")
-    chunks = saved(embedding.embed(chunks, "chunk"), "chunks")
+    chunks = saved(chunks, "chunks")  # texts alone: vectors are several times as large, and each is used once
     asked = embedding.embed(items, "item").select((F.col("item_id") * 2 + 1).alias("q"), "embedding", "item")
     made = None
     for size in sizes:
         of = chunks.where(F.col("size") == size)
-        near = vector.cosine_topk(of.select((F.col("chunk_id") * 2).alias("c"), "embedding"), asked, "c", "q", "embedding", 5)
+        near = vector.cosine_topk(embedding.embed(of, "chunk").select((F.col("chunk_id") * 2).alias("c"), "embedding"), asked, "c", "q", "embedding", 5)
         found = near.join(of.select((F.col("chunk_id") * 2).alias("c"), "chunk"), "c").join(asked.select("q", "item"), "q")
         place = F.min(F.when(F.contains("chunk", F.substring("item", 1, 40)), F.col("rank")))
         per = found.groupBy("q").agg(place.alias("place"))
