@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
+from compare import same
 from pyspark.sql import functions as F
 
 from tidemark.operators import patient, text
+from tidemark.plans import catalog
 
 
 def test_numbers_as_python_writes_them(spark):
@@ -90,3 +93,27 @@ def test_a_change_that_rounds_to_negative_zero_keeps_its_sign_behind_the_plus(sp
     row = patient.patient_states(spark.createDataFrame([("a", 73.02, 73.02 - 1e-13)], "patient_id string, current_glucose double, predicted_glucose double"), 30)
     got = row.select(patient.conditioned_query(F.lit("?")).alias("q"), patient.context_block().alias("b")).first()
     assert "perubahan +-0.0 mg/dL" in got.q and "+-0.0 mg/dL (stabil" in got.b
+
+
+def test_what_is_no_number_and_large_wholes_as_text(spark):
+    xs = (float("nan"), float("inf"), -float("inf"), 2.0**53, -3.3e17 / 3, 2.0**62 + 1024)
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(text.fixed(F.col("x"), 1).alias("one"), text.fixed(F.col("x"), 0).alias("none")).collect()
+    assert [tuple(r) for r in got] == [(f"{x:.1f}", f"{x:.0f}") for x in xs]
+
+
+ODD = {
+    "no_value": {"value": "CASE WHEN event_id % 17 <> 0 THEN value END"},
+    "no_number": {"value": "CASE event_id % 17 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE value END"},
+    "no_patient": {"user_id": "CASE WHEN event_id % 17 <> 0 THEN user_id END"},
+    "no_time": {"ts": "CASE WHEN event_id % 17 <> 0 THEN ts END"},
+    "no_id": {"event_id": "CASE WHEN event_id % 17 <> 0 THEN event_id END"},
+    "negative_ids": {"event_id": "event_id - 500"},
+    "copies": {"event_id": "event_id + k * 1000"},
+}
+
+
+@pytest.mark.parametrize("kind", sorted(ODD))
+def test_conditioned_queries_of_odd_events_match_sql(spark, tmp_path, kind):
+    columns = ", ".join(f"{ODD[kind].get(c, c)} AS {c}" for c in ("event_id", "ts", "user_id", "event_type", "value", "props"))
+    duckdb.sql(f"COPY (SELECT {columns} FROM '/root/testdata/sf0.001/events.parquet', range({6 if kind == 'copies' else 1}) t(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    same(spark, catalog.queries()["conditioned_queries"], catalog.oracle_sql()["conditioned_queries"], str(tmp_path))

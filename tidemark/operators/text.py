@@ -279,10 +279,15 @@ def exact_round(x: Column, places: int) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """A number with so many decimals, from its exact binary value, halves to even; a negative one and negative zero keep their sign, as ``-0.0``; null stays null."""
+    """A number with so many decimals, from its exact binary value, halves to even; a negative one and negative zero keep their sign, as ``-0.0``; null stays null.
+
+    What is no number is ``nan``, ``inf`` or ``-inf``; from ``2 ** 63`` on digits behind the 17th may be zeros.
+    """
     x = x.cast("double")
     minus = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))  # zeros of both signs are equal
-    return F.when(x.isNotNull(), F.concat(F.when(minus, "-").otherwise(""), F.format_string(f"%.{places}f", exact_round(x, places))))
+    whole = F.format_string(f"%d{'.' * bool(places)}{'0' * places}", F.abs(x).try_cast("long"))
+    digits = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").when((F.abs(x) >= 2.0**53) & (F.abs(x) < 2.0**63), whole).otherwise(F.format_string(f"%.{places}f", exact_round(x, places)))
+    return F.when(x.isNotNull(), F.concat(F.when(minus, "-").otherwise(""), digits))
 
 
 def factors(pace: Column, trend: Column, insulin: Column, carbs: Column, stress: Column, activity: Column) -> Column:

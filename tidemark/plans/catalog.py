@@ -64,7 +64,8 @@ def long(df: DataFrame, *names: str) -> DataFrame:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Persistence forecasts: the value six readings ahead against the value now."""
-    return readings(spark, d).withColumns({"y": F.lead("glucose", 6).over(w()), "p": F.col("glucose")}).where("y is not null").select("patient_id", "event_id", "timestamp", "y", "p")
+    last = features.order("patient_id", *map(F.asc_nulls_last, ON))  # as in SQL
+    return readings(spark, d).withColumns({"y": F.lead("glucose", 6).over(last), "p": F.col("glucose")}).where("y is not null").select("patient_id", "event_id", "timestamp", "y", "p")
 
 
 _P = f"{_R}, f AS (SELECT patient_id, event_id, ts, lead(glucose, 6) {_W} AS y, glucose AS p FROM r), v AS (SELECT * FROM f WHERE y IS NOT NULL)"
