@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import deque
+from bisect import bisect_left, bisect_right
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,64 +62,77 @@ def word_chunks(df: DataFrame, text: str, size: int = 900, overlap: int = 120) -
     return df.select("*", F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice("_w", s, size), " "))).alias("pos", "chunk")).drop("_w")
 
 
-def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n## ", "\n### ", "\n\n", "\n", " ")) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the strongest separator that helps, with overlaps of at most ``overlap``."""
-    atoms = [text]
-    for sep in separators:
-        cut = []
-        for a in atoms:
-            parts = a.split(sep) if len(a) > size else [a]
-            cut += [p + sep if i < len(parts) - 1 else p for i, p in enumerate(parts)]
-        atoms = cut
-    atoms = [a[i : i + size] for a in atoms for i in range(0, len(a), size)]
-    out: list[str] = []
-    held: deque[str] = deque()
-    n = 0
-    for a in atoms:
-        if held and n + len(a) > size:
-            out.append("".join(held))
-            while held and (n > overlap or n + len(a) > size):
-                n -= len(held.popleft())
-        held.append(a)
-        n += len(a)
-    return [*out, "".join(held)] if held else out
-
-
 #: Where texts are cut, strongest first.
 SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", " ")
 
 
-def char_chunk_column(text: Column, size: Column, overlap: Column, separators: tuple[str, ...] = SEPARATORS) -> Column:
-    """The pieces of :func:`split_recursively` as an array, in column functions alone; ``size`` and ``overlap`` can be columns.
-
-    Atoms are cut separator by separator where they are longer than ``size``, and one fold packs them: it holds the atoms of
-    the piece under way and, when the next does not fit, hands on the piece and drops atoms from its front.
-    """
-    atoms = F.array(F.coalesce(text, F.lit("")))
-    cut = lambda sep: lambda a: F.when(F.length(a) > size, F.regexp_extract_all(a, F.lit(f"(?s).*?(?:{sep}|\\z)"), F.lit(0))).otherwise(F.array(a))
+def _cut(text: str, ends: list[int], size: int, separators: tuple[str, ...]) -> list[int]:
+    """Ends of the parts of a text once those longer than ``size`` are cut behind each separator in turn."""
     for sep in separators:
-        atoms = F.flatten(F.transform(atoms, cut(sep)))
-    hard = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / size).cast("int")), lambda i: F.substring(a, i * size + 1, size))
-    atoms = F.flatten(F.transform(F.filter(atoms, lambda a: a != ""), lambda a: F.when(F.length(a) > size, hard(a)).otherwise(F.array(a))))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), none.alias("held"), F.lit(0).alias("n"))
+        cut, start = [], 0
+        for end in ends:
+            if end - start > size:
+                *parts, last = text[start:end].split(sep)
+                cut += [start := start + len(p) + len(sep) for p in parts]
+            if end > start:
+                cut.append(end)
+            start = end
+        ends = cut
+    return ends
+
+
+def _packed(text: str, parts: list[int], size: int, overlap: int, last: str) -> list[tuple[int, int]] | None:
+    """Where the pieces of a text begin and end, from the ends of its parts; longer parts are cut behind ``last``. Nothing if an atom is longer than ``size``."""
+    starts, made, begin = [0, *parts], [], 0
+    while begin < len(text):
+        x = begin + size
+        k = bisect_right(starts, x) - 1
+        end = starts[k] if x >= len(text) or starts[k + 1] - starts[k] <= size else max(starts[k], text.rfind(last, starts[k], x) + 1)
+        if end == len(text):
+            return [*made, (begin, end)]
+        k = bisect_right(starts, end) - 1
+        after = starts[k + 1] if starts[k + 1] - starts[k] <= size else text.find(last, end, starts[k + 1]) + 1 or starts[k + 1]
+        if after - end > size:
+            return None
+        made.append((begin, end))
+        x = max(end - overlap, after - size)
+        if x < end:  # the first atom that begins there or later
+            k = bisect_left(starts, x)
+            x = text.find(last, x - 1, starts[k]) + 1 or starts[k] if starts[k] > x and starts[k] - starts[k - 1] > size else starts[k]
+        begin = min(x, end)
+    return made
+
+
+def piece_spans(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """Where the pieces of :func:`split_recursively` begin and end.
+
+    Parts longer than ``size`` are cut into atoms behind each separator in turn, and what is still longer every ``size`` characters.
+    A piece takes as many atoms as fit; the next one begins with those of its last atoms that fit the overlap, and the next atom
+    with them. Atoms behind a last separator of one character are looked for only where a piece begins or ends.
+    """
+    parts = _cut(text, [len(text)] if text else [], size, separators[:-1])
+    last = "".join(separators[-1:])
+    made = _packed(text, parts, size, overlap, last) if len(last) == 1 else None
+    if made is None:
+        ends = _cut(text, parts, size, separators[-1:])
+        made = _packed(text, [x for start, end in zip([0, *ends], ends, strict=False) for x in (*range(start + size, end, size), end)], size, overlap, last)
+    return made
 
-    def step(s: Column, a: Column) -> Column:
-        full = (F.size(s["held"]) > 0) & (s["n"] + F.length(a) > size)
-        drop = F.aggregate(s["held"], F.struct(s["n"].alias("n"), F.lit(0).alias("d")), lambda x, h: F.when((x["n"] > overlap) | (x["n"] + F.length(a) > size), F.struct((x["n"] - F.length(h)).alias("n"), (x["d"] + 1).alias("d"))).otherwise(x))
-        fresh = F.transform(F.array(drop), lambda x: F.struct(F.concat(s["out"], F.array(F.array_join(s["held"], ""))).alias("out"), F.concat(F.slice(s["held"], x["d"] + 1, F.size(s["held"])), F.array(a)).alias("held"), (x["n"] + F.length(a)).alias("n")))[0]
-        more = F.struct(s["out"].alias("out"), F.concat(s["held"], F.array(a)).alias("held"), (s["n"] + F.length(a)).alias("n"))
-        return F.when(full, fresh).otherwise(more)
 
-    last = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["out"], F.array(F.array_join(s["held"], "")))).otherwise(s["out"])
-    return F.aggregate(atoms, start, step, last)
+def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most ``size`` characters, cut at the strongest separator that helps, with overlaps of at most ``overlap``."""
+    return [text[a:b] for a, b in piece_spans(text, size, overlap, separators)]
 
 
 def chunk_sizes(df: DataFrame, text: str, sizes: dict[int, int]) -> DataFrame:
     """Each row's pieces for several sizes (with their overlaps) in one pass: ``size, pos, chunk``."""
-    rows = df.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in sizes.items()])))
-    made = char_chunk_column(F.col(text), F.col("_s.size"), F.col("_s.overlap"))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_s.size").alias("size"), F.posexplode(made).alias("pos", "chunk"))
+
+    @F.arrow_udf("array<struct<size:int,pos:int,chunk:string>>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        cut = [[{"size": s, "pos": i, "chunk": p} for s, o in sizes.items() for i, p in enumerate(split_recursively(t or "", s, o))] for t in texts.to_pylist()]
+        return pa.array(cut, pa.list_(pa.struct([("size", pa.int32()), ("pos", pa.int32()), ("chunk", pa.string())])))
+
+    return df.withColumn("_p", F.explode(pieces(F.col(text)))).select(*[F.col(f"`{c}`") for c in df.columns], "_p.*")
 
 
 def char_chunks(df: DataFrame, text: str, size: int = 900, overlap: int = 120) -> DataFrame:

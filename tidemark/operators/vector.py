@@ -14,29 +14,49 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+class Nearest:
+    """The ``k`` rows most similar to each of a block of queries (of length one), of all that were added; of equal ones those of smaller ids."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, places: int) -> None:
+        self.ids, self.x, self.k, self.places = ids, x, k, places
+        self.best, self.own = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, rids: np.ndarray, y: np.ndarray, same: bool = False) -> None:
+        """More rows. One with a query's own id does not count for it, unless these are ids of something else (``same``)."""
+        s = self.x @ unit(y).T
+        # only rows that come before some query's last one can change anything; rounding moves a similarity by half a unit
+        last, mine = self.best[:, -1:], self.own[:, -1:]
+        at = (s >= last - 10.0**-self.places).any(axis=0)
+        s, rids = np.round(s[:, at], self.places), rids[at]
+        s[~np.isfinite(s) if same else (self.ids[:, None] == rids) | ~np.isfinite(s)] = -np.inf
+        at = ((s > last) | ((s == last) & (rids < mine) & (s > -np.inf))).any(axis=0)
+        if at.any():
+            every, whose = np.hstack([self.best, s[:, at]]), np.hstack([self.own, np.broadcast_to(rids[at], (len(self.ids), at.sum()))])
+            order = np.lexsort((whose, -every), axis=1)[:, : self.k]
+            self.best, self.own = np.take_along_axis(every, order, 1), np.take_along_axis(whose, order, 1)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of queries and of their rows, and the similarities."""
+        i, j = np.nonzero(np.isfinite(self.best))
+        return self.ids[i], self.own[i, j], self.best[i, j]
+
+
 def _nearest(rows: DataFrame, queries: list, k: int, places: int) -> DataFrame:
     """``qid, rid, similarity``: the ``k`` rows of each task (``rid, v``) that are most similar to each of a block of queries."""
     ids = np.array([q.qid for q in queries], np.int64)
-    x = np.array([q.v for q in queries], float).reshape(len(ids), -1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = unit(np.array([q.v for q in queries], float).reshape(len(ids), -1 if len(ids) else 0))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, own = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        held = Nearest(ids, x, k, places)
         for whole in batches:
             for batch in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows if len(ids) else 0, BLOCK)):
                 rids = batch.column("rid").to_numpy(zero_copy_only=False)
-                y = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rids), -1)
-                s = np.round(x @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).T, places)
-                s[(ids[:, None] == rids) | ~np.isfinite(s)] = -np.inf
-                # only rows that come before some query's last one can change anything
-                last, mine = best[:, -1:], own[:, -1:]
-                at = ((s > last) | ((s == last) & (rids < mine) & (s > -np.inf))).any(axis=0)
-                if at.any():
-                    every, whose = np.hstack([best, s[:, at]]), np.hstack([own, np.broadcast_to(rids[at], (len(ids), at.sum()))])
-                    order = np.lexsort((whose, -every), axis=1)[:, :k]
-                    best, own = np.take_along_axis(every, order, 1), np.take_along_axis(whose, order, 1)
-        i, j = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[i, j]), pa.array(best[i, j])], ["qid", "rid", "similarity"])
+                held.add(rids, batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rids), -1))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.found()], ["qid", "rid", "similarity"])
 
     return rows.select(F.col("rid").cast("long").alias("rid"), "v").mapInArrow(nearest, "qid long, rid long, similarity double")
 

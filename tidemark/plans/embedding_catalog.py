@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embedding, text, vector
+from ..operators import embedding, text
 from ..sources.scratch import saved, scratch_dir
 from ..sources.vectors import VectorTable
 from .catalog import query, r6, table
@@ -52,17 +52,16 @@ def chunk_size_sweep(spark: SparkSession, d: str) -> DataFrame:
     """How well benchmark passages are found in chunks of 500, 900 and 1500 characters: a hit is a chunk that holds the passage's first 40 characters."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     sizes = {s: int(s * 0.13) for s in (500, 900, 1500)}
-    chunks = text.chunk_sizes(docs, "text", sizes).select("size", (F.col("doc_id") * 100_000 + F.col("pos")).alias("chunk_id"), "chunk")
-    chunks = saved(chunks, "chunks")  # texts alone: vectors are several times as large, and each is used once
-    asked = embedding.embed(items, "item").select((F.col("item_id") * 2 + 1).alias("q"), "embedding", "item")
-    made = None
-    for size in sizes:
-        of = chunks.where(F.col("size") == size)
-        near = vector.cosine_topk(embedding.embed(of, "chunk").select((F.col("chunk_id") * 2).alias("c"), "embedding"), asked, "c", "q", "embedding", 5)
-        found = near.join(of.select((F.col("chunk_id") * 2).alias("c"), "chunk"), "c").join(asked.select("q", "item"), "q")
-        place = F.min(F.when(F.contains("chunk", F.substring("item", 1, 40)), F.col("rank")))
-        per = found.groupBy("q").agg(place.alias("place"))
-        row = per.agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col("place") == 1).cast("int"), F.lit(0))).alias("hit1"), F.avg(F.col("place").isNotNull().cast("int")).alias("hit5"), F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))).alias("mrr"))
-        row = row.crossJoin(F.broadcast(of.agg(F.count("*").alias("n_chunks")))).select(F.lit(size).alias("size"), "n_chunks", "n", r6("hit1").alias("hit1"), r6("hit5").alias("hit5"), r6("mrr").alias("mrr"))
-        made = row if made is None else made.unionByName(row)
-    return made
+    near, counts = embedding.piece_search(docs, embedding.embed(items, "item"), "doc_id", "item_id", "text", sizes, 5)
+    # of the pieces, texts of those that were found are saved alone, cut again from their documents; their list is broadcast up to a million rows, else joined
+    found = near.select("size", "chunk_id").distinct()
+    held = F.broadcast if near.count() <= 1_000_000 else lambda df: df
+    number = F.pmod("chunk_id", F.lit(embedding.PIECES).cast("long"))
+    of = found.select(F.call_function("div", F.col("chunk_id") - number, F.lit(embedding.PIECES)).alias("doc_id")).distinct()
+    chunks = text.chunk_sizes(docs.join(held(of), "doc_id", "left_semi"), "text", sizes).select("size", (F.col("doc_id") * embedding.PIECES + F.col("pos")).alias("chunk_id"), "chunk")
+    chunks = saved(chunks.join(held(found), ["size", "chunk_id"], "left_semi").select("size", "chunk_id", "chunk"), "chunks")
+    place = F.min(F.when(F.contains("chunk", F.substring("item", 1, 40)), F.col("rank")))
+    per = near.join(chunks, ["size", "chunk_id"]).join(items, "item_id").groupBy("size", "item_id").agg(place.alias("place"))
+    row = per.groupBy("size").agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col("place") == 1).cast("int"), F.lit(0))).alias("hit1"), F.avg(F.col("place").isNotNull().cast("int")).alias("hit5"), F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))).alias("mrr"))
+    every = spark.range(1).select(F.explode(F.lit(list(sizes))).alias("size")).join(counts, "size", "left").join(row, "size", "left")
+    return every.select("size", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n", F.lit(0)).alias("n"), r6("hit1").alias("hit1"), r6("hit5").alias("hit5"), r6("mrr").alias("mrr"))
