@@ -22,7 +22,7 @@ DIM = 256
 BATCH = 256
 #: Queries that one pass over texts answers at most, numbers of pieces that a text has, and characters that a task cuts at a time.
 QUERIES, PIECES, JOINED = 16_384, 100_000, 500_000
-#: Bytes of texts in a task, about, by Spark's own statistics, and the most tasks that these give.
+#: Bytes of texts in a task for a block of queries, about, by Spark's own statistics, and the most tasks that these give.
 PART_BYTES, MAX_PARTS = 4 << 20, 10_000
 
 
@@ -127,8 +127,10 @@ def piece_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str
     """
     embedder = embedder or HashedTerms()
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("v"))
-    passes = max(1, math.ceil(asked.count() / QUERIES))
-    parts = max(1, math.ceil(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / PART_BYTES))
+    n_asked, cores = asked.count(), docs.sparkSession.sparkContext.defaultParallelism
+    passes = max(1, math.ceil(n_asked / QUERIES))
+    # a part has more texts where each hands on rows for more queries
+    parts = max(cores, math.ceil(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / (PART_BYTES * max(1, n_asked / BLOCK))))
     dealt = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     dealt = dealt.repartition(parts, "d") if parts <= MAX_PARTS else dealt.repartition("d")  # a size that is not known is very large
 
